@@ -23,37 +23,43 @@ def value_bucket(value: Column, unit: float = 1e-6, per_fold: int = 512) -> Colu
     return F.floor(F.signum(value) * F.log1p(F.abs(value) / F.lit(unit)) * F.lit(per_fold))
 
 
-def average_rank(df: DataFrame, group: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
-    """Add the average-tie rank of ``value`` within ``group``; null values stay unranked.
+def rank_table(counts: DataFrame, group: list[str], value: str, n: str, out: str,
+               descending: bool = False) -> DataFrame:
+    """(group…, value, out): average-tie rank of each distinct value, ``n`` rows standing behind a row.
 
-    1. count the distinct values (map-side combined: a value shared by a third of
-       all rows becomes one row),
-    2. running count inside each value bucket plus the total of the buckets before,
-    3. join the ranks back on (group, value).
+    counts may list a value several times; it is first reduced to one row per value
+    (map-side combined, so a value shared by a third of all rows is one row). Ranks
+    are the running count inside a value bucket plus the total of the buckets before.
     """
-    number = F.col(value).cast("double")
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, number.alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_key", -F.col("_value") if descending else F.col("_value"))
-        .withColumn("_bucket", value_bucket(F.col("_key")))
+    distinct = counts.groupBy(*group, value).agg(F.sum(n).alias("_n"))
+    keyed = distinct.withColumn("_key", -F.col(value) if descending else F.col(value)).withColumn(
+        "_bucket", F.coalesce(value_bucket(F.col("_key")), F.lit(0))
     )
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.groupBy(*group, "_bucket")
+        keyed.groupBy(*group, "_bucket")
         .agg(F.sum("_n").alias("_total"))
         .select(*group, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     )
     inside = Window.partitionBy(*group, "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = (
-        counts.withColumn("_upto", F.sum("_n").over(inside))
+    return (
+        keyed.withColumn("_upto", F.sum("_n").over(inside))
         .join(offsets, [*group, "_bucket"])
-        .select(
-            *group, "_value",
-            (F.col("_offset") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out),
-        )
+        .select(*group, value, (F.col("_offset") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out))
+    )
+
+
+def average_rank(df: DataFrame, group: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
+    """Add the average-tie rank of ``value`` within ``group``; null values stay unranked.
+
+    ``df`` is read twice (to count its values and to receive the ranks): pass a
+    stored table where computing it is expensive.
+    """
+    number = F.col(value).cast("double")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, number.alias("_value")).agg(
+        F.count(F.lit(1)).alias("_rows")
     )
+    ranks = rank_table(counts, group, "_value", "_rows", out, descending)
     return df.withColumn("_value", number).join(ranks, [*group, "_value"], "left").drop("_value")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import average_rank
+from tidemark.functions.ranks import rank_table
 from tidemark.functions.windows import at_calendar_offset, ratio
 
 # Names a day needs, days a summary needs.
@@ -29,19 +29,29 @@ def daily_rank_ic(pairs: DataFrame, min_symbols: int = MIN_SYMBOLS, keys: tuple[
     """(keys…, date, n, rank_ic): Spearman correlation of ``value`` and ``fwd`` per day.
 
     Both are ranked on their common non-null rows; days with fewer than
-    ``min_symbols`` names or no variation are left out. The correlation is one
-    map-side combined aggregate over the ranks.
+    ``min_symbols`` names or no variation are left out. Rows are first folded into
+    cells of equal (value, fwd) with a count. Everything after that, both rank tables
+    and the final sums, works on the cells, so the pairs are computed and shuffled once.
     """
     group = [*keys, day]
-    common = pairs.where(F.col("value").isNotNull() & F.col("fwd").isNotNull()).select(*group, "value", "fwd")
-    ranked = average_rank(average_rank(common, group, "value", "_rv"), group, "fwd", "_rf")
+    common = pairs.where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
+    cells = common.groupBy(*group, "value", "fwd").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = cells.join(rank_table(cells, group, "value", "_c", "_rv"), [*group, "value"]).join(
+        rank_table(cells, group, "fwd", "_c", "_rf"), [*group, "fwd"]
+    )
+
+    def mean_of(product: Column) -> Column:
+        return F.sum(F.col("_c") * product) / F.sum("_c")
+
+    centre = (F.sum("_c") + 1) / F.lit(2.0)  # the mean of average-tie ranks
     moments = ranked.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.covar_pop("_rv", "_rf").alias("_cov"),
-        (F.var_pop("_rv") * F.var_pop("_rf")).alias("_var"),
+        F.sum("_c").alias("n"),
+        (mean_of(F.col("_rv") * F.col("_rf")) - centre * centre).alias("_cov"),
+        (mean_of(F.col("_rv") * F.col("_rv")) - centre * centre).alias("_vv"),
+        (mean_of(F.col("_rf") * F.col("_rf")) - centre * centre).alias("_vf"),
     )
-    return moments.where((F.col("n") >= min_symbols) & (F.col("_var") > 0)).select(
-        *group, "n", (F.col("_cov") / F.sqrt("_var")).alias("rank_ic")
+    return moments.where((F.col("n") >= min_symbols) & (F.col("_vv") > 0) & (F.col("_vf") > 0)).select(
+        *group, "n", (F.col("_cov") / F.sqrt(F.col("_vv") * F.col("_vf"))).alias("rank_ic")
     )
 
 

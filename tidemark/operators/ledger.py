@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import average_rank
 from tidemark.functions.windows import ratio
 from tidemark.operators.portfolio import KEYS, Rules
 
@@ -62,52 +61,65 @@ def holding_runs(rows: DataFrame, fee: float, keys: list[str], price: str = "adj
     )
 
 
+def section_ranks(factors: DataFrame, points: DataFrame, directions: DataFrame) -> DataFrame:
+    """Rank of single names in their cross-sections: (factor, span, di, instrument, value, rank, size).
+
+    points: distinct (factor, span, di, instrument), a few per date, so they are
+    broadcast. Each factor row of such a date is compared with that date's points and
+    counted map-side; the cross-sections themselves are neither shuffled nor sorted.
+    """
+    at = [*KEYS, "di"]
+    scored = factors.where(F.col("value").isNotNull()).join(
+        F.broadcast(directions.select("factor", "direction")), "factor"
+    ).select(
+        *at, "instrument", "value",
+        F.when(F.col("direction") == "bottom", F.col("value")).otherwise(-F.col("value")).alias("_score"),
+    )
+    own = scored.join(F.broadcast(points), [*at, "instrument"], "left_semi")
+    known = points.join(F.broadcast(own), [*at, "instrument"], "left").select(
+        *at, "instrument", "value", F.col("_score").alias("_own")
+    )
+    compared = scored.select(*at, "_score").join(F.broadcast(known), at)
+    return compared.groupBy(*at, "instrument", "value").agg(
+        (F.count_if(F.col("_score") < F.col("_own")) + (F.count_if(F.col("_score") == F.col("_own")) + 1) / 2.0)
+        .alias("_rank"),
+        F.count(F.lit(1)).alias("size"),
+    ).select(
+        *at, "instrument", "value", F.when(F.col("value").isNotNull(), F.col("_rank")).alias("rank"), "size"
+    )
+
+
 def trade_ledger(rows: DataFrame, factors: DataFrame, directions: DataFrame, rules: Rules,
                  keys: list[str] = KEYS, price: str = "adj", shown: str = "raw", signal: str = "sig") -> DataFrame:
     """Trades with entry value, rank and universe size, and the reason for the exit.
 
-    factors: (factor, span, di, instrument, value) on all dates. Only the cross-sections of
-    dates on which something was entered or left are ranked.
+    factors: (factor, span, di, instrument, value) on all dates. A trade asks for two
+    ranks, on its entry and on its exit date.
     """
     trades = holding_runs(rows, rules.fee, keys, price, shown, signal)
-    touched = (
-        trades.select(*KEYS, F.col("entry_di").alias("di"))
-        .unionByName(trades.where(F.col("exit_di").isNotNull()).select(*KEYS, F.col("exit_di").alias("di")))
-        .distinct()
-    )
-    # At most one row per factor and calendar date.
-    sections = factors.join(F.broadcast(touched), [*KEYS, "di"], "left_semi").where(F.col("value").isNotNull())
-    scored = sections.join(F.broadcast(directions.select("factor", "direction")), "factor").withColumn(
-        "_score", F.when(F.col("direction") == "bottom", F.col("value")).otherwise(-F.col("value"))
-    )
-    sizes = sections.groupBy(*KEYS, "di").agg(F.count(F.lit(1)).alias("_size"))
-    traded = trades.select(*KEYS, "instrument").distinct()
-    ranked = average_rank(scored, [*KEYS, "di"], "_score", "_rank").join(
-        F.broadcast(traded), [*KEYS, "instrument"], "left_semi"
-    ).select(*KEYS, "di", "instrument", "value", "_rank")
-
-    at_entry = ranked.select(
-        *KEYS, "instrument", F.col("di").alias("entry_di"),
-        F.col("value").alias("factor_value_at_entry"), F.col("_rank").alias("rank_at_entry"),
-    )
-    at_exit = ranked.select(*KEYS, "instrument", F.col("di").alias("exit_di"), F.col("_rank").alias("exit_rank"))
-    joined = (
-        trades.join(at_entry, [*KEYS, "instrument", "entry_di"], "left")
-        .join(at_exit, [*KEYS, "instrument", "exit_di"], "left")
-        .join(
-            sizes.select(*KEYS, F.col("di").alias("entry_di"), F.col("_size").alias("universe_size_at_entry")),
-            [*KEYS, "entry_di"], "left",
-        )
-    )
+    details = [c for c in trades.columns if c not in (*keys, "instrument")]
+    visits = F.array_compact(F.array(
+        F.struct(F.lit(True).alias("entry"), F.col("entry_di").alias("di")),
+        F.when(F.col("exit_di").isNotNull(), F.struct(F.lit(False).alias("entry"), F.col("exit_di").alias("di"))),
+    ))
+    points = trades.select(*keys, "instrument", F.struct(*details).alias("_trade"), F.inline(visits))
+    ranks = section_ranks(factors, points.select(*KEYS, "di", "instrument").distinct(), directions)
+    ranked = points.join(F.broadcast(ranks), [*KEYS, "di", "instrument"], "left")
+    entry = F.col("entry")
+    joined = ranked.groupBy(*keys, "instrument", "_trade").agg(
+        F.max(F.when(entry, F.col("value"))).alias("factor_value_at_entry"),
+        F.max(F.when(entry, F.col("rank"))).alias("rank_at_entry"),
+        F.coalesce(F.max(F.when(entry, F.col("size"))), F.lit(0)).alias("universe_size_at_entry"),
+        F.max(F.when(~entry, F.col("rank"))).alias("exit_rank"),
+    ).select(*keys, "instrument", "_trade.*", "factor_value_at_entry", "rank_at_entry",
+             "universe_size_at_entry", "exit_rank")
     reason = (
         F.when(F.col("status") == "open", F.lit(""))
         .when(F.col("exit_rank").isNull(), F.lit("missing"))
         .when(F.col("exit_rank") > rules.band, F.lit("fell_out"))
         .otherwise(F.lit("rebalanced"))
     )
-    return joined.withColumn("exit_reason", reason).withColumn(
-        "universe_size_at_entry", F.coalesce("universe_size_at_entry", F.lit(0))
-    ).select(*keys, *LEDGER_COLUMNS)
+    return joined.withColumn("exit_reason", reason).select(*keys, *LEDGER_COLUMNS)
 
 
 def ledger_summary(ledger: DataFrame, keys: list[str] = KEYS) -> DataFrame:

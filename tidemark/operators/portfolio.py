@@ -159,7 +159,8 @@ def signal_rows(panel: DataFrame, holdings: DataFrame, directions: DataFrame, ru
     """
     picked = holdings.select(*KEYS, "k", F.explode("picks").alias("instrument"))
     ever = picked.select(*KEYS, "instrument").distinct()
-    rows = panel.where(F.col("adj").isNotNull()).join(F.broadcast(ever), ["span", "instrument"])
+    prices = panel.select("span", "date", "di", "instrument", "adj", "raw", "adj_open", "raw_open")
+    rows = prices.where(F.col("adj").isNotNull()).join(F.broadcast(ever), ["span", "instrument"])
     rows = rows.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "instrument")))
     held = picked.withColumn("sig", F.lit(1))
     joined = rows.where(F.col("_rows") >= 3).withColumn("k", period_of(rules.rebalance_days)).join(

@@ -25,7 +25,7 @@ from tidemark.operators.portfolio import (
 )
 from tidemark.operators.timing import compare_timing, timing_contributions
 from tidemark.operators.universe import UniverseSpec, pit_eligibility, universe_sizes
-from tidemark.session import cut_lineage
+from tidemark.session import store_intermediate
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,8 @@ class Research:
     panel: date, instrument, open, high, low, close, volume, factor.
     ``is_ratio`` splits the sample: directions then come from the first span only and
     both spans are run separately. ``direction`` is auto, top, bottom or short.
-    ``reuse`` writes the small holdings table to the checkpoint folder, for runs that
-    derive several reports from it.
+    ``reuse`` stores calendar, factor table, directions and holdings in the checkpoint
+    folder: ranking, selection and ledger all read them, and so do several reports of one run.
     """
 
     panel: DataFrame
@@ -46,11 +46,11 @@ class Research:
     fwd_days: int = 5
     universe: UniverseSpec = UniverseSpec.all()
     is_ratio: float | None = None
-    reuse: bool = False
+    reuse: bool = True
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return calendar(self.universe_panel)
+        return self._kept(calendar(self.universe_panel), "calendar")
 
     @cached_property
     def universe_panel(self) -> DataFrame:
@@ -60,7 +60,7 @@ class Research:
     @cached_property
     def spans(self) -> DataFrame:
         spans = spans_of(self.calendar, self.is_ratio)
-        return spans if self.is_ratio is None else require_long_spans(spans)
+        return self._kept(spans if self.is_ratio is None else require_long_spans(spans), "spans")
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -76,7 +76,10 @@ class Research:
         out-of-sample dates have values.
         """
         rows = factor_table(self.prices, self.names, keep=("span", "di", "fwd"))
-        return self.universe.mask(rows, self.universe_panel)
+        return self._kept(self.universe.mask(rows, self.universe_panel), "factors")
+
+    def _kept(self, df: DataFrame, label: str) -> DataFrame:
+        return store_intermediate(df, label) if self.reuse else df
 
     @cached_property
     def factor_spans(self) -> DataFrame:
@@ -94,17 +97,17 @@ class Research:
         if self.direction != "auto":
             return fixed_direction(self.factor_spans, self.direction)
         deciding = self.ics if self.is_ratio is None else self.ics.where(F.col("span") == "is")
-        return auto_direction(deciding, self.factor_spans)
+        return self._kept(auto_direction(deciding, self.factor_spans), "directions")
 
     @cached_property
     def holdings(self) -> DataFrame:
         candidates = rebalance_candidates(self.factors, self.directions, self.rules)
         holdings = select_holdings(candidates, self.spans, self.factor_spans, self.rules)
-        return cut_lineage(holdings) if self.reuse else holdings
+        return self._kept(holdings, "holdings")
 
     @cached_property
     def rows(self) -> DataFrame:
-        return signal_rows(self.prices, self.holdings, self.directions, self.rules)
+        return self._kept(signal_rows(self.prices, self.holdings, self.directions, self.rules), "signals")
 
     @cached_property
     def daily(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +44,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder so that several jobs can reuse it.
+def store_intermediate(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the checkpoint folder and return the stored table.
 
-    The files are on shared storage, so a lost executor costs a re-read and not a
-    recomputation of the whole plan.
+    For results that several later steps read: the plan before it runs once, later
+    scans still prune columns, and a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    folder = checkpoint_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -131,12 +131,11 @@ VIEWS["v_horizon"] = "SELECT max(date) AS d FROM v_cal"
 _NAME = re.compile(r"\b[a-z0-9]*v_[a-z0-9_]+\b")
 
 
-def _needed(sql: str, found: list[str]) -> list[str]:
+def _needed(sql: str, found: list[str], inside: tuple[str, ...] = ()) -> list[str]:
     for name in _NAME.findall(sql):
-        if name in VIEWS and name not in found:
-            _needed(VIEWS[name], found)
-            if name not in found:
-                found.append(name)
+        if name in VIEWS and name not in found and name not in inside:
+            _needed(VIEWS[name], found, (*inside, name))
+            found.append(name)
     return found
 
 

@@ -23,7 +23,7 @@ IC_COLUMNS = "factor, date, n, round(rank_ic, 6) + 0.0 AS rank_ic"
 
 
 def research(t: Tables, **options) -> Research:
-    return Research(t.panel, rules=RULES, **options)
+    return Research(t.stored_panel, rules=RULES, **options)
 
 
 def index_of(t: Tables) -> DataFrame:
@@ -35,7 +35,7 @@ def index_of(t: Tables) -> DataFrame:
 @query("volume_change_5d", f"""
 SELECT date, instrument, {d('value')} FROM v_fac WHERE factor = 'volume_change_5d'""")
 def volume_change_5d(t: Tables) -> DataFrame:
-    return factors.factor_table(t.panel, ("volume_change_5d",)).drop("factor")
+    return factors.factor_table(t.stored_panel, ("volume_change_5d",)).drop("factor")
 
 
 K = "PARTITION BY instrument ORDER BY date"
@@ -65,7 +65,7 @@ FROM (SELECT *, pow(least(r, 0), 2) AS neg2, CASE WHEN r < 0 THEN volume ELSE 0
       FROM (SELECT *, close / lag(close) OVER ({K}) - 1 AS r FROM v_panel))""")
 def factor_library(t: Tables) -> DataFrame:
     names = tuple(LIBRARY)
-    rows = factors.factor_table(t.panel, names)
+    rows = factors.factor_table(t.stored_panel, names)
     return rows.groupBy("date", "instrument").pivot("factor", list(names)).agg(F.first("value"))
 
 
@@ -74,7 +74,7 @@ SELECT factor, count(*) AS n_rows, count(DISTINCT instrument) AS n_instruments,
        {d('avg(value)', 'mean')}, {d('stddev_samp(value)', 'std')}, {d('min(value)', 'min')}, {d('max(value)', 'max')},
        {d('avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END)', 'na_ratio')} FROM v_fac GROUP BY factor""")
 def factor_summary(t: Tables) -> DataFrame:
-    return factors.factor_summary(factors.factor_table(t.panel))
+    return factors.factor_summary(factors.factor_table(t.stored_panel))
 
 
 @query("forward_return", f"SELECT date, instrument, {d('fwd')} FROM fv_px LEFT JOIN fv_fwd USING (span, date, instrument)")
@@ -90,7 +90,7 @@ SELECT factor, date, instrument,
     + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0, 6) + 0.0 END AS rank_down
 FROM v_fac""")
 def cross_rank(t: Tables) -> DataFrame:
-    rows = factors.factor_table(t.panel)
+    rows = factors.factor_table(t.stored_panel)
     up = average_rank(rows, ["factor", "date"], "value", "rank_up")
     return average_rank(up, ["factor", "date"], "value", "rank_down", descending=True).drop("value")
 

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.adjust import build_panel
 from tidemark.operators.calendar import calendar
 from tidemark.operators.listing import sample_history
+from tidemark.session import store_intermediate
+
+
+_STORED: dict[tuple[str, str], DataFrame] = {}
 
 
 def r6(value: Column | str) -> Column:
@@ -39,9 +43,12 @@ def symbol_of(key: str) -> Column:
 class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     @cached_property
     def _trades(self) -> DataFrame:
@@ -199,6 +206,14 @@ class Tables:
         """Research panel; the factor is stored with six decimals."""
         return build_panel(self.daily, self.dividends).withColumn("factor", F.round("factor", 6))
 
+    @cached_property
+    def stored_panel(self) -> DataFrame:
+        """The panel as a stored table: research runs on an exported panel, written once per session."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _STORED:
+            _STORED[key] = store_intermediate(self.panel, "panel")
+        return _STORED[key]
+
     @cached_property
     def index(self) -> DataFrame:
         """Market level per week: mean price per share traded, from 1997 on."""
