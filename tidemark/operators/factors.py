@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change, full_mean, full_stddev, full_sum, history, ratio
@@ -14,26 +14,28 @@ DEFAULT_FACTORS = ("ma_deviation_20d", "volume_change_5d")
 
 FactorFn = Callable[[DataFrame], "Column | DataFrame"]
 
-_ROWS = history("instrument")
+
+def _rows() -> WindowSpec:
+    return history("instrument")
 
 
 def _gap_down_share(_: DataFrame) -> Column:
-    return full_mean((F.col("open") < F.col("_prev_low")).cast("double"), _ROWS, 20)
+    return full_mean((F.col("open") < F.col("_prev_low")).cast("double"), _rows(), 20)
 
 
 def _obv_change(_: DataFrame) -> Column:
     # The change of a running sum over 10 rows is the sum of those 10 rows.
     signed = F.coalesce(F.signum("_ret"), F.lit(0.0)) * F.col("volume")
-    return F.when(F.lag("close", 10).over(_ROWS).isNotNull(), F.sum(signed).over(_ROWS.rowsBetween(-9, 0)))
+    return F.when(F.lag("close", 10).over(_rows()).isNotNull(), F.sum(signed).over(_rows().rowsBetween(-9, 0)))
 
 
 def _down_volume_share(_: DataFrame) -> Column:
     down = F.when(F.col("_ret") < 0, F.col("volume")).otherwise(F.lit(0.0))
-    return ratio(full_sum(down, _ROWS, 20), full_sum(F.col("volume"), _ROWS, 20))
+    return ratio(full_sum(down, _rows(), 20), full_sum(F.col("volume"), _rows(), 20))
 
 
 def _momentum(n: int) -> FactorFn:
-    return lambda _: change(F.col("close"), _ROWS, n)
+    return lambda _: change(F.col("close"), _rows(), n)
 
 
 _REGISTRY: dict[str, FactorFn] = {
@@ -41,15 +43,15 @@ _REGISTRY: dict[str, FactorFn] = {
     "momentum_5d": _momentum(5),
     "momentum_10d": _momentum(10),
     "momentum_20d": _momentum(20),
-    "ma_deviation_20d": lambda _: ratio(F.col("close"), full_mean(F.col("close"), _ROWS, 20)) - 1,
-    "volatility_20d": lambda _: full_stddev(F.col("_ret"), _ROWS, 20),
-    "realized_vol_10d": lambda _: full_stddev(F.col("_ret"), _ROWS, 10),
+    "ma_deviation_20d": lambda _: ratio(F.col("close"), full_mean(F.col("close"), _rows(), 20)) - 1,
+    "volatility_20d": lambda _: full_stddev(F.col("_ret"), _rows(), 20),
+    "realized_vol_10d": lambda _: full_stddev(F.col("_ret"), _rows(), 10),
     "risk_adjusted_momentum_20d": lambda _: ratio(
-        change(F.col("close"), _ROWS, 20), full_stddev(F.col("_ret"), _ROWS, 20)
+        change(F.col("close"), _rows(), 20), full_stddev(F.col("_ret"), _rows(), 20)
     ),
-    "downside_deviation_20d": lambda _: F.sqrt(full_mean(F.pow(F.least("_ret", F.lit(0.0)), 2), _ROWS, 20)),
+    "downside_deviation_20d": lambda _: F.sqrt(full_mean(F.pow(F.least("_ret", F.lit(0.0)), 2), _rows(), 20)),
     "obv_10d_change": _obv_change,
-    "volume_change_5d": lambda _: change(F.col("volume"), _ROWS, 5),
+    "volume_change_5d": lambda _: change(F.col("volume"), _rows(), 5),
     "upper_shadow_ratio": lambda _: ratio(
         F.col("high") - F.greatest("open", "close"), F.col("high") - F.col("low")
     ),
@@ -82,8 +84,8 @@ def factor_table(panel: DataFrame, names: tuple[str, ...] = DEFAULT_FACTORS, kee
     if missing:
         raise KeyError(f"unknown factors: {', '.join(sorted(missing))}")
     prepared = panel.withColumns({
-        "_ret": change(F.col("close"), _ROWS),
-        "_prev_low": F.lag("low").over(_ROWS),
+        "_ret": change(F.col("close"), _rows()),
+        "_prev_low": F.lag("low").over(_rows()),
     })
     results = {name: _REGISTRY[name](prepared) for name in names}
     columns = {n: r for n, r in results.items() if isinstance(r, Column)}

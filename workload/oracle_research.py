@@ -26,7 +26,7 @@ SELECT 'volume_change_5d', date, instrument, volume / nullif(lag(volume, 5) OVER
 FROM v_panel"""
 
 
-def chain(p: str, spans: str, deciding: str = "TRUE", fee: float = FEE) -> None:
+def chain(p: str, spans: str, deciding: str = "TRUE", fixed: str | None = None, fee: float = FEE) -> None:
     v = VIEWS
     v[f"{p}v_spans"] = spans
     v[f"{p}v_px"] = f"SELECT x.*, s.span, s.di FROM v_prices x JOIN {p}v_spans s USING (date)"
@@ -50,6 +50,9 @@ SELECT n.factor, s.span, s.n_days FROM (SELECT unnest(['ma_deviation_20d', 'volu
 SELECT n.factor, CASE WHEN i.m >= 0 THEN 'top' ELSE 'bottom' END AS direction, i.m AS ic_mean
 FROM (SELECT DISTINCT factor FROM {p}v_names) n
 LEFT JOIN (SELECT factor, avg(rank_ic) AS m FROM {p}v_ic WHERE {deciding} GROUP BY 1) i USING (factor)"""
+    if fixed is not None:
+        v[f"{p}v_dir"] = f"SELECT DISTINCT factor, '{fixed}' AS direction FROM {p}v_names"
+    side = -1 if fixed == "short" else 1
     v[f"{p}v_score"] = f"""
 SELECT f.*, CASE d.direction WHEN 'bottom' THEN f.value ELSE -f.value END AS score
 FROM {p}v_fx f JOIN {p}v_dir d USING (factor) WHERE f.value IS NOT NULL"""
@@ -102,7 +105,7 @@ WINDOW k AS (PARTITION BY factor, span, instrument ORDER BY di)"""
 SELECT *, pos * (adj / prev - 1) AS gross, CASE WHEN prev IS NULL THEN 0 ELSE pos * (adj / prev - 1) - abs(pos - ppos) * {fee} END AS net,
        abs(pos - ppos) AS traded FROM (
   SELECT *, coalesce(lag(pos) OVER k, 0) AS ppos, lag(adj) OVER k AS prev FROM (
-    SELECT *, coalesce(lag(sig) OVER j, 0) AS pos FROM {p}v_vars WINDOW j AS (PARTITION BY factor, span, variant, instrument ORDER BY di))
+    SELECT *, coalesce(lag(sig) OVER j, 0) * {side} AS pos FROM {p}v_vars WINDOW j AS (PARTITION BY factor, span, variant, instrument ORDER BY di))
   WINDOW k AS (PARTITION BY factor, span, variant, instrument ORDER BY di))"""
     v[f"{p}v_daily"] = f"""
 SELECT n.factor, n.span, w.variant, s.di, s.date, coalesce(q.net, 0.0) AS net, coalesce(q.gross, 0.0) AS gross, coalesce(q.trades, 0) AS trades
@@ -168,3 +171,4 @@ SELECT span, date, di, max(di) OVER (PARTITION BY span) AS n_days FROM (
 
 chain("f", FULL_SPANS)
 chain("o", SPLIT_SPANS, deciding="span = 'is'")
+chain("s", FULL_SPANS, fixed="short")

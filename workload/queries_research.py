@@ -207,17 +207,21 @@ def drawdown(t: Tables) -> DataFrame:
 METRICS = ", ".join(d(c) for c in ("total_return", "annual_return", "volatility", "sharpe", "max_drawdown", "win_rate"))
 
 
-@query("portfolio_metrics", f"""
+def _metrics_sql(p: str) -> str:
+    return f"""
 SELECT m.factor, coalesce(x.direction, 'mixed') AS direction, {METRICS}, n_days, t.trade_count,
-       round(coalesce(h.t, (SELECT avg(t) FROM (SELECT avg(turnover) AS t FROM fv_hold GROUP BY factor))), 6) + 0.0 AS avg_turnover
-FROM ({metrics('fv_all', 'factor')}) m
-JOIN (SELECT factor, CAST(sum(trades) AS BIGINT) AS trade_count FROM fv_all GROUP BY 1) t USING (factor)
-LEFT JOIN fv_dir x USING (factor) LEFT JOIN (SELECT factor, avg(turnover) AS t FROM fv_hold GROUP BY 1) h USING (factor)""")
+       round(coalesce(h.t, (SELECT avg(t) FROM (SELECT avg(turnover) AS t FROM {p}v_hold GROUP BY factor))), 6) + 0.0 AS avg_turnover
+FROM ({metrics(p + 'v_all', 'factor')}) m
+JOIN (SELECT factor, CAST(sum(trades) AS BIGINT) AS trade_count FROM {p}v_all GROUP BY 1) t USING (factor)
+LEFT JOIN {p}v_dir x USING (factor) LEFT JOIN (SELECT factor, avg(turnover) AS t FROM {p}v_hold GROUP BY 1) h USING (factor)"""
+
+
+@query("portfolio_metrics", _metrics_sql("f"))
 def portfolio_metrics(t: Tables) -> DataFrame:
     return research(t).metrics().drop("span")
 
 
-@query("portfolio_metrics_short", None)
+@query("portfolio_metrics_short", _metrics_sql("s"))
 def portfolio_metrics_short(t: Tables) -> DataFrame:
     """Short positions in the highest values; costs reduce the return on this side as well."""
     return research(t, direction="short").metrics().drop("span")
