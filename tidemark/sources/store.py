@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.ranks import best_rows
 from tidemark.operators.quality import split_by_contract
@@ -106,7 +107,7 @@ class PanelStore:
         if table in TABLES:
             schema = schema_of(table)
             if "date" in schema.fieldNames():
-                schema = type(schema)(list(schema.fields)).add("year", "int")
+                schema = T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
             reader = reader.schema(schema)
         return scan(reader.parquet(path), symbols, start, end).drop("year")
 

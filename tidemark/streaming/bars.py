@@ -9,6 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.sources.store import PanelStore
 
 
+def _with_watermark(ticks: DataFrame, delay: str) -> DataFrame:
+    """Event time has to be an instant for a watermark; local times are read in the session zone."""
+    return ticks.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
+
+
 def ticks_to_bars(ticks: DataFrame, interval: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """(symbol, timestamp, price, size_shares) → bars labelled by the start of their interval.
 
@@ -16,7 +21,7 @@ def ticks_to_bars(ticks: DataFrame, interval: str = "1 hour", watermark: str | N
     row per interval and map task. With a watermark the same plan runs on a stream and
     closes a bar once the watermark has passed its end.
     """
-    source = ticks.withWatermark("timestamp", watermark) if watermark else ticks
+    source = _with_watermark(ticks, watermark) if watermark else ticks
     return source.groupBy("symbol", F.window("timestamp", interval).alias("_w")).agg(
         F.min_by("price", "timestamp").alias("open"),
         F.max("price").alias("high"),
@@ -26,7 +31,7 @@ def ticks_to_bars(ticks: DataFrame, interval: str = "1 hour", watermark: str | N
         F.sum(F.col("price") * F.col("size_shares")).alias("turnover_twd"),
         F.count(F.lit(1)).alias("trade_count"),
     ).select(
-        "symbol", F.col("_w.start").alias("date"), "open", "high", "low", "close",
+        "symbol", F.col("_w.start").cast("timestamp_ntz").alias("date"), "open", "high", "low", "close",
         "volume_shares", "turnover_twd", "trade_count",
     )
 
@@ -39,7 +44,9 @@ def sessions(ticks: DataFrame, gap_seconds: int) -> DataFrame:
     chains of cells; a symbol has at most one cell per ``gap_seconds`` of calendar
     time, however many ticks it has.
     """
-    cell = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(gap_seconds * 1_000_000))
+    at = F.col("timestamp")
+    of_day = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    cell = F.floor((F.unix_date(F.to_date(at)).cast("long") * 86400 + of_day) / gap_seconds)
     cells = ticks.groupBy("symbol", cell.alias("_cell")).agg(
         F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"),
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"),
@@ -57,17 +64,18 @@ def sessions(ticks: DataFrame, gap_seconds: int) -> DataFrame:
 
 def stream_sessions(ticks: DataFrame, gap: str, watermark: str) -> DataFrame:
     """The streaming twin of :func:`sessions`: state per open session, emitted when the watermark passes."""
-    return ticks.withWatermark("timestamp", watermark).groupBy(
+    return _with_watermark(ticks, watermark).groupBy(
         "symbol", F.session_window("timestamp", gap).alias("_w")
     ).agg(
-        F.min("timestamp").alias("session_start"), F.max("timestamp").alias("session_end"),
+        F.min("timestamp").cast("timestamp_ntz").alias("session_start"),
+        F.max("timestamp").cast("timestamp_ntz").alias("session_end"),
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"),
     ).drop("_w")
 
 
 def deduplicate(ticks: DataFrame, key: list[str], watermark: str) -> DataFrame:
     """Drop re-delivered ticks that arrive within the watermark of the first one."""
-    return ticks.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(key)
+    return _with_watermark(ticks, watermark).dropDuplicatesWithinWatermark(key)
 
 
 def upsert_stream(bars: DataFrame, store: PanelStore, table: str, checkpoint: str,
