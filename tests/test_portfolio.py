@@ -178,18 +178,20 @@ def test_overnight_gain_needs_the_close(spark):
     values = {"A": [2, 2, 2, 1, 1, 1], "B": [1, 1, 1, 2, 2, 2]}
     rules = Rules(1, 1, **FREE)
     spans, _, table, directions, holdings, rows = _research_inputs(spark, values, closes, opens, rules)
-    got = {r.variant: r.annual_return for r in compare_timing(rows, holdings, table, spans, directions, rules).collect()}
+    got = {r.variant: r.annual_return for r in compare_timing(rows, holdings, table, spans, rules).collect()}
     assert got["close_t"] > 0 and abs(got["open_t1"]) < 1e-9 and abs(got["close_t1"]) < 1e-9
     late = timing_rows(rows, holdings, rules).where("variant = 'close_t1' AND instrument = 'A'")
     assert column(late, "exec_sig", "di") == [0, 1, 1, 1, 0, 0]
 
 
-def test_rank_ic_equals_pandas(spark):
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize("section_rows", [None, 100])
+def test_rank_ic_equals_pandas(spark, section_rows):
     rng = random.Random(5)
     rows = [("f", day(d), f"i{k}", rng.choice([None, 0.0, 1.0, rng.random()]), rng.choice([0.0, rng.random(), None]))
             for d in range(12) for k in range(3 + d)]
     df = spark.createDataFrame(rows, "factor string, date date, instrument string, value double, fwd double")
-    got = {r.date: (r.n, r.rank_ic) for r in ic.daily_rank_ic(df).collect()}
+    got = {r.date: (r.n, r.rank_ic) for r in ic.daily_rank_ic(df, section_rows=section_rows).collect()}
     frame = pd.DataFrame(rows, columns=["factor", "date", "instrument", "value", "fwd"]).dropna()
     want = {}
     for date, g in frame.groupby("date"):

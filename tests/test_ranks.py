@@ -16,11 +16,12 @@ def _rows(seed, n, ties):
             for k in range(n)]
 
 
+@pytest.mark.parametrize("section_rows", [None, 1000])
 @pytest.mark.parametrize("descending", [False, True])
-def test_average_rank_equals_pandas(spark, descending):
+def test_average_rank_equals_pandas(spark, descending, section_rows):
     rows = _rows(1, 800, 0.4)
     df = spark.createDataFrame(rows, "g string, i string, v double")
-    got = {r.i: r.rk for r in average_rank(df, ["g"], "v", "rk", descending).collect()}
+    got = {r.i: r.rk for r in average_rank(df, ["g"], "v", "rk", descending, section_rows).collect()}
     frame = pd.DataFrame(rows, columns=["g", "i", "v"])
     want = frame.assign(rk=frame.groupby("g")["v"].rank(ascending=not descending)).set_index("i")["rk"]
     assert len(got) == 800

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 SALTS = 256
 
+# Rows that one window group may hold. A larger or unmeasured cross-section is ranked in buckets.
+SMALL_SECTION = 2_000_000
+
 
 def value_bucket(value: Column, unit: float = 1e-6, per_fold: int = 512) -> Column:
     """A bucket number that never decreases as ``value`` grows.
@@ -49,12 +52,37 @@ def rank_table(counts: DataFrame, group: list[str], value: str, n: str, out: str
     )
 
 
-def average_rank(df: DataFrame, group: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group: one map-side combined count over the group columns."""
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
+def is_small(section_rows: int | None) -> bool:
+    """Whether a cross-section has been measured and fits one task."""
+    return section_rows is not None and section_rows <= SMALL_SECTION
+
+
+def tie_rank(group: list[str], value: str, descending: bool = False) -> Column:
+    """Average-tie rank as window functions over the whole group; only for groups known to be small.
+
+    Both windows share one shuffle and one sort.
+    """
+    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    first = F.rank().over(Window.partitionBy(*group).orderBy(key))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+    return F.when(F.col(value).isNotNull(), first + (ties - 1) / F.lit(2.0))
+
+
+def average_rank(df: DataFrame, group: list[str], value: str, out: str, descending: bool = False,
+                 section_rows: int | None = None) -> DataFrame:
     """Add the average-tie rank of ``value`` within ``group``; null values stay unranked.
 
-    ``df`` is read twice (to count its values and to receive the ranks): pass a
-    stored table where computing it is expensive.
+    ``section_rows`` is the measured size of the largest group. Small groups are ranked
+    by windows. Otherwise ``df`` is read twice (to count its values and to receive the
+    ranks): pass a stored table where computing it is expensive.
     """
+    if is_small(section_rows):
+        return df.withColumn(out, tie_rank(group, value, descending))
     number = F.col(value).cast("double")
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, number.alias("_value")).agg(
         F.count(F.lit(1)).alias("_rows")

@@ -18,6 +18,16 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """Redistribute an input that has fewer splits than the cluster has cores.
+
+    A small table in one file would be worked on by one core; an input with enough
+    splits of its own is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _hex_digit(char: Column) -> Column:
     code = F.ascii(char)
     return code - F.when(code > 57, 87).otherwise(48)
@@ -34,7 +44,7 @@ def char_ngram_tf(df: DataFrame, key: list[str], text: str, n: int = 3) -> DataF
     the n-gram's MD5 modulo 256, which is its last byte. Buckets are counted with
     map-side combining, so one text sends at most 256 rows per map task.
     """
-    texts = df.select(*key, squeeze(F.col(text)).alias("_text")).where(F.length("_text") >= n)
+    texts = spread(df.select(*key, text), key).select(*key, squeeze(F.col(text)).alias("_text")).where(F.length("_text") >= n)
     chars = texts.select(*key, F.split("_text", "").alias("_chars"))
     # One pass over the characters: substring() would walk the text again for every gram.
     grams = F.transform(

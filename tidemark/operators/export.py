@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import calendar, with_calendar_index
@@ -19,26 +19,33 @@ def dense_vectors(daily: DataFrame) -> DataFrame:
     """(symbol, field, start_index, first_date, last_date, vector).
 
     ``vector`` has one 32-bit float per calendar day, NaN where the symbol has no row.
-    The days come from a sequence inside each symbol's row, so no calendar × symbol
-    product is built; a vector is as long as the calendar and no longer.
+    Each row brings the run of missing days before it (the last one also those after
+    it), so a vector is put together in one pass over its symbol's rows and no
+    calendar × symbol product is built. A vector is as long as the calendar.
     """
     rows = latest_rows([daily], ["symbol", "date"]).withColumn("symbol", F.upper("symbol"))
     cal = calendar(rows)
     n_days = cal.agg(F.max("di")).scalar()
-    indexed = with_calendar_index(rows, cal)
-    fields = F.array(*[
-        F.struct(F.lit(out).alias("field"), F.col(name).cast("double").alias("value"))
-        for name, out in FIELD_NAMES.items()
-    ])
-    cells = indexed.select("symbol", "date", "di", F.inline(fields))
-    by_field = cells.groupBy("symbol", "field").agg(
+    by_day = Window.partitionBy("symbol").orderBy("di")
+    padded = with_calendar_index(rows, cal).withColumns({
+        "_before": (F.col("di") - F.coalesce(F.lag("di").over(by_day), F.lit(0)) - 1).cast("int"),
+        "_after": F.when(F.lead("di").over(by_day).isNull(), n_days - F.col("di")).otherwise(F.lit(0)).cast("int"),
+    })
+    values = [F.col(name).cast("float").alias(out) for name, out in FIELD_NAMES.items()]
+    by_symbol = padded.groupBy("symbol").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.map_from_entries(F.collect_list(F.struct("di", "value"))).alias("_cells"),
-    )
-    vector = F.transform(
-        F.sequence(F.lit(1).cast("long"), F.col("_n")),
-        lambda di: F.coalesce(F.try_element_at("_cells", di), F.lit(float("nan"))).cast("float"),
-    )
-    return by_field.withColumn("_n", n_days).select(
-        "symbol", "field", F.lit(0).alias("start_index"), "first_date", "last_date", vector.alias("vector")
+        F.array_sort(F.collect_list(F.struct("di", "_before", "_after", *values))).alias("_rows"),
     )
+    missing = F.lit(float("nan")).cast("float")
+
+    def vector(field: str) -> Column:
+        pieces = F.transform("_rows", lambda r: F.concat(
+            F.array_repeat(missing, r["_before"]), F.array(F.coalesce(r[field], missing)),
+            F.array_repeat(missing, r["_after"]),
+        ))
+        return F.struct(F.lit(field).alias("field"), F.flatten(pieces).alias("vector"))
+
+    return by_symbol.select(
+        "symbol", F.lit(0).alias("start_index"), "first_date", "last_date",
+        F.inline(F.array(*[vector(out) for out in FIELD_NAMES.values()])),
+    ).select("symbol", "field", "start_index", "first_date", "last_date", "vector")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import rank_table
+from tidemark.functions.ranks import is_small, rank_table, tie_rank
 from tidemark.functions.windows import at_calendar_offset, ratio
 
 # Names a day needs, days a summary needs.
@@ -25,20 +25,27 @@ def align(factors: DataFrame, forward: DataFrame) -> DataFrame:
 
 
 def daily_rank_ic(pairs: DataFrame, min_symbols: int = MIN_SYMBOLS, keys: tuple[str, ...] = ("factor",),
-                  day: str = "date") -> DataFrame:
+                  day: str = "date", section_rows: int | None = None) -> DataFrame:
     """(keys…, date, n, rank_ic): Spearman correlation of ``value`` and ``fwd`` per day.
 
     Both are ranked on their common non-null rows; days with fewer than
-    ``min_symbols`` names or no variation are left out. Rows are first folded into
-    cells of equal (value, fwd) with a count. Everything after that, both rank tables
-    and the final sums, works on the cells, so the pairs are computed and shuffled once.
+    ``min_symbols`` names or no variation are left out. With ``section_rows``, the
+    measured number of names on the widest day, narrow cross-sections are ranked by
+    windows after one shuffle. Wide or unmeasured ones are folded into cells of equal
+    (value, fwd) first; both rank tables and the sums then work on the cells, so the
+    pairs are still computed and shuffled once.
     """
     group = [*keys, day]
     common = pairs.where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
-    cells = common.groupBy(*group, "value", "fwd").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = cells.join(rank_table(cells, group, "value", "_c", "_rv"), [*group, "value"]).join(
-        rank_table(cells, group, "fwd", "_c", "_rf"), [*group, "fwd"]
-    )
+    if is_small(section_rows):
+        ranked = common.select(
+            *group, F.lit(1).alias("_c"), tie_rank(group, "value").alias("_rv"), tie_rank(group, "fwd").alias("_rf")
+        )
+    else:
+        cells = common.groupBy(*group, "value", "fwd").agg(F.count(F.lit(1)).alias("_c"))
+        ranked = cells.join(rank_table(cells, group, "value", "_c", "_rv"), [*group, "value"]).join(
+            rank_table(cells, group, "fwd", "_c", "_rf"), [*group, "fwd"]
+        )
 
     def mean_of(product: Column) -> Column:
         return F.sum(F.col("_c") * product) / F.sum("_c")

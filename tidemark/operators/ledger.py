@@ -91,12 +91,17 @@ def section_ranks(factors: DataFrame, points: DataFrame, directions: DataFrame)
 
 def trade_ledger(rows: DataFrame, factors: DataFrame, directions: DataFrame, rules: Rules,
                  keys: list[str] = KEYS, price: str = "adj", shown: str = "raw", signal: str = "sig") -> DataFrame:
-    """Trades with entry value, rank and universe size, and the reason for the exit.
+    """Trades of the signal rows with ranks and exit reasons."""
+    return explain_trades(holding_runs(rows, rules.fee, keys, price, shown, signal), factors, directions, rules, keys)
+
+
+def explain_trades(trades: DataFrame, factors: DataFrame, directions: DataFrame, rules: Rules,
+                   keys: list[str] = KEYS) -> DataFrame:
+    """Add entry value, rank and universe size, and the reason for the exit.
 
     factors: (factor, span, di, instrument, value) on all dates. A trade asks for two
     ranks, on its entry and on its exit date.
     """
-    trades = holding_runs(rows, rules.fee, keys, price, shown, signal)
     details = [c for c in trades.columns if c not in (*keys, "instrument")]
     visits = F.array_compact(F.array(
         F.struct(F.lit(True).alias("entry"), F.col("entry_di").alias("di")),

@@ -232,8 +232,12 @@ def _annual(total: Column, n: Column) -> Column:
     return F.when(n > 2, F.pow(1 + total, F.lit(float(TRADING_DAYS)) / n) - 1).otherwise(F.lit(0.0))
 
 
-def portfolio_metrics(daily: DataFrame, keys: list[str], value: str = "net", order: str = "date") -> DataFrame:
-    """Total and annual return, volatility and Sharpe over all days, drawdown, win share of active days."""
+def portfolio_metrics(daily: DataFrame, keys: list[str], value: str = "net", order: str = "date",
+                      totals: tuple[str, ...] = ()) -> DataFrame:
+    """Total and annual return, volatility and Sharpe over all days, drawdown, win share of active days.
+
+    ``totals`` names further columns to add up.
+    """
     curve = with_equity(daily, keys, value, order)
     r, std = F.coalesce(F.col(value), F.lit(0.0)), F.col("_std")
     year = F.sqrt(F.lit(float(TRADING_DAYS)))
@@ -242,12 +246,13 @@ def portfolio_metrics(daily: DataFrame, keys: list[str], value: str = "net", ord
         F.count(F.lit(1)).alias("n_days"), F.avg(r).alias("_mean"), F.stddev_samp(r).alias("_std"),
         F.max("drawdown").alias("max_drawdown"),
         F.coalesce(F.avg(F.when(r != 0, (r > 0).cast("double"))), F.lit(0.0)).alias("win_rate"),
+        *[F.sum(name).alias(name) for name in totals],
     )
     return stats.select(
         *keys, "total_return", _annual(F.col("total_return"), F.col("n_days")).alias("annual_return"),
         F.coalesce(std * year, F.lit(0.0)).alias("volatility"),
         F.coalesce(ratio(F.col("_mean"), std) * year, F.lit(0.0)).alias("sharpe"),
-        "max_drawdown", "win_rate", "n_days",
+        "max_drawdown", "win_rate", "n_days", *totals,
     )
 
 

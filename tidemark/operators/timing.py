@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ledger import ledger_summary, trade_ledger
+from tidemark.operators.ledger import holding_runs, ledger_summary
 from tidemark.operators.portfolio import KEYS, Rules, portfolio_daily, portfolio_metrics
 
 VARIANTS = ("close_t", "open_t1", "close_t1")
@@ -81,25 +81,21 @@ def timing_rows(rows: DataFrame, holdings: DataFrame, rules: Rules) -> DataFrame
     return renamed.select(*KEYS, "instrument", "date", "di", "side", F.inline(variants))
 
 
-def compare_timing(rows: DataFrame, holdings: DataFrame, factors: DataFrame, spans: DataFrame,
-                   directions: DataFrame, rules: Rules) -> DataFrame:
+def compare_timing(rows: DataFrame, holdings: DataFrame, factor_spans: DataFrame, spans: DataFrame,
+                   rules: Rules) -> DataFrame:
     """(factor, span, variant): net metrics, position changes and closed-trade statistics.
 
     ``rows`` are the signal rows of all held instruments; the variants are extra rows of
     that small table, not reruns of the backtest.
     """
     variants = timing_rows(rows, holdings, rules)
-    wanted = factors.select(*KEYS).distinct().withColumn(
+    wanted = factor_spans.select(*KEYS).distinct().withColumn(
         "variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS]))
     )
     daily = portfolio_daily(variants, spans, wanted, rules, VARIANT_KEYS, price="exec_adj", signal="exec_sig")
-    metrics = portfolio_metrics(daily, VARIANT_KEYS).join(
-        daily.groupBy(*VARIANT_KEYS).agg(F.sum("trades").alias("trades")), VARIANT_KEYS
-    )
-    ledger = trade_ledger(
-        variants, factors, directions, rules, VARIANT_KEYS, price="exec_adj", shown="exec_raw", signal="exec_sig"
-    )
-    closed = ledger_summary(ledger, VARIANT_KEYS).select(*VARIANT_KEYS, "mean_net", "win_share", "mean_holding")
+    metrics = portfolio_metrics(daily, VARIANT_KEYS, totals=("trades",))
+    runs = holding_runs(variants, rules.fee, VARIANT_KEYS, price="exec_adj", shown="exec_raw", signal="exec_sig")
+    closed = ledger_summary(runs, VARIANT_KEYS).select(*VARIANT_KEYS, "mean_net", "win_share", "mean_holding")
     return metrics.join(closed, VARIANT_KEYS, "left").select(
         *VARIANT_KEYS, "annual_return", "sharpe", "max_drawdown", "trades", "mean_net", "win_share", "mean_holding"
     )

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import largest_group
 from tidemark.operators.adjust import adjusted_prices
 from tidemark.operators.calendar import calendar
 from tidemark.operators.evaluation import (
@@ -17,7 +18,7 @@ from tidemark.operators.factors import DEFAULT_FACTORS, factor_table
 from tidemark.operators.ic import (
     auto_direction, daily_rank_ic, fixed_direction, ic_stability, ic_summary, with_forward_return,
 )
-from tidemark.operators.ledger import ledger_summary, trade_ledger
+from tidemark.operators.ledger import explain_trades, holding_runs, ledger_summary
 from tidemark.operators.portfolio import (
     KEYS, Rules, average_turnover, combined_daily, cost_erosion, equal_weight_benchmark, on_spans,
     portfolio_daily, portfolio_metrics, rebalance_candidates, resolve_benchmark, select_holdings, signal_rows,
@@ -35,8 +36,8 @@ class Research:
     panel: date, instrument, open, high, low, close, volume, factor.
     ``is_ratio`` splits the sample: directions then come from the first span only and
     both spans are run separately. ``direction`` is auto, top, bottom or short.
-    ``reuse`` stores calendar, factor table, directions and holdings in the checkpoint
-    folder: ranking, selection and ledger all read them, and so do several reports of one run.
+    ``reuse`` stores the steps that several results read (calendar, factor table, directions,
+    holdings, signals, daily returns) in the checkpoint folder; without it everything is one plan.
     """
 
     panel: DataFrame
@@ -64,9 +65,16 @@ class Research:
 
     @cached_property
     def prices(self) -> DataFrame:
-        """Adjusted prices per span, with the forward return inside the span."""
-        rows = on_spans(adjusted_prices(self.universe_panel), self.spans)
-        return with_forward_return(rows, self.fwd_days, ("instrument", "span"))
+        """Adjusted prices per span."""
+        return on_spans(adjusted_prices(self.universe_panel), self.spans)
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        """Prices with the forward return inside the span.
+
+        Shuffled once by instrument: the windows of the return and of all factors use that layout.
+        """
+        return with_forward_return(self.prices.repartition("instrument"), self.fwd_days, ("instrument", "span"))
 
     @cached_property
     def factors(self) -> DataFrame:
@@ -75,7 +83,7 @@ class Research:
         Factors look back over the whole sample before it is split, so the first
         out-of-sample dates have values.
         """
-        rows = factor_table(self.prices, self.names, keep=("span", "di", "fwd"))
+        rows = factor_table(self.returns, self.names, keep=("span", "di", "fwd"))
         return self._kept(self.universe.mask(rows, self.universe_panel), "factors")
 
     def _kept(self, df: DataFrame, label: str) -> DataFrame:
@@ -89,7 +97,13 @@ class Research:
 
     @cached_property
     def ics(self) -> DataFrame:
-        return daily_rank_ic(self.factors, keys=("factor", "span"))
+        ics = daily_rank_ic(self.factors, keys=("factor", "span"), section_rows=self.section_rows)
+        return self._kept(ics, "ics")
+
+    @cached_property
+    def section_rows(self) -> int | None:
+        """Names on the widest date, measured on the date column alone; unknown for a fully lazy run."""
+        return largest_group(self.universe_panel, ["date"]) if self.reuse else None
 
     @cached_property
     def directions(self) -> DataFrame:
@@ -111,7 +125,7 @@ class Research:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return portfolio_daily(self.rows, self.spans, self.factor_spans, self.rules)
+        return self._kept(portfolio_daily(self.rows, self.spans, self.factor_spans, self.rules), "daily")
 
     @cached_property
     def combined(self) -> DataFrame:
@@ -139,13 +153,12 @@ class Research:
 
     def metrics(self) -> DataFrame:
         """Metrics, position changes and turnover per portfolio, the combination included."""
-        trades = self.named_daily.groupBy(*KEYS).agg(F.sum("trades").alias("trade_count"))
         turnover = average_turnover(self.holdings)
         mean_turnover = turnover.groupBy("span").agg(F.avg("avg_turnover").alias("avg_turnover")).withColumn(
             "factor", F.lit("combined")
         )
         return (
-            portfolio_metrics(self.named_daily, KEYS).join(trades, KEYS)
+            portfolio_metrics(self.named_daily, KEYS, totals=("trades",)).withColumnRenamed("trades", "trade_count")
             .join(turnover.unionByName(mean_turnover), KEYS, "left")
             .join(self.directions.select("factor", "direction"), "factor", "left")
             .withColumn("direction", F.coalesce("direction", F.lit("mixed")))
@@ -157,13 +170,17 @@ class Research:
     def stability(self) -> DataFrame:
         return ic_stability(self.ics.drop("span"), self.calendar)
 
+    @cached_property
+    def trades(self) -> DataFrame:
+        return self._kept(holding_runs(self.rows, self.rules.fee, KEYS), "trades")
+
     def ledger(self) -> DataFrame:
-        return trade_ledger(self.rows, self.factors, self.directions, self.rules)
+        return explain_trades(self.trades, self.factors, self.directions, self.rules)
 
     def timing(self) -> DataFrame:
         if self.direction == "short":
             raise ValueError("execution timing compares long portfolios only")
-        return compare_timing(self.rows, self.holdings, self.factors, self.spans, self.directions, self.rules)
+        return compare_timing(self.rows, self.holdings, self.factor_spans, self.spans, self.rules)
 
     def years(self, index: DataFrame | None = None) -> DataFrame:
         return yearly_excess(yearly_stats(self.named_daily, ["factor"]), yearly_stats(self.benchmark(index), [], "ret"))
@@ -197,7 +214,7 @@ class Research:
         return ic_summary(self.ics, ("factor", "span"))
 
     def ledger_report(self) -> DataFrame:
-        return ledger_summary(self.ledger())
+        return ledger_summary(self.trades)
 
     def contributions(self) -> DataFrame:
         return timing_contributions(self.timing())

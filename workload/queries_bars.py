@@ -492,7 +492,7 @@ SELECT u.check, u.status, round(CAST(u.measure AS DOUBLE), 6) + 0.0 AS measure F
 def verify_panel(t: Tables) -> DataFrame:
     """The panel with factor holes on single-trade weeks, against the second source."""
     counts = t.bars.select("instrument", "date", "trade_count")
-    holed = t.panel.join(counts, ["instrument", "date"]).withColumn(
+    holed = t.stored_panel.join(counts, ["instrument", "date"]).withColumn(
         "factor", F.when((F.col("trade_count") == 1) & (F.col("factor") < 0.9), 1.0).otherwise(F.col("factor"))
     )
     return reconcile.verify_panel(holed, t.second_source)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import average_rank
+from tidemark.functions.ranks import average_rank, largest_group
 from tidemark.operators import evaluation, factors, ic, model, portfolio
 from tidemark.operators.features import ml_features
-from tidemark.operators.ledger import ledger_summary
 from tidemark.operators.timing import open_overrides, timing_contributions
 from tidemark.operators.universe import UniverseSpec
 from tidemark.plans.research import Research
@@ -79,7 +78,7 @@ def factor_summary(t: Tables) -> DataFrame:
 
 @query("forward_return", f"SELECT date, instrument, {d('fwd')} FROM fv_px LEFT JOIN fv_fwd USING (span, date, instrument)")
 def forward_return(t: Tables) -> DataFrame:
-    return research(t).prices.select("date", "instrument", "fwd")
+    return research(t).returns.select("date", "instrument", "fwd")
 
 
 @query("cross_rank", f"""
@@ -91,8 +90,24 @@ SELECT factor, date, instrument,
 FROM v_fac""")
 def cross_rank(t: Tables) -> DataFrame:
     rows = factors.factor_table(t.stored_panel)
-    up = average_rank(rows, ["factor", "date"], "value", "rank_up")
-    return average_rank(up, ["factor", "date"], "value", "rank_down", descending=True).drop("value")
+    widest = largest_group(t.stored_panel, ["date"])
+    up = average_rank(rows, ["factor", "date"], "value", "rank_up", section_rows=widest)
+    return average_rank(up, ["factor", "date"], "value", "rank_down", descending=True, section_rows=widest).drop("value")
+
+
+@query("cross_rank_wide", """
+SELECT factor, date, instrument,
+  CASE WHEN value IS NOT NULL THEN round(rank() OVER (PARTITION BY factor, date ORDER BY value)
+    + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0, 6) + 0.0 END AS rank_up FROM v_fac""")
+def cross_rank_wide(t: Tables) -> DataFrame:
+    """The same rank by value buckets, as for cross-sections that do not fit a task."""
+    return average_rank(factors.factor_table(t.stored_panel), ["factor", "date"], "value", "rank_up").drop("value")
+
+
+@query("rank_ic_wide", f"SELECT {IC_COLUMNS} FROM fv_ic")
+def rank_ic_wide(t: Tables) -> DataFrame:
+    """Rank IC on value cells, as for cross-sections that do not fit a task."""
+    return ic.daily_rank_ic(research(t).factors)
 
 
 @query("rank_ic_daily", f"SELECT {IC_COLUMNS} FROM fv_ic")
@@ -320,7 +335,7 @@ def _ledger_stats(keys: str, source: str) -> str:
 SELECT factor, n_trades, n_closed, n_open, {d('mean_net')}, {d('win_share')}, {d('mean_holding')}
 FROM ({_ledger_stats('factor', "(SELECT * FROM fv_ledger WHERE variant = 'close_t')")})""")
 def ledger_totals(t: Tables) -> DataFrame:
-    return ledger_summary(research(t).ledger()).drop("span")
+    return research(t).ledger_report().drop("span")
 
 
 @query("exec_overrides", f"""
