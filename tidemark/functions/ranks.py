@@ -15,6 +15,9 @@ SALTS = 256
 # Rows that one window group may hold. A larger or unmeasured cross-section is ranked in buckets.
 SMALL_SECTION = 2_000_000
 
+# Rows up to which a table with a known bound is broadcast.
+SMALL_TABLE = 1_000_000
+
 
 def value_bucket(value: Column, unit: float = 1e-6, per_fold: int = 512) -> Column:
     """A bucket number that never decreases as ``value`` grows.
@@ -62,6 +65,11 @@ def is_small(section_rows: int | None) -> bool:
     return section_rows is not None and section_rows <= SMALL_SECTION
 
 
+def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast hint for a table that cannot exceed ``rows`` rows, when that is few; else AQE decides by size."""
+    return F.broadcast(df) if rows is not None and rows <= SMALL_TABLE else df
+
+
 def tie_rank(group: list[str], value: str, descending: bool = False) -> Column:
     """Average-tie rank as window functions over the whole group; only for groups known to be small.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import broadcast_if_bounded
 from tidemark.functions.windows import ratio
 from tidemark.operators.portfolio import KEYS, Rules
 
@@ -61,12 +62,14 @@ def holding_runs(rows: DataFrame, fee: float, keys: list[str], price: str = "adj
     )
 
 
-def section_ranks(factors: DataFrame, points: DataFrame, directions: DataFrame) -> DataFrame:
+def section_ranks(factors: DataFrame, points: DataFrame, directions: DataFrame,
+                  bound: int | None = None) -> DataFrame:
     """Rank of single names in their cross-sections: (factor, span, di, instrument, value, rank, size).
 
-    points: distinct (factor, span, di, instrument), a few per date, so they are
-    broadcast. Each factor row of such a date is compared with that date's points and
-    counted map-side; the cross-sections themselves are neither shuffled nor sorted.
+    points: distinct (factor, span, di, instrument), a few per date and at most ``bound``
+    in all. Each factor row of such a date is compared with that date's points and
+    counted map-side; while the points are broadcast, the cross-sections are neither
+    shuffled nor sorted.
     """
     at = [*KEYS, "di"]
     scored = factors.where(F.col("value").isNotNull()).join(
@@ -75,11 +78,11 @@ def section_ranks(factors: DataFrame, points: DataFrame, directions: DataFrame)
         *at, "instrument", "value",
         F.when(F.col("direction") == "bottom", F.col("value")).otherwise(-F.col("value")).alias("_score"),
     )
-    own = scored.join(F.broadcast(points), [*at, "instrument"], "left_semi")
-    known = points.join(F.broadcast(own), [*at, "instrument"], "left").select(
+    own = scored.join(broadcast_if_bounded(points, bound), [*at, "instrument"], "left_semi")
+    known = points.join(broadcast_if_bounded(own, bound), [*at, "instrument"], "left").select(
         *at, "instrument", "value", F.col("_score").alias("_own")
     )
-    compared = scored.select(*at, "_score").join(F.broadcast(known), at)
+    compared = scored.select(*at, "_score").join(broadcast_if_bounded(known, bound), at)
     return compared.groupBy(*at, "instrument", "value").agg(
         (F.count_if(F.col("_score") < F.col("_own")) + (F.count_if(F.col("_score") == F.col("_own")) + 1) / 2.0)
         .alias("_rank"),
@@ -90,26 +93,29 @@ def section_ranks(factors: DataFrame, points: DataFrame, directions: DataFrame)
 
 
 def trade_ledger(rows: DataFrame, factors: DataFrame, directions: DataFrame, rules: Rules,
-                 keys: list[str] = KEYS, price: str = "adj", shown: str = "raw", signal: str = "sig") -> DataFrame:
+                 keys: list[str] = KEYS, price: str = "adj", shown: str = "raw", signal: str = "sig",
+                 bound: int | None = None) -> DataFrame:
     """Trades of the signal rows with ranks and exit reasons."""
-    return explain_trades(holding_runs(rows, rules.fee, keys, price, shown, signal), factors, directions, rules, keys)
+    trades = holding_runs(rows, rules.fee, keys, price, shown, signal)
+    return explain_trades(trades, factors, directions, rules, keys, bound)
 
 
 def explain_trades(trades: DataFrame, factors: DataFrame, directions: DataFrame, rules: Rules,
-                   keys: list[str] = KEYS) -> DataFrame:
+                   keys: list[str] = KEYS, bound: int | None = None) -> DataFrame:
     """Add entry value, rank and universe size, and the reason for the exit.
 
     factors: (factor, span, di, instrument, value) on all dates. A trade asks for two
-    ranks, on its entry and on its exit date.
+    ranks, on its entry and on its exit date. ``bound``: most trades there can be.
     """
+    visits_bound = None if bound is None else 2 * bound
     details = [c for c in trades.columns if c not in (*keys, "instrument")]
     visits = F.array_compact(F.array(
         F.struct(F.lit(True).alias("entry"), F.col("entry_di").alias("di")),
         F.when(F.col("exit_di").isNotNull(), F.struct(F.lit(False).alias("entry"), F.col("exit_di").alias("di"))),
     ))
     points = trades.select(*keys, "instrument", F.struct(*details).alias("_trade"), F.inline(visits))
-    ranks = section_ranks(factors, points.select(*KEYS, "di", "instrument").distinct(), directions)
-    ranked = points.join(F.broadcast(ranks), [*KEYS, "di", "instrument"], "left")
+    ranks = section_ranks(factors, points.select(*KEYS, "di", "instrument").distinct(), directions, visits_bound)
+    ranked = points.join(broadcast_if_bounded(ranks, visits_bound), [*KEYS, "di", "instrument"], "left")
     entry = F.col("entry")
     joined = ranked.groupBy(*keys, "instrument", "_trade").agg(
         F.max(F.when(entry, F.col("value"))).alias("factor_value_at_entry"),

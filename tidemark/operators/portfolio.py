@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import best_band
+from tidemark.functions.ranks import best_band, broadcast_if_bounded
 from tidemark.functions.windows import at_calendar_offset, ratio
 
 TRADING_DAYS = 252
@@ -148,19 +148,27 @@ def average_turnover(holdings: DataFrame) -> DataFrame:
     return holdings.groupBy(*KEYS).agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("avg_turnover"))
 
 
-def signal_rows(panel: DataFrame, holdings: DataFrame, directions: DataFrame, rules: Rules) -> DataFrame:
+def held_bound(n_factors: int, n_days: int, rules: Rules) -> int:
+    """Most (factor, rebalance date, name) picks a run can make; two spans may add one date each."""
+    return n_factors * (n_days // rules.rebalance_days + 2) * rules.top_n
+
+
+def signal_rows(panel: DataFrame, holdings: DataFrame, directions: DataFrame, rules: Rules,
+                bound: int | None = None) -> DataFrame:
     """Priced rows of every instrument that is ever held, with ``sig`` (1 held, 0 not).
 
     panel: (span, date, di, instrument, adj, raw, …). Only ever-held instruments can
-    earn or cost anything. There are at most top_n per rebalance date and factor, a
-    bound set by the calendar and not by the panel, so that list is broadcast and the
-    panel is not shuffled. Instruments with fewer than three priced rows in a span are
-    left out.
+    earn or cost anything. There are at most top_n per rebalance date and factor
+    (``bound``, see :func:`held_bound`), a number set by the calendar and not by the
+    panel: while it is small the list is broadcast and the panel is not shuffled.
+    Instruments with fewer than three priced rows in a span are left out.
     """
     picked = holdings.select(*KEYS, "k", F.explode("picks").alias("instrument"))
     ever = picked.select(*KEYS, "instrument").distinct()
     prices = panel.select("span", "date", "di", "instrument", "adj", "raw", "adj_open", "raw_open")
-    rows = prices.where(F.col("adj").isNotNull()).join(F.broadcast(ever), ["span", "instrument"])
+    rows = prices.where(F.col("adj").isNotNull()).join(
+        broadcast_if_bounded(ever, bound), ["span", "instrument"]
+    )
     rows = rows.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "instrument")))
     held = picked.withColumn("sig", F.lit(1))
     joined = rows.where(F.col("_rows") >= 3).withColumn("k", period_of(rules.rebalance_days)).join(

@@ -20,7 +20,7 @@ from tidemark.operators.ic import (
 )
 from tidemark.operators.ledger import explain_trades, holding_runs, ledger_summary
 from tidemark.operators.portfolio import (
-    KEYS, Rules, average_turnover, combined_daily, cost_erosion, equal_weight_benchmark, on_spans,
+    KEYS, Rules, average_turnover, combined_daily, cost_erosion, equal_weight_benchmark, held_bound, on_spans,
     portfolio_daily, portfolio_metrics, rebalance_candidates, resolve_benchmark, select_holdings, signal_rows,
     spans_of, yearly_excess, yearly_stats,
 )
@@ -100,6 +100,11 @@ class Research:
         ics = daily_rank_ic(self.factors, keys=("factor", "span"), section_rows=self.section_rows)
         return self._kept(ics, "ics")
 
+    @cached_property
+    def held_bound(self) -> int | None:
+        """Most picks (and so trades) of the run, from the stored calendar; unknown for a fully lazy run."""
+        return held_bound(len(self.names), self.calendar.count(), self.rules) if self.reuse else None
+
     @cached_property
     def section_rows(self) -> int | None:
         """Names on the widest date, measured on the date column alone; unknown for a fully lazy run."""
@@ -121,7 +126,9 @@ class Research:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return self._kept(signal_rows(self.prices, self.holdings, self.directions, self.rules), "signals")
+        return self._kept(signal_rows(
+            self.prices, self.holdings, self.directions, self.rules, self.held_bound
+        ), "signals")
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -175,7 +182,7 @@ class Research:
         return self._kept(holding_runs(self.rows, self.rules.fee, KEYS), "trades")
 
     def ledger(self) -> DataFrame:
-        return explain_trades(self.trades, self.factors, self.directions, self.rules)
+        return explain_trades(self.trades, self.factors, self.directions, self.rules, KEYS, self.held_bound)
 
     def timing(self) -> DataFrame:
         if self.direction == "short":

@@ -126,7 +126,8 @@ def parse_market_reports(raw: DataFrame) -> DataFrame:
     """Market reports (iso_date, priority, payload) → quotes (symbol … turnover_twd, source_date).
 
     The quote table is at the top level or among ``tables``; of several payloads of a
-    day the first usable one counts. Only four-digit codes are kept.
+    day (and ``part``, for a day delivered in parts) the first usable one counts. Only
+    four-digit codes are kept.
     """
     parsed = raw.withColumn("_p", F.from_json(
         "payload", f"stat string, fields array<string>, data array<array<string>>, tables array<{_TABLE}>"
@@ -137,7 +138,8 @@ def parse_market_reports(raw: DataFrame) -> DataFrame:
         F.filter("_p.tables", lambda t: F.coalesce(F.array_contains(t["fields"], CODE), F.lit(False))), F.lit(1)
     )
     usable = parsed.withColumn("_t", F.coalesce(top, nested)).where(F.col("_t").isNotNull())
-    first = best_rows(usable.select("iso_date", "priority", "_t"), ["iso_date"], [F.col("priority")], 1)
+    day = ["iso_date", "part"] if "part" in raw.columns else ["iso_date"]
+    first = best_rows(usable.select(*day, "priority", "_t"), day, [F.col("priority")], 1)
     rows = first.select(
         F.col("iso_date").alias("source_date"), F.col("_t.fields").alias("_fields"),
         F.explode("_t.data").alias("_row"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.ranks import best_rows
-from tidemark.operators.quality import split_by_contract
+from tidemark.operators.quality import contract_errors
 from tidemark.schemas import TABLES, columns_of, empty, schema_of
 
 
@@ -147,12 +147,12 @@ class PanelStore:
 
     def import_snapshot(self, df: DataFrame, table: str = "daily") -> int:
         """All or nothing: every row must meet the bar contract, then one upsert. Returns the row count."""
-        accepted, rejected = split_by_contract(df, columns_of(table))
-        bad = rejected.count()
-        if bad:
-            raise ValueError(f"import rejected: {bad} rows break the bar contract")
-        self.write(table, accepted)
-        return df.count()
+        checked = contract_errors(df, columns_of(table))
+        found = checked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("bad")).first()
+        if found["bad"]:
+            raise ValueError(f"import rejected: {found['bad']} rows break the bar contract")
+        self.write(table, df)
+        return found["rows"]
 
     # -- features ---------------------------------------------------------
 

@@ -262,23 +262,23 @@ def snapshot_problems(t: Tables) -> DataFrame:
 SELECT symbol, name, {d('close')}, volume_shares, {d('turnover_twd')}, strftime(date, '%Y-%m-%d') AS source_date
 FROM v_quotes WHERE length(symbol) = 4""")
 def market_report(t: Tables) -> DataFrame:
-    """One report per market and week; the quote table is nested in odd years and at the top level in even ones."""
+    """A week's report in parts of a thousand codes; the quote table is nested in odd years, at the top level in even ones."""
     row = F.array("symbol", "name", F.format_number("volume_shares", 0), F.format_number("turnover_twd", 2),
                   F.col("close").cast("string"))
     header = F.array(*[F.lit(h) for h in (exchange.CODE, exchange.NAME, exchange.VOLUME, exchange.TURNOVER, exchange.CLOSE)])
-    # A report is one document by nature: all names of a week.
-    days = t.quotes.groupBy("date").agg(F.collect_list(row).alias("data"))
+    part = F.floor(F.col("symbol").cast("long") / 1000)
+    days = t.quotes.groupBy("date", part.alias("part")).agg(F.collect_list(row).alias("data"))
     other = F.struct(F.array(F.lit("x")).alias("fields"), F.array(F.array(F.lit("1"))).alias("data"))
     flat = _json(stat=F.lit("OK"), fields=header, data=F.col("data"))
     nested = _json(stat=F.lit("OK"), tables=F.array(other, F.struct(header.alias("fields"), F.col("data"))))
     payloads = days.select(
-        F.col("date").cast("string").alias("iso_date"),
+        F.col("date").cast("string").alias("iso_date"), "part",
         F.explode(F.array(
             F.struct(F.lit(1).alias("priority"), F.lit('{"stat":"no data"}').alias("payload")),
             F.struct(F.lit(2).alias("priority"), F.when(F.year("date") % 2 == 1, nested).otherwise(flat).alias("payload")),
         )).alias("r"),
     )
-    return exchange.parse_market_reports(payloads.select("iso_date", "r.*"))
+    return exchange.parse_market_reports(payloads.select("iso_date", "part", "r.*"))
 
 
 @query("hourly_normalize", f"""
