@@ -24,7 +24,7 @@ def dense_vectors(daily: DataFrame) -> DataFrame:
     calendar × symbol product is built. A vector is as long as the calendar.
     """
     rows = latest_rows([daily], ["symbol", "date"]).withColumn("symbol", F.upper("symbol"))
-    cal = calendar(rows)
+    cal = calendar(daily)
     n_days = cal.agg(F.max("di")).scalar()
     by_day = Window.partitionBy("symbol").orderBy("di")
     padded = with_calendar_index(rows, cal).withColumns({

@@ -15,12 +15,6 @@ MAX_GAP_DAYS, MAX_MOVE = 15, 0.15
 VOLUME_FACTOR, VOLUME_WINDOW = 20.0, 20
 
 
-def _issue(check: str, field: Column, value: Column) -> list[Column]:
-    """Issue rows have one schema: symbol, date, check, field, value."""
-    return [F.col("symbol"), F.col("date"), F.lit(check).alias("check"), field.alias("field"),
-            value.cast("double").alias("value")]
-
-
 def clean_bars(df: DataFrame) -> DataFrame:
     """Rows whose four prices are all present and positive."""
     keep = F.lit(True)
@@ -29,65 +23,80 @@ def clean_bars(df: DataFrame) -> DataFrame:
     return df.where(keep)
 
 
-def nonpositive_prices(df: DataFrame) -> DataFrame:
-    """One issue per price column that is null or not positive."""
-    cells = df.select("symbol", "date", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("name"), F.col(p).cast("double").alias("price")) for p in PRICES
-    ])).alias("cell"))
-    bad = cells.where(F.col("cell.price").isNull() | (F.col("cell.price") <= 0))
-    return bad.select(*_issue("ohlc_nonpositive", F.col("cell.name"), F.col("cell.price")))
+def _issue(holds: Column, check: str, field: str, value: Column) -> Column:
+    entry = F.struct(
+        F.lit(check).alias("check"), F.lit(field).alias("field"), value.cast("double").alias("value")
+    )
+    return F.when(holds, entry)
 
 
-def inconsistent_ohlc(df: DataFrame) -> DataFrame:
-    """High below or low above open/close by more than rounding noise."""
+def _issue_rows(df: DataFrame, issues: list[Column]) -> DataFrame:
+    """(symbol, date, check, field, value): the issues of each row, unfolded."""
+    found = df.select("symbol", "date", F.array_compact(F.array(*issues)).alias("_issues"))
+    return found.select("symbol", "date", F.inline("_issues"))
+
+
+def _nonpositive() -> list[Column]:
+    return [_issue(F.col(p).isNull() | (F.col(p) <= 0), "ohlc_nonpositive", p, F.col(p)) for p in PRICES]
+
+
+def _inconsistent() -> list[Column]:
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
     tolerance = F.greatest(F.lit(TOLERANCE_ABS), top * TOLERANCE_REL)
     over, under = top - F.col("high"), F.col("low") - bottom
-    excess = F.greatest(over, under)
-    return df.where((over > tolerance) | (under > tolerance)).select(
-        *_issue("ohlc_inconsistent", F.lit("high_low"), excess)
-    )
+    return [_issue((over > tolerance) | (under > tolerance), "ohlc_inconsistent", "high_low", F.greatest(over, under))]
 
 
-def date_gaps(df: DataFrame, max_days: int = MAX_GAP_DAYS) -> DataFrame:
+def _gap(max_days: int) -> list[Column]:
     days = F.datediff("date", F.lag("date").over(history("symbol")))
-    return df.withColumn("_days", days).where(F.col("_days") > max_days).select(
-        *_issue("date_gap", F.lit("date"), F.col("_days"))
-    )
+    return [_issue(days > max_days, "date_gap", "date", days)]
 
 
-def price_jumps(df: DataFrame, max_move: float = MAX_MOVE) -> DataFrame:
+def _jump(max_move: float) -> list[Column]:
     move = change(F.col("close"), history("symbol"))
-    return df.withColumn("_move", move).where(F.abs("_move") > max_move).select(
-        *_issue("price_jump", F.lit("close"), F.col("close"))
-    )
+    return [_issue(F.abs(move) > max_move, "price_jump", "close", F.col("close"))]
 
 
-def volume_spikes(df: DataFrame, factor: float = VOLUME_FACTOR, window: int = VOLUME_WINDOW) -> DataFrame:
-    """Volume above ``factor`` times the rolling median; short histories use their own length."""
-    rows = history("symbol")
-    frame = trailing(rows, window)
+def _spike(factor: float, window: int) -> list[Column]:
+    frame = trailing(history("symbol"), window)
     needed = F.least(F.lit(window), F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     median = F.when(
         F.count("volume_shares").over(frame) >= needed,
         F.percentile(F.col("volume_shares"), F.lit(0.5)).over(frame),
     )
-    spikes = df.withColumn("_median", median).where(
-        (F.col("_median") > 0) & (F.col("volume_shares") > F.col("_median") * factor)
-    )
-    return spikes.select(*_issue("volume_spike", F.lit("volume_shares"), F.col("volume_shares")))
+    volume = F.col("volume_shares")
+    return [_issue((median > 0) & (volume > median * factor), "volume_spike", "volume_shares", volume)]
+
+
+def nonpositive_prices(df: DataFrame) -> DataFrame:
+    """One issue per price column that is null or not positive."""
+    return _issue_rows(df, _nonpositive())
+
+
+def inconsistent_ohlc(df: DataFrame) -> DataFrame:
+    """High below or low above open/close by more than rounding noise."""
+    return _issue_rows(df, _inconsistent())
+
+
+def date_gaps(df: DataFrame, max_days: int = MAX_GAP_DAYS) -> DataFrame:
+    return _issue_rows(df, _gap(max_days))
+
+
+def price_jumps(df: DataFrame, max_move: float = MAX_MOVE) -> DataFrame:
+    return _issue_rows(df, _jump(max_move))
+
+
+def volume_spikes(df: DataFrame, factor: float = VOLUME_FACTOR, window: int = VOLUME_WINDOW) -> DataFrame:
+    """Volume above ``factor`` times the rolling median; short histories use their own length."""
+    return _issue_rows(df, _spike(factor, window))
 
 
 def quality_report(df: DataFrame, max_move: float = MAX_MOVE, max_gap_days: int = MAX_GAP_DAYS,
                    volume_factor: float = VOLUME_FACTOR, volume_window: int = VOLUME_WINDOW) -> DataFrame:
-    """All issues of all symbols. The report passes when it is empty."""
-    return (
-        nonpositive_prices(df)
-        .unionByName(inconsistent_ohlc(df))
-        .unionByName(date_gaps(df, max_gap_days))
-        .unionByName(price_jumps(df, max_move))
-        .unionByName(volume_spikes(df, volume_factor, volume_window))
-    )
+    """All issues of all symbols, from one scan and one shuffle by symbol. The report passes when it is empty."""
+    return _issue_rows(df, [
+        *_nonpositive(), *_inconsistent(), *_gap(max_gap_days), *_jump(max_move), *_spike(volume_factor, volume_window)
+    ])
 
 
 def quality_summary(issues: DataFrame) -> DataFrame:

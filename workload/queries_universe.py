@@ -37,14 +37,14 @@ pit AS (SELECT date, di, instrument, rk FROM ranked WHERE rk <= 30 AND listed >=
 
 @query("pit_eligibility", PIT + " SELECT date, di, instrument, round(rk, 6) + 0.0 AS liquidity_rank FROM pit")
 def pit_eligibility(t: Tables) -> DataFrame:
-    return universe.pit_eligibility(t.panel, 30, 12, 20)
+    return universe.pit_eligibility(t.stored_panel, 30, 12, 20)
 
 
 @query("pit_universe_sizes", PIT + """,
 sizes AS (SELECT c.di, count(p.di) AS n FROM v_cal c LEFT JOIN pit p USING (di) WHERE (c.di - 1) % 4 = 0 GROUP BY c.di)
 SELECT min(n) AS size_min, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS size_median, max(n) AS size_max FROM sizes""")
 def pit_universe_sizes(t: Tables) -> DataFrame:
-    eligible = universe.pit_eligibility(t.panel, 30, 12, 20)
+    eligible = universe.pit_eligibility(t.stored_panel, 30, 12, 20)
     return universe.universe_sizes(eligible, t.calendar, 4)
 
 
