@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import best_rows
-from tidemark.functions.values import plain_number, roc_compact_date, roc_slash_date, to_shares
+from tidemark.functions.values import plain_number, roc_slash_date, to_shares
 from tidemark.schemas import conform
 
 EXCHANGE = "twse"
@@ -32,7 +32,7 @@ def normalize_month_tables(raw: DataFrame, volume_unit: str = "shares", market:
     Payloads whose status is not OK are skipped; a missing header falls back to the usual one.
     """
     parsed = raw.withColumn(
-        "_p", F.from_json("payload", f"stat string, fields array<string>, data array<array<string>>")
+        "_p", F.from_json("payload", "stat string, fields array<string>, data array<array<string>>")
     ).where(F.col("_p.stat") == "OK")
     usual = F.array(*[F.lit(h) for h in MONTH_HEADER])
     header = F.when(F.size("_p.fields") > 0, F.col("_p.fields")).otherwise(usual)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import average_rank, largest_group
-from tidemark.operators import evaluation, factors, ic, model, portfolio
+from tidemark.operators import factors, ic, model, portfolio
 from tidemark.operators.features import ml_features
 from tidemark.operators.timing import open_overrides, timing_contributions
 from tidemark.operators.universe import UniverseSpec
 from tidemark.plans.research import Research
-from workload.oracle_research import FEE, SPLIT, metrics
+from workload.oracle_research import SPLIT, metrics
 from workload.queries_bars import W, _full, d
 from workload.queries_universe import PIT
 from workload.registry import query
@@ -321,9 +321,6 @@ def trade_ledger(t: Tables) -> DataFrame:
     return research(t).ledger().drop("span")
 
 
-CLOSED = "net_return END"
-
-
 def _ledger_stats(keys: str, source: str) -> str:
     return f"""SELECT {keys}, count(*) AS n_trades, count(*) FILTER (WHERE status = 'closed') AS n_closed,
   count(*) FILTER (WHERE status = 'open') AS n_open, avg(net_return) FILTER (WHERE status = 'closed') AS mean_net,
