@@ -241,7 +241,7 @@ def snapshot_normalize(t: Tables) -> DataFrame:
 
 
 @query("snapshot_problems", """
-SELECT count(*) AS rows, 0 AS missing_fields, count(*) FILTER (WHERE trade_count = 1) AS bad_dates,
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing_fields, count(*) FILTER (WHERE trade_count = 1) AS bad_dates,
        count(*) FILTER (WHERE open = high) AS bad_numbers,
        (SELECT count(*) - count(DISTINCT (symbol, CASE WHEN trade_count = 1 THEN DATE '1900-01-01' ELSE date END))
         FROM v_bars) AS duplicates

@@ -267,7 +267,7 @@ def benchmark_align(t: Tables) -> DataFrame:
 
 
 YEARS = f"""
-SELECT p.factor, p.year, p.total_return AS year_return, p.sharpe AS year_sharpe, p.max_drawdown AS year_mdd,
+SELECT p.factor, CAST(p.year AS INTEGER) AS year, p.total_return AS year_return, p.sharpe AS year_sharpe, p.max_drawdown AS year_mdd,
        b.total_return AS bench_return, b.max_drawdown AS bench_mdd, p.total_return - b.total_return AS excess
 FROM ({metrics('(SELECT *, year(date) AS year FROM fv_all)', 'factor, year')}) p
 LEFT JOIN ({metrics('(SELECT *, year(date) AS year FROM fv_bench)', 'year', 'ret')}) b ON b.year = p.year"""
@@ -312,7 +312,7 @@ def interpretation_flags(t: Tables) -> DataFrame:
 
 # -- trades, timing, out of sample -------------------------------------------------
 
-LEDGER = f"""factor, instrument, status, entry_date, {d('entry_price')}, exit_date, {d('exit_price')}, holding_days,
+LEDGER = f"""factor, instrument, status, entry_date, {d('entry_price')}, exit_date, {d('exit_price')}, CAST(holding_days AS INTEGER) AS holding_days,
   {d('factor_value_at_entry')}, {d('rank_at_entry')}, universe_size_at_entry, {d('gross_return')}, {d('net_return')}, exit_reason, {d('exit_rank')}"""
 
 

@@ -51,7 +51,7 @@ def pit_universe_sizes(t: Tables) -> DataFrame:
 @query("top_liquid", f"""
 WITH m AS (SELECT reverse(symbol) AS symbol, name, avg(turnover_twd) AS a, count(DISTINCT date) AS n FROM v_quotes
   WHERE close >= 95 AND volume_shares > 0 AND reverse(symbol) NOT LIKE '00%' GROUP BY 1, 2)
-SELECT row_number() OVER (ORDER BY a DESC, symbol) - 1 AS rank, symbol, name, round(a, 4) + 0.0 AS avg_turnover_twd,
+SELECT CAST(row_number() OVER (ORDER BY a DESC, symbol) - 1 AS INTEGER) AS rank, symbol, name, round(a, 4) + 0.0 AS avg_turnover_twd,
        n AS sampled_days FROM m ORDER BY a DESC, symbol LIMIT 50""")
 def top_liquid(t: Tables) -> DataFrame:
     """Codes are read backwards, so that some of them have the fund prefix and most have not."""
@@ -122,7 +122,7 @@ def merge_delisted(t: Tables) -> DataFrame:
 
 
 SPANS = "SELECT symbol, min(date) AS a, max(date) AS b FROM v_bars GROUP BY symbol"
-SEGMENTS = """SELECT symbol, y AS year, greatest(a, make_date(y, 1, 1)) AS seg_start, least(b, make_date(y, 12, 31)) AS seg_end
+SEGMENTS = """SELECT symbol, CAST(y AS INTEGER) AS year, greatest(a, make_date(y, 1, 1)) AS seg_start, least(b, make_date(y, 12, 31)) AS seg_end
   FROM (SELECT *, unnest(range(year(a), year(b) + 1)) AS y FROM ({0}) WHERE a <= b)"""
 
 
