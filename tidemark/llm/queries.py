@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ngram_join import ngram_groups
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substrings import remove_repeats
+from tidemark.llm.tables import shared_folder
+from tidemark.llm.token_store import read_tokens, write_tokens
+from tidemark.llm.url_filter import Rule, judge_urls
+from tidemark.llm.vector_join import vector_groups
+
+URL_RULES = [
+    Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
+]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +61,57 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_groups(table(spark, folder, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_groups(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("secret_spans", lambda s: s["kind"] != "novel")
+    counts = [count_of(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+
+def ids_crc32():
+    """crc32 of stored ids written as little-endian unsigned 32-bit integers."""
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array, width: pa.Array) -> pa.Array:
+        wide = (np.frombuffer(x.as_buffer(), f"<u{w.as_py()}").astype("<u4") for x, w in zip(ids, width))
+        return pa.array([zlib.crc32(x) for x in wide], pa.int64())
+    return crc
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", ids_crc32()("ids", "id_bytes").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
