@@ -11,8 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import oracles
+from tidemark.llm.labelled import held_out
+from tidemark.llm.mixing import estimated_tokens, mix_sources
 from tidemark.llm.ngram_join import ngram_groups
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality_net import fit_quality_net, score_quality
+from tidemark.llm.quality_trees import fit_quality_trees, judge_quality
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.tables import shared_folder
@@ -44,23 +49,6 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-ORACLES["op4_substring_dedup"] = r"""
-WITH texts AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-windows AS (
-  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)),
-firsts AS (SELECT h, min(doc_id) AS lo FROM windows GROUP BY h),
-covered AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM windows JOIN firsts USING (h) WHERE doc_id > lo),
-words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM texts),
-kept AS (
-  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, k)
-  GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
-       sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM texts LEFT JOIN kept USING (doc_id)
-"""
 
 
 @query
@@ -115,3 +103,43 @@ def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality_net(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = judge_quality(docs, fit_quality_trees(docs, table(spark, folder, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def domain() -> Column:
+    """The domain of a source: src0 is the crawl, the others belong to one of three by their number."""
+    number = F.regexp_extract("source", r"([0-9]+)$", 1).cast("int")
+    return F.when(number == 0, "crawl").when(number % 3 == 0, "reference").when(number % 3 == 1, "forum").otherwise("news")
+
+
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"crawl": 20, "reference": 40, "forum": 15, "news": 25}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
+
+
+@query
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("domain", domain())
+    mixed = mix_sources(docs, MIX_LEVELS, MIX_WEIGHTS, percent=60, most_epochs=2)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", estimated_tokens().alias("n_tokens"))
+
+
+ORACLES.update({
+    "op1_embedding_near_dedup": oracles.VECTOR_JOIN,
+    "op2_source_mixing": oracles.mixing(MIX_LEVELS, MIX_WEIGHTS, percent=60, epochs=2, seed=17),
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op9_url_filter": oracles.url_filter(URL_RULES, rounds=8, damping=0.85, least_distrust=1e-6),
+})

@@ -81,26 +81,25 @@ def _pairs(name, size, lo, hi, doc, r):
     return merged[keep], wide[keep], new_lo[keep], new_hi[keep], doc[keep]
 
 
-def anchors(symbols: dict[str, np.ndarray], starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start: whether a symbol lies in the window with all it has looked at, and a name.
+def anchors(symbols: dict[str, np.ndarray], starts: np.ndarray, window: int) -> np.ndarray:
+    """For each window start the symbol that stands for the window, -1 where none does.
 
-    The name is made of the widest such symbol (the smallest name, then the leftmost among several)
-    and of its neighbours as far as they lie in the window too: a choice by the window's words
-    alone, so equal windows have equal names.
+    It is the widest symbol that lies in the window with all it has looked at, among several the one
+    whose name hashes least, then the leftmost: a choice by the window's words alone, so equal
+    windows are stood for by equal names.
     """
     name, size = symbols["name"], symbols["size"]
     n = len(name)
-    found, out = np.zeros(len(starts), bool), np.zeros(len(starts), U)
+    out = np.full(len(starts), -1, np.int64)
     if not n or not len(starts):
-        return found, out
+        return out
     lo = np.maximum.accumulate(np.where(symbols["lo"] < 0, -1, symbols["lo"]))
     hi = np.minimum.accumulate(np.where(symbols["hi"] >= FAR, FAR, symbols["hi"])[::-1])[::-1]
     first = np.searchsorted(lo, starts, "left")
     after = np.searchsorted(hi, starts + window, "right")
-    found = after > first
-    full = np.flatnonzero(found)
+    full = np.flatnonzero(after > first)
     if not len(full):
-        return found, out
+        return out
     # one sortable key per symbol: wide before narrow, then bits of the name, then the place
     wide = np.minimum(size, 255).astype(U)
     key = ((U(255) - wide) << U(56)) | ((mix(name) >> U(40)) << U(32)) | np.arange(n, dtype=U)
@@ -114,8 +113,5 @@ def anchors(symbols: dict[str, np.ndarray], starts: np.ndarray, window: int) ->
         if len(table) <= step:
             break
         table, step = np.minimum(table[:-step], table[step:]), 2 * step
-    at = (best & U(0xFFFFFFFF)).astype(np.int64)
-    left = np.where(at > a, name[np.maximum(at - 1, 0)], U(0))
-    right = np.where(at + 1 < a + length, name[np.minimum(at + 1, n - 1)], U(0))
-    out[full] = chain(chain(name[at], left), right)
-    return found, out
+    out[full] = (best & U(0xFFFFFFFF)).astype(np.int64)
+    return out

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.recompress import anchors, parse
 from tidemark.llm.tables import ship, stored
-from tidemark.llm.wordhash import U, hash_words, mix, text_buffer, word_starts, words_of
+from tidemark.llm.wordhash import U, hash_words, mix, sums_of_spans, text_buffer, word_starts, words_of
 
 WORDS_AT_ONCE = 250_000
+BROADCAST_ROWS = 1_000_000  # keys of 8 bytes
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3) -> DataFrame:
@@ -28,38 +29,63 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3) -> DataFr
 
     Method. (1) Each text is parsed by recompression: rounds name runs and pairs of symbols, and
     names are hashes of content, so they agree over the corpus without a shared dictionary.
-    Every window is stood for by one symbol of its inside, with its neighbours. (2) Spark counts
-    in which documents the names occur: a window whose name one document alone has can't repeat
-    elsewhere. (3) The windows left are named by 128 bits of their words; the least doc_id by
-    name decides. Windows without an inside symbol (one word over and over) skip (2).
-    Shuffled are about 0.05 rows a word, the windows left, and the texts twice.
+    One symbol of its inside stands for each window; a stretch of windows with one symbol is a row,
+    with a hash of all its words. (2) Spark counts in which documents a name occurs: windows
+    under a name that one document alone has repeat nowhere else. (3) Stretches equal as a whole to one of an
+    earlier document are cut. (4) Where a name has different stretches, the first of each kind is
+    taken apart into windows, named by 128 bits of their words, and the least doc_id by name decides.
+    Stretches without an inside symbol (one word over and over) go to (4) at once. Texts
+    are shuffled only if (4) looks into them or words are cut from them, as long as the keys of those
+    texts are few enough to send out (a count decides); else all are.
     """
     ship(docs.sparkSession)
-    keyed = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn(
-        "_row", F.xxhash64("doc_id", "_text"))
+    keyed = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_row", F.xxhash64("doc_id", "_text"))
     texts = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "_text")
-    named = stored(texts.mapInArrow(_name_windows(window, rounds), "name long, doc_id long, row long, first int, last int"),
-                   "names")
-    shared = (named.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("name"))
-    left = named.join(shared, "name").select("doc_id", "row", "first", "last").union(
-        named.where("name is null").select("doc_id", "row", "first", "last"))
-    ranges = left.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges"))
-    checked = texts.join(ranges, texts["_row"] == ranges["row"]).select("doc_id", "row", "_text", "ranges")
-    hashed = stored(checked.mapInArrow(_hash_windows(window), "h1 long, h2 long, doc_id long, row long, first int, last int"),
-                    "windows")
+    span = "doc_id long, row long, first int, last int"
+    named = stored(texts.mapInArrow(_name_windows(window, rounds), f"name long, content long, {span}"), "names")
+    names = (named.where("name is not null").groupBy("name")
+             .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"))
+             .where("lo < hi").selectExpr("name", "c0 < c1 AS several"))
+    shared = stored(named.join(names, "name"), "shared-names")
+    kinds = stored(shared.groupBy("name", "content", "several").agg(F.min(F.struct("doc_id", "row", "first", "last")).alias("src")), "kinds")
+    whole = shared.join(kinds.select("name", "content", F.col("src.doc_id").alias("lo")), ["name", "content"]).where("doc_id > lo")
+    look = kinds.where("several").select("src.*").union(named.where("name is null").select("doc_id", "row", "first", "last"))
+    ranges = stored(_lists(look, "ranges"), "ranges")
+    checked = _of_rows(texts, ranges).select("doc_id", "_row", "_text", "ranges")
+    hashed = stored(checked.mapInArrow(_hash_windows(window), f"h1 long, h2 long, {span}"), "windows")
     earliest = (hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
                 .select("h1", "h2", "lo"))
-    repeated = hashed.join(earliest, ["h1", "h2"]).where("doc_id > lo")
-    cuts = repeated.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_cuts"))
-    cuts = cuts.withColumnRenamed("row", "_cut_row")
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    joined = keyed.join(cuts, (keyed["_row"] == cuts["_cut_row"]) & keyed["doc_id"].isNotNull(), "left")
-    kept = docs.schema
-    fields = ", ".join(f"`{c}` {kept[c].dataType.simpleString()}" for c in names)
-    out = joined.select(*[F.col("_text").alias("text") if c == "text" else c for c in names],
-                        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "_cuts")
-    return out.mapInArrow(_cut(window), f"{fields}, n_words long, n_removed long")
+    single = hashed.join(earliest, ["h1", "h2"]).where("doc_id > lo")
+    cuts = stored(_lists(whole.select("row", "first", "last").union(single.select("row", "first", "last")), "_cuts"), "cuts")
+
+    names_left = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    plain = [F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names_left]
+    columns = [*plain, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")]
+    if cuts.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(cuts.select(F.col("row").alias("_row")))
+        touched = keyed.where("doc_id is not null").join(keys, "_row", "left_semi").join(cuts.withColumnRenamed("row", "_row"), "_row")
+        rest = keyed.where("doc_id is not null").join(keys, "_row", "left_anti")
+    else:
+        touched = keyed.where("doc_id is not null").join(cuts.withColumnRenamed("row", "_row"), "_row", "left")
+        rest = keyed.limit(0)
+    uncut = F.lit(None).cast(cuts.schema["_cuts"].dataType).alias("_cuts")
+    joined = touched.select(*columns, "_cuts").union(rest.select(*columns, uncut)).union(
+        keyed.where("doc_id is null").select(*columns, uncut))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names_left)
+    return joined.mapInArrow(_cut(window), f"{fields}, n_words long, n_removed long")
+
+
+def _lists(ranges: DataFrame, name: str) -> DataFrame:
+    """The ranges of each row of ``docs``, at most as many as the row has words."""
+    return ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias(name))
+
+
+def _of_rows(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """The texts that have a list, with it; where the lists are few, other texts are not shuffled."""
+    lists = lists.withColumnRenamed("row", "_row")
+    if lists.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(lists.select("_row")), "_row", "left_semi")
+    return texts.join(lists, "_row")
 
 
 def _chunks(borders: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -101,14 +127,18 @@ def _name_windows(window: int, rounds: int):
                 starts, row = _window_starts(own, window)
                 if not len(starts):
                     continue
-                found, name = anchors(parse(words[borders[i]:borders[j]], own, rounds), starts, window)
-                first, last = _runs_of(row, name, found)
-                at = pa.array(row[first] + i)
+                symbols = parse(words[borders[i]:borders[j]], own, rounds)
+                at = anchors(symbols, starts, window)
+                head, tail = _runs_of(row, at)
+                found = at[head] >= 0
+                name = symbols["name"][np.maximum(at[head], 0)]
+                content = sums_of_spans(words[borders[i]:borders[j]], starts[head], starts[tail] + window)
+                who = pa.array(row[head] + i)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(name[first].view(np.int64), mask=~found[first]), ids.take(at), rows.take(at),
-                    pa.array((starts[first] - own[row[first]]).astype(np.int32)),
-                    pa.array((starts[last] - own[row[first]]).astype(np.int32)),
-                ], ["name", "doc_id", "row", "first", "last"])
+                    pa.array(name.view(np.int64), mask=~found), pa.array(content.view(np.int64)), ids.take(who), rows.take(who),
+                    pa.array((starts[head] - own[row[head]]).astype(np.int32)),
+                    pa.array((starts[tail] - own[row[head]]).astype(np.int32)),
+                ], ["name", "content", "doc_id", "row", "first", "last"])
     return run
 
 

@@ -106,3 +106,11 @@ def words_of(column: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.n
     body, borders = text_buffer(column)
     starts = word_starts(body, borders)
     return hash_words(body, starts, lower, seed), np.searchsorted(starts, borders)
+
+
+def sums_of_spans(words: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span [first, after) of ``words``, the same wherever the span stands."""
+    _, up, down = _tables(False, 0, len(words) + 1)
+    sums = np.zeros(len(words) + 1, U)
+    np.cumsum(mix(words + U(0x51ED270B)) * up[: len(words)], out=sums[1:])
+    return mix((sums[after] - sums[first]) * down[first] + (after - first).astype(U))
