@@ -12,9 +12,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int, most_ru
     """Replace frequent pairs of neighbours by new symbols, round by round.
 
     ``ids``: all ids; ``ends``: position after each document; no pair reaches over such a
-    border. New symbols are ``first``, ``first`` + 1, ... A round counts all pairs and replaces, from left to
-    right, those that stand ``least`` times or more, ``most_rules`` over all rounds at most; later
-    rounds pair symbols of earlier ones. Returns symbols, rules (n x 2; rule k makes
+    border. New symbols are ``first``, ``first`` + 1, ... A round counts all pairs in a table of bins and
+    replaces, from left to right, the pairs of the fullest bins that stand ``least`` times or more,
+    ``most_rules`` over all rounds at most; later rounds pair symbols of earlier ones. Returns symbols, rules (n x 2; rule k makes
     ``first`` + k) and the position after each document among the symbols.
     """
     symbols, ends = ids.astype(np.uint32), ends.astype(np.int64)
@@ -37,15 +37,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int, most_ru
         chosen = np.zeros(1 << BINS, bool)
         chosen[best[counts[best] >= least]] = True
         at = np.flatnonzero(chosen[place])
-        kinds, which, times = np.unique(pair[at], return_inverse=True, return_counts=True)
-        keep = np.sort(np.argsort(-times, kind="stable")[:room])
-        keep = keep[times[keep] >= least]
+        bin_of, pair_of = place[at], pair[at]
+        standing = np.zeros(1 << BINS, U)  # one pair stands for each bin; others in it wait for the next round
+        standing[bin_of[::-1]] = pair_of[::-1]
+        own = standing[bin_of] == pair_of
+        at, bin_of = at[own], bin_of[own]
+        times = np.bincount(bin_of, minlength=1 << BINS)
+        keep = np.flatnonzero(times >= least)
         if not len(keep):
             break
-        number = np.full(len(kinds), -1, np.int64)
+        kinds = standing[keep]
+        number = np.full(1 << BINS, -1, np.int32)
         number[keep] = np.arange(len(keep))
-        good = number[which] >= 0
-        at, made = at[good], number[which[good]]
+        made = number[bin_of]
+        at, made = at[made >= 0], made[made >= 0]
         # of neighbours that overlap every second one stays, from the left
         new_run = np.ones(len(at), bool)
         new_run[1:] = np.diff(at) > 1
@@ -53,11 +58,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int, most_ru
         stays = (np.arange(len(at)) - start) % 2 == 0
         at, made = at[stays], made[stays]
         symbols[at] = (first + known + made).astype(np.uint32)
-        gone = np.zeros(len(symbols) + 1, np.int64)
-        gone[at + 2] = 1  # the second of a pair: positions after it move up
-        ends = ends - np.cumsum(gone)[ends]
-        symbols = np.delete(symbols, at + 1)
-        rules.append(np.stack([kinds[keep] >> U(32), kinds[keep] & U(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        ends = ends - np.searchsorted(at + 2, ends, "right")  # the second of a pair goes: positions after it move up
+        stay = np.ones(len(symbols), bool)
+        stay[at + 1] = False
+        symbols = symbols[stay]
+        rules.append(np.stack([kinds >> U(32), kinds & U(0xFFFFFFFF)], axis=1).astype(np.uint32))
         known += len(keep)
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), ends
 

@@ -60,7 +60,7 @@ def _cut_pieces(tokenizer: str, capacity: int, end_id: int):
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             for i in range(0, len(texts), 256):
-                ids, borders = own.encode([t or "" for t in texts[i:i + 256].to_pylist()])
+                ids, borders = own.encode(texts[i:i + 256])
                 rows, out = [], []
                 for k in range(len(borders) - 1):
                     body = np.append(ids[borders[k]:borders[k + 1]], np.uint32(end_id)).astype(kind)

@@ -145,9 +145,9 @@ def _gradients(net: Net, chunks, places, owner, labels, weight) -> list[np.ndarr
     keep: dict = {}
     units = _chunk_units(net, chunks, places, keep)
     n = len(labels)
-    best = np.zeros((n, UNITS), np.float32)
+    best = np.zeros((n, UNITS), units.dtype)
     np.maximum.at(best, owner, units)
-    p = 1 / (1 + np.exp(-(best @ net.last + net.last_bias[0])))
+    p = 1 / (1 + np.exp(-np.clip(best @ net.last + net.last_bias[0], -60, 60)))
     d = ((p - labels) * weight / n).astype(np.float32)
     won = (units == best[owner]) & (units > 0)  # where a maximum comes from
     d_raw = won * (d[:, None] * net.last)[owner]

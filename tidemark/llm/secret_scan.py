@@ -22,7 +22,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CONTEXT = re.compile(r"key|pass|pwd|auth|bearer|credential|private|secret|token|signature|cookie", re.I | re.A)
 BEFORE, AROUND = 48, 1024
-NOVEL_SHARE = 0.55
+NOVEL_SHARE = 0.8
 # What code around a secret is made of: words, calls and names that are no secrets however long they are.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 authorization authentication authenticate bearer basic "

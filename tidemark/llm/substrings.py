@@ -43,9 +43,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3) -> DataFr
     texts = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "_text")
     span = "doc_id long, row long, first int, last int"
     named = stored(texts.mapInArrow(_name_windows(window, rounds), f"name long, content long, {span}"), "names")
-    names = (named.where("name is not null").groupBy("name")
-             .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-             .where("lo < hi").selectExpr("name", "c0 < c1 AS several"))
+    # stored, so that the join reads two plain exchanges and Spark can split the rows of a name that very many documents have
+    names = stored(named.where("name is not null").groupBy("name")
+                   .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"))
+                   .where("lo < hi").selectExpr("name", "c0 < c1 AS several"), "repeated-names")
     shared = stored(named.join(names, "name"), "shared-names")
     kinds = stored(shared.groupBy("name", "content", "several").agg(F.min(F.struct("doc_id", "row", "first", "last")).alias("src")), "kinds")
     whole = shared.join(kinds.select("name", "content", F.col("src.doc_id").alias("lo")), ["name", "content"]).where("doc_id > lo")
@@ -53,8 +54,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3) -> DataFr
     ranges = stored(_lists(look, "ranges"), "ranges")
     checked = _of_rows(texts, ranges).select("doc_id", "_row", "_text", "ranges")
     hashed = stored(checked.mapInArrow(_hash_windows(window), f"h1 long, h2 long, {span}"), "windows")
-    earliest = (hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-                .select("h1", "h2", "lo"))
+    earliest = stored(hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+                      .select("h1", "h2", "lo"), "earliest")
     single = hashed.join(earliest, ["h1", "h2"]).where("doc_id > lo")
     cuts = stored(_lists(whole.select("row", "first", "last").union(single.select("row", "first", "last")), "_cuts"), "cuts")
 

@@ -46,7 +46,7 @@ def _shards(tokenizer, end_id, shard_ids, rounds, most_rules, least):
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for i in range(0, len(texts), 256):
-                found, borders = own.encode(texts[i:i + 256].to_pylist())
+                found, borders = own.encode(texts[i:i + 256])
                 for k in range(len(borders) - 1):
                     ids.append(np.append(found[borders[k]:borders[k + 1]], np.uint32(end_id)))
                     doc_ids.append(keys[i + k])

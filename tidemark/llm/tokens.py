@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+from itertools import chain as flat
 
 import numpy as np
+import pyarrow as pa
 
-MOST_WORDS = 400_000  # words a worker remembers; it forgets all of them beyond
+from tidemark.llm.wordhash import U, hash_words, text_buffer, word_starts
+
+MOST_WORDS = 1_000_000  # words a worker remembers; beyond, those not met again since the last time go
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
 
@@ -17,30 +22,20 @@ def encoder(path: str) -> "TextEncoder":
     return _ENCODERS[path]
 
 
-class _Numbers(dict):
-    """Numbers words as they come and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
 class TextEncoder:
     """ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    Both kinds of tokenizer known here never join what white space parts, so a text's ids are
-    those of its words one after another: ``drops`` white space (word-end BPE), or ``leads`` words
-    with the one space before them (byte-level BPE). The second holds only while no two white
-    spaces stand together and none at the ends; other texts, and all texts of other tokenizers,
-    go to the library whole.
+    The library sees each distinct stretch of text once; its ids are kept under 128 bits of hash.
+    Stretches are such that a text's ids are those of its stretches one after another: both known kinds
+    of tokenizer part a letter from a mark after it, and white space from words. For one that
+    ``drops`` white space, stretches are words and the marks behind them. For byte-level BPE, where a word ``leads`` with
+    the space before it, one ends before a space and on both sides of a line end that have no other
+    white space beside them; longer runs of white space stay inside a stretch. Where special tokens
+    stand in a text, marks are not parted. Texts of other tokenizers are one stretch, which is not kept.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -48,79 +43,149 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = _kind(spec)
-        self._forget()
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self._clear(1 << 12)
+
+    def _clear(self, slots: int) -> None:
+        self.key = np.zeros((slots, 2), U)
+        self.first, self.count = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.met = np.zeros(slots, bool)
+        self.known, self.ids, self.used = 0, np.zeros(1 << 14, np.uint32), 0
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one uint32 array, and the borders of the texts in it; null texts have none."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        body, borders = text_buffer(texts)
+        if self.kind == "whole":
+            data = body.tobytes()
+            parts = [self.library.encode(data[a:b].decode(), add_special_tokens=False).ids for a, b in zip(borders[:-1], borders[1:])]
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+            return np.fromiter(flat.from_iterable(parts), np.uint32, int(ends[-1])), ends
+        starts = word_starts(body, borders) if self.kind == "drops" else _led_starts(body, borders)
+        data = body.tobytes()
+        if not any(t in data for t in self.special):
+            cut = np.zeros(len(body), bool)
+            cut[starts], cut[_marks(body)] = True, True
+            starts = np.flatnonzero(cut)
+        keys = np.stack([hash_words(body, starts, seed=2, blanks=self.kind == "leads"), hash_words(body, starts, seed=3, blanks=self.kind == "leads")], axis=1)
+        keys[:, 0] |= U(1)  # 0 is an empty place
+        slot = self._find(keys)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            _, at = np.unique(keys[missing, 0], return_index=True)
+            self._learn(data, np.append(starts, len(body)), missing[at], keys)
+            slot = self._find(keys)
+        self.met[slot] = True
+        lengths = self.count[slot].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.first[slot] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(starts, borders)]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        mask = len(self.key) - 1
+        slot = (keys[:, 0] >> U(20)).astype(np.int64) & mask
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            here = self.key[slot[todo]]
+            same = (here[:, 0] == keys[todo, 0]) & (here[:, 1] == keys[todo, 1])
+            out[todo[same]] = slot[todo[same]]
+            todo = todo[~same & (here[:, 0] != 0)]
+            slot[todo] = (slot[todo] + 1) & mask
+        return out
+
+    def _learn(self, data: bytes, starts: np.ndarray, words: np.ndarray, keys: np.ndarray) -> None:
+        if self.known + len(words) > MOST_WORDS:
+            self._forget()
+        found: list[list[int]] = []
+        for i in range(0, len(words), 4096):
+            some = [data[starts[k]:starts[k + 1]].decode() for k in words[i:i + 4096]]
+            found += [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._insert(keys[words], np.fromiter(flat.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def _insert(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while 2 * (self.known + len(keys)) > len(self.key):
+            old, first, count, met = self.key, self.first, self.count, self.met
+            kept = np.flatnonzero(old[:, 0])
+            slots = 2 * len(old)
+            self.key, self.first, self.count, self.met = np.zeros((slots, 2), U), np.zeros(slots, np.int64), np.zeros(slots, np.int32), np.zeros(slots, bool)
+            to = self._places(old[kept])
+            self.first[to], self.count[to], self.met[to] = first[kept], count[kept], met[kept]
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[self.used:self.used + len(ids)] = ids
+        to = self._places(keys)
+        self.first[to], self.count[to], self.met[to] = self.used + np.cumsum(sizes) - sizes, sizes, False
+        self.used += len(ids)
+        self.known += len(keys)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Put distinct new keys into empty places and say where."""
+        mask = len(self.key) - 1
+        slot = (keys[:, 0] >> U(20)).astype(np.int64) & mask
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = self.key[slot[todo], 0] == 0
+            _, winner = np.unique(slot[todo[free]], return_index=True)
+            won = todo[free][winner]
+            self.key[slot[won]] = keys[won]
+            placed = np.zeros(len(keys), bool)
+            placed[won] = True
+            todo = todo[~placed[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
+        return slot
 
     def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def _words(self, text: str) -> list[str] | None:
-        words = text.split()
-        if self.kind == "drops":
-            return None if _odd(text) else words
-        if self.kind == "leads" and text.replace("\n", " ").split(" ") == words and not _odd(text):
-            parts = text.replace("\n", " \n").split(" ")
-            parts[0] = "\n\n" + parts[0]  # no space before it; two line ends never stand in such a text
-            return parts
-        return None
-
-    def _source(self, word: str) -> str:
-        if self.kind == "drops":
-            return word
-        if word.startswith("\n\n"):
-            return word[2:]
-        return word if word.startswith("\n") else " " + word
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one uint32 array, and the borders of the texts in it."""
-        if len(self.numbers) > MOST_WORDS:
-            self._forget()
-        flat_words: list[str] = []
-        borders, whole = np.zeros(len(texts) + 1, np.int64), {}
-        for k, text in enumerate(texts):
-            words = self._words(text) if text else []
-            if words is None:
-                whole[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                flat_words.extend(words)
-            borders[k + 1] = len(flat_words)
-        at = np.fromiter(map(self.numbers.__getitem__, flat_words), np.int64, len(flat_words))
-        self._learn()
-        lengths = self.count[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.first[at] - ends[:-1], lengths) + np.arange(ends[-1])]
-        text_ends = ends[borders]
-        if whole:
-            pieces = [whole.get(k, ids[text_ends[k]:text_ends[k + 1]]) for k in range(len(texts))]
-            return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        return ids, text_ends
-
-    def _learn(self) -> None:
-        new = self.numbers.new
-        if not new:
-            return
-        known = len(self.numbers) - len(new)
-        while len(self.first) < len(self.numbers):
-            self.first, self.count = np.concatenate([self.first, self.first]), np.concatenate([self.count, self.count])
-        for i in range(0, len(new), 4096):
-            found = self.library.encode_batch_fast([self._source(w) for w in new[i:i + 4096]], add_special_tokens=False)
-            parts = [e.ids for e in found]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            total = int(sizes.sum())
-            while len(self.flat) < self.used + total:
-                self.flat = np.concatenate([self.flat, self.flat])
-            self.flat[self.used:self.used + total] = np.fromiter((x for p in parts for x in p), np.uint32, total)
-            self.count[known:known + len(parts)] = sizes
-            self.first[known:known + len(parts)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            known += len(parts)
-        new.clear()
-
-
-def _odd(text: str) -> bool:
-    """Separators that str.split parts at and the tokenizers do not."""
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        """Keep the words met since the last time, half of the bound at most."""
+        kept = np.flatnonzero(self.met)[: MOST_WORDS // 2]
+        keys, sizes = self.key[kept], self.count[kept].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.first[kept] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._clear(1 << 12)
+        self._insert(keys, ids, sizes)
+
+
+def _blank(body: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a white space character of Unicode."""
+    out = np.isin(body, np.array([9, 10, 11, 12, 13, 32], np.uint8))
+    lead = np.flatnonzero((body == 0xC2) | (body == 0xE1) | (body == 0xE2) | (body == 0xE3))
+    if len(lead):
+        one, two = body[np.minimum(lead + 1, len(body) - 1)], body[np.minimum(lead + 2, len(body) - 1)]
+        short = (body[lead] == 0xC2) & ((one == 0x85) | (one == 0xA0))
+        three = ((body[lead] == 0xE1) & (one == 0x9A) & (two == 0x80)) | ((body[lead] == 0xE3) & (one == 0x80) & (two == 0x80))
+        three |= (body[lead] == 0xE2) & (((one == 0x80) & (((two >= 0x80) & (two <= 0x8A)) | np.isin(two, [0xA8, 0xA9, 0xAF]))) | ((one == 0x81) & (two == 0x9F)))
+        for k in range(2):
+            out[lead[short] + k] = True
+        for k in range(3):
+            out[lead[three] + k] = True
+    return out
+
+
+def _marks(body: np.ndarray) -> np.ndarray:
+    """Positions of ASCII marks right behind an ASCII letter."""
+    kind = np.zeros(256, np.uint8)
+    kind[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
+    kind[[*range(65, 91), *range(97, 123)]] = 2
+    kinds = kind[body]
+    return np.flatnonzero((kinds[1:] == 1) & (kinds[:-1] == 2)) + 1
+
+
+def _led_starts(body: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Where stretches start: at each text, before a space and around a line end without white space beside it."""
+    n = len(body)
+    starts = np.zeros(n + 1, bool)
+    if n > 2:
+        blank = _blank(body)
+        edge = np.zeros(n + 1, bool)
+        edge[borders] = True
+        cut = (body[1:-1] == 0x20) | (body[1:-1] == 0x0A)
+        cut = cut & ~blank[:-2] & ~blank[2:] & ~edge[1:n - 1] & ~edge[2:n]
+        starts[1:n - 1] = cut
+        starts[2:n] |= cut & (body[1:-1] == 0x0A)
+    starts[borders] = True
+    return np.flatnonzero(starts[:n])
 
 
 def _kind(spec: dict) -> str:

@@ -29,11 +29,12 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * U(0xD6E8FEB86659FD93) + right + U(0x632BE59BD9B4E019))
 
 
-def _byte_values(lower: bool, seed: int) -> np.ndarray:
+def _byte_values(lower: bool, seed: int, blanks: bool) -> np.ndarray:
     values = mix(np.arange(256, dtype=U) + U(seed * 1000 + 1))
     if lower:
         values[65:91] = values[97:123]
-    values[_SPACES] = 0
+    if not blanks:
+        values[_SPACES] = 0
     return values
 
 
@@ -46,11 +47,11 @@ def _powers(base: U, n: int) -> np.ndarray:
 _TABLES: dict = {}
 
 
-def _tables(lower: bool, seed: int, n: int):
-    key = (lower, seed)
+def _tables(lower: bool, seed: int, n: int, blanks: bool = False):
+    key = (lower, seed, blanks)
     if key not in _TABLES or len(_TABLES[key][1]) < n:
         n = 1 << max(n - 1, PIECE).bit_length()
-        _TABLES[key] = _byte_values(lower, seed), _powers(_P, n), _powers(_P_INVERSE, n)
+        _TABLES[key] = _byte_values(lower, seed, blanks), _powers(_P, n), _powers(_P_INVERSE, n)
     return _TABLES[key]
 
 
@@ -86,14 +87,17 @@ def word_starts(body: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def hash_words(body: np.ndarray, starts: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash per word, the same wherever the word stands; ``lower`` folds A-Z."""
+def hash_words(body: np.ndarray, starts: np.ndarray, lower: bool = False, seed: int = 0, blanks: bool = False) -> np.ndarray:
+    """A 64-bit hash per word, the same wherever the word stands; ``lower`` folds A-Z.
+
+    With ``blanks`` white space counts as well: all bytes from one start to the next are hashed.
+    """
     out = np.zeros(len(starts), U)
     i = 0
     while i < len(starts):  # pieces of whole words keep the temporary arrays small
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
         lo, hi = int(starts[i]), int(starts[j]) if j < len(starts) else len(body)
-        values, up, down = _tables(lower, seed, hi - lo)
+        values, up, down = _tables(lower, seed, hi - lo, blanks)
         own = starts[i:j] - lo
         sums = np.add.reduceat(values[body[lo:hi]] * up[: hi - lo], own)
         out[i:j] = mix(sums * down[own] + U(seed))
