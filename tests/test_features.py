@@ -77,3 +77,13 @@ def test_features_do_not_look_ahead(make_bars, cut):
     whole = features.price_features(make_bars({"X": CLOSES})).drop("label_ret_1f").orderBy("date").collect()[:cut]
     part = features.price_features(make_bars({"X": CLOSES[:cut]})).drop("label_ret_1f").orderBy("date").collect()
     assert whole == part
+
+
+def test_rsi_after_unknown_closes(make_bars):
+    rows = features.add_rsi(make_bars({"X": [10.0, None, 11.0, 10.5, 12.0], "Y": [10.0, 10.5, None, 11.0, 12.0, 11.0]})).collect()
+    got = {(r.symbol, str(r.date)[-2:]): r.rsi_14 for r in rows}
+    assert [round(got["X", d], 4) for d in ("01", "02", "03", "04", "05")] == [50.0, 50.0, 50.0, 0.0, 18.75]
+    # the moves +0.5, +1.0, -1.0 follow each other; rows without a move show 50
+    up = ((0.5 * 13 + 1.0) / 14) * 13 / 14
+    assert [round(got["Y", d], 6) for d in ("01", "02", "03", "04", "05")] == [50.0, 100.0, 50.0, 50.0, 100.0]
+    assert abs(got["Y", "06"] - 100 * up / (up + 1.0 / 14)) < 1e-9

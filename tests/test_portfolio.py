@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import column, day, near
+from tidemark.plans.research import Research
 from tidemark.operators import factors as factor_ops
 from tidemark.operators import ic, portfolio
 from tidemark.operators.adjust import adjusted_prices
@@ -185,13 +186,12 @@ def test_overnight_gain_needs_the_close(spark):
 
 
 @pytest.mark.filterwarnings("ignore")
-@pytest.mark.parametrize("section_rows", [None, 100])
-def test_rank_ic_equals_pandas(spark, section_rows):
+def test_rank_ic_equals_pandas(spark):
     rng = random.Random(5)
-    rows = [("f", day(d), f"i{k}", rng.choice([None, 0.0, 1.0, rng.random()]), rng.choice([0.0, rng.random(), None]))
+    rows = [("f", day(d), f"i{k}", rng.choice([None, float("nan"), 0.0, 1.0, rng.random()]), rng.choice([0.0, rng.random(), None]))
             for d in range(12) for k in range(3 + d)]
     df = spark.createDataFrame(rows, "factor string, date date, instrument string, value double, fwd double")
-    got = {r.date: (r.n, r.rank_ic) for r in ic.daily_rank_ic(df, section_rows=section_rows).collect()}
+    got = {r.date: (r.n, r.rank_ic) for r in ic.daily_rank_ic(df).collect()}
     frame = pd.DataFrame(rows, columns=["factor", "date", "instrument", "value", "fwd"]).dropna()
     want = {}
     for date, g in frame.groupby("date"):
@@ -209,6 +209,21 @@ def test_parameters_are_checked(spark):
         ic.fixed_direction(spark.createDataFrame([("f",)], "factor string"), "sideways")
 
 
+def test_directions_by_factor(spark):
+    names = spark.createDataFrame([("f",), ("g",)], "factor string")
+    got = {r.factor: r.direction for r in ic.given_directions(names, {"f": "top", "g": "bottom"}).collect()}
+    assert got == {"f": "top", "g": "bottom"}
+    with pytest.raises(ValueError):
+        ic.given_directions(names, {"f": "top", "g": None})
+
+
+def test_a_short_run_has_no_ledger(spark):
+    panel = spark.createDataFrame([(day(0), "A", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)],
+                                  "date date, instrument string, open double, high double, low double, close double, volume double, factor double")
+    with pytest.raises(ValueError):
+        Research(panel, direction="short").ledger()
+
+
 def test_benchmark_falls_back_to_equal_weight(spark):
     days = spark.createDataFrame([(day(i), i + 1) for i in range(40)], "date date, di long")
     spans = portfolio.spans_of(days)

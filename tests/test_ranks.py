@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.carry import last_known_before
+import tidemark.functions.ranks as ranks
 from tidemark.functions.ranks import average_rank, best_band, best_rows
 
 
@@ -16,12 +17,13 @@ def _rows(seed, n, ties):
             for k in range(n)]
 
 
-@pytest.mark.parametrize("section_rows", [None, 1000])
+@pytest.mark.parametrize("borders", [1, 8, 64])
 @pytest.mark.parametrize("descending", [False, True])
-def test_average_rank_equals_pandas(spark, descending, section_rows):
+def test_average_rank_equals_pandas(spark, monkeypatch, descending, borders):
+    monkeypatch.setattr(ranks, "BORDERS", borders)
     rows = _rows(1, 800, 0.4)
     df = spark.createDataFrame(rows, "g string, i string, v double")
-    got = {r.i: r.rk for r in average_rank(df, ["g"], "v", "rk", descending, section_rows).collect()}
+    got = {r.i: r.rk for r in average_rank(df, ["g"], "v", "rk", descending).collect()}
     frame = pd.DataFrame(rows, columns=["g", "i", "v"])
     want = frame.assign(rk=frame.groupby("g")["v"].rank(ascending=not descending)).set_index("i")["rk"]
     assert len(got) == 800
@@ -44,6 +46,21 @@ def test_large_limit_is_cut_in_salted_parts(spark):
     assert [r.v for r in kept.orderBy("pos").collect()] == list(range(1500))
 
 
+def test_large_limit_with_a_descending_order(spark):
+    df = spark.range(5000).select(F.lit("g").alias("g"), F.col("id").alias("v"))
+    kept = best_rows(df, ["g"], [F.col("v").desc_nulls_last()], 1001)
+    assert [r.v for r in kept.orderBy("pos").collect()] == list(range(4999, 3998, -1))
+
+
+def test_rank_of_missing_infinite_and_long_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(None, v) for v in (5.0, nan, -3.0, 1.0, 2.0, inf, -inf, None, 1.0)], "g string, v double")
+    got = sorted((str((r.v, r.rk)) for r in average_rank(df, ["g"], "v", "rk").collect()))
+    assert got == sorted(str(x) for x in [(5.0, 6.0), (nan, None), (-3.0, 2.0), (1.0, 3.5), (2.0, 5.0), (inf, 7.0), (-inf, 1.0), (None, None), (1.0, 3.5)])
+    longs = spark.createDataFrame([("g", 2 ** 53 + k) for k in (0, 1, 2)], "g string, v long")
+    assert sorted((r.v - 2 ** 53, r.rk) for r in average_rank(longs, ["g"], "v", "rk").collect()) == [(0, 1.0), (1, 2.0), (2, 3.0)]
+
+
 def test_map_side_limit_is_in_the_plan(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     plan = best_rows(df, ["g"], [F.col("v")], 5)._jdf.queryExecution().executedPlan().toString()

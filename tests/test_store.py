@@ -109,3 +109,30 @@ def test_latest_rows_cuts_before_the_shuffle(make_bars):
     plan = latest_rows([bars, bars], ["symbol", "date"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
     assert scan(bars, start=day(1), end=day(1)).count() == 1
+
+
+def test_failed_swap_keeps_the_old_table(store, spark, monkeypatch):
+    store.write_feature("f", spark.range(3))
+
+    class Files:
+        """A file system whose second rename, the one that publishes, says no."""
+
+        def __init__(self, real):
+            self.real, self.renames = real, 0
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def rename(self, a, b):
+            self.renames += 1
+            return False if self.renames == 2 else self.real.rename(a, b)
+
+    real = store._files
+    files = Files(real(store._path("features", "f")))
+    monkeypatch.setattr(store, "_files", lambda path: files)
+    with pytest.raises(OSError):
+        store.write_feature("f", spark.range(5))
+    monkeypatch.undo()
+    assert store.read_feature("f").count() == 3
+    store.write_feature("f", spark.range(5))
+    assert store.read_feature("f").count() == 5

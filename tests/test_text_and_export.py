@@ -49,3 +49,10 @@ def test_dense_vectors(make_bars):
     close = got[("2330", "close")].vector
     assert len(got) == 12 and len(close) == 3 and close[0] == 1.0 and math.isnan(close[1]) and close[2] == 2.0
     assert math.isnan(got[("ABCD", "close")].vector[0]) and got[("ABCD", "close")].start_index == 0
+
+
+def test_symbols_that_differ_in_case_are_one(make_bars):
+    bars = make_bars({"ab": [1.0, 2.0], "AB": [3.0, None], "c": [5.0, 6.0]}, volumes={"AB": [10, 20]})
+    got = {(r.symbol, r.field): list(r.vector) for r in dense_vectors(bars).collect()}
+    assert set(s for s, _ in got) == {"AB", "C"} and all(len(v) == 2 for v in got.values())
+    assert got["AB", "close"] == [3.0, 2.0] and got["C", "close"] == [5.0, 6.0]

@@ -1,7 +1,7 @@
 """Cross-sectional ranking that never puts a whole cross-section into one task.
 
 A date can hold as many rows as there are instruments, so a window partitioned
-by date alone does not scale. Two forms replace it: a full average-tie rank over
+by date alone does not scale. Two forms replace it: a full average-tie rank inside
 value buckets, and a band that keeps only the best few names per date.
 """
 
@@ -12,91 +12,67 @@ from pyspark.sql import functions as F
 
 SALTS = 256
 
-# Rows that one window group may hold. A larger or unmeasured cross-section is ranked in buckets.
-SMALL_SECTION = 2_000_000
+# Borders that part the values of a group; a value on a border has a bucket of its own.
+BORDERS = 64
 
 # Rows up to which a table with a known bound is broadcast.
 SMALL_TABLE = 1_000_000
 
 
-def value_bucket(value: Column, unit: float = 1e-6, per_fold: int = 512) -> Column:
-    """A bucket number that never decreases as ``value`` grows.
-
-    Logarithmic in size on both sides of zero, so buckets follow the spread of the
-    data whatever its scale. ``log1p`` is monotonic, which is all that the rank
-    needs to be exact; the bucket width only decides how even the tasks are.
-    """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) / F.lit(unit)) * F.lit(per_fold))
-
-
-def rank_table(counts: DataFrame, group: list[str], value: str, n: str, out: str,
-               descending: bool = False) -> DataFrame:
-    """(group…, value, out): average-tie rank of each distinct value, ``n`` rows standing behind a row.
-
-    counts may list a value several times; it is first reduced to one row per value
-    (map-side combined, so a value shared by a third of all rows is one row). Ranks
-    are the running count inside a value bucket plus the total of the buckets before.
-    """
-    distinct = counts.groupBy(*group, value).agg(F.sum(n).alias("_n"))
-    keyed = distinct.withColumn("_key", -F.col(value) if descending else F.col(value)).withColumn(
-        "_bucket", F.coalesce(value_bucket(F.col("_key")), F.lit(0))
-    )
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*group, "_bucket")
-        .agg(F.sum("_n").alias("_total"))
-        .select(*group, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        keyed.withColumn("_upto", F.sum("_n").over(inside))
-        .join(offsets, [*group, "_bucket"])
-        .select(*group, value, (F.col("_offset") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out))
-    )
-
-
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group: one map-side combined count over the group columns."""
-    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-
-
-def is_small(section_rows: int | None) -> bool:
-    """Whether a cross-section has been measured and fits one task."""
-    return section_rows is not None and section_rows <= SMALL_SECTION
-
-
 def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
     """Broadcast hint for a table that cannot exceed ``rows`` rows, when that is few; else AQE decides by size."""
     return F.broadcast(df) if rows is not None and rows <= SMALL_TABLE else df
 
 
-def tie_rank(group: list[str], value: str, descending: bool = False) -> Column:
-    """Average-tie rank as window functions over the whole group; only for groups known to be small.
-
-    Both windows share one shuffle and one sort.
-    """
-    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    first = F.rank().over(Window.partitionBy(*group).orderBy(key))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return F.when(F.col(value).isNotNull(), first + (ties - 1) / F.lit(2.0))
+def missing_as_null(value: Column, kind: str) -> Column:
+    """NaN is a missing value; other types have no NaN."""
+    return F.when(~F.isnan(value), value) if kind in ("double", "float") else value
 
 
-def average_rank(df: DataFrame, group: list[str], value: str, out: str, descending: bool = False,
-                 section_rows: int | None = None) -> DataFrame:
-    """Add the average-tie rank of ``value`` within ``group``; null values stay unranked.
+def average_rank(df: DataFrame, group: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
+    """Add the average-tie rank of ``value`` within ``group``; null and NaN values stay unranked.
 
-    ``section_rows`` is the measured size of the largest group. Small groups are ranked
-    by windows. Otherwise ``df`` is read twice (to count its values and to receive the
-    ranks): pass a stored table where computing it is expensive.
+    One path for groups of any size. Values are compared in their own type. Approximate
+    quantiles of a group (sketches merged map-side) part its values into buckets; a value
+    that is a border, as any that many rows share, is a bucket by itself. A rank is the rows in the buckets
+    before plus the rank inside the bucket: a window over the bucket, or nothing but its size
+    for a border, whose rows are therefore dealt out by a hash. The borders only decide how
+    even the tasks are, not the result. ``df`` is read up to three times: pass a stored table
+    where computing it is expensive.
     """
-    if is_small(section_rows):
-        return df.withColumn(out, tie_rank(group, value, descending))
-    number = F.col(value).cast("double")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, number.alias("_value")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    ranks = rank_table(counts, group, "_value", "_rows", out, descending)
-    return df.withColumn("_value", number).join(ranks, [*group, "_value"], "left").drop("_value")
+    kind = dict(df.dtypes)[value]
+    known = missing_as_null(F.col(value), kind)
+    steps = F.array(*[F.lit((k + 0.5) / BORDERS) for k in range(BORDERS)])
+    borders = df.groupBy(*group).agg(F.array_distinct(F.percentile_approx(known, steps, 10_000)).alias("_borders"))
+    rows = df.withColumn("_known", known).join(
+        borders.select(*[F.col(c).alias(f"_g_{c}") for c in group], "_borders"),
+        _all(*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]), "left").drop(*[f"_g_{c}" for c in group])
+    below = F.size(F.filter("_borders", lambda b: b < F.col("_known")))
+    on_border = F.array_contains("_borders", F.col("_known"))
+    rows = rows.withColumn("_border", F.coalesce(on_border, F.lit(False))).withColumn(
+        "_bucket", F.when(F.col("_known").isNotNull(), 2 * below + F.col("_border").cast("int"))).drop("_borders")
+    sizes = rows.where(F.col("_bucket").isNotNull()).groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_bucket").alias("_b"), "_size",
+                         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_total"))
+    placed = rows.join(sizes, _all(*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_bucket") == F.col("_b")), "left")
+    spread = F.when(F.col("_border") | F.col("_bucket").isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(-1))
+    inside = Window.partitionBy(*group, "_bucket", "_spread")
+    placed = placed.withColumn("_spread", spread)
+    first = F.rank().over(inside.orderBy("_known"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, "_bucket", "_spread", "_known"))
+    in_bucket = F.when(F.col("_border"), (F.col("_size") + 1) / F.lit(2.0)).otherwise(first + (ties - 1) / F.lit(2.0))
+    rank = F.col("_before") + in_bucket
+    ranked = F.col("_total") + 1 - rank if descending else rank
+    return placed.select(*[F.col(c) for c in df.columns if c != out], F.when(F.col("_known").isNotNull(), ranked).alias(out))
+
+
+def _all(*conditions: Column) -> Column:
+    out = conditions[0]
+    for condition in conditions[1:]:
+        out = out & condition
+    return out
 
 
 def best_rows(df: DataFrame, group: list[str], order: list[Column], rows: int, out: str = "pos") -> DataFrame:
@@ -104,10 +80,11 @@ def best_rows(df: DataFrame, group: list[str], order: list[Column], rows: int, o
 
     Spark cuts each map task to ``rows`` per group before the shuffle, so a group
     of any size reaches its task as at most ``rows`` rows per map task. Beyond the
-    limit up to which Spark does that, the rows are first cut in salted parts.
+    limit up to which Spark does that, rows are first cut in parts by a hash of the row, with the same result.
     """
     if rows > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        salt = F.pmod(F.xxhash64(*group, *order), F.lit(SALTS))
+        hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
+        salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS))
         part = Window.partitionBy(*group, "_salt").orderBy(*order)
         df = df.withColumn("_salt", salt).withColumn("_part", F.row_number().over(part))
         df = df.where(F.col("_part") <= rows).drop("_salt", "_part")
@@ -125,8 +102,9 @@ def best_band(df: DataFrame, group: list[str], value: str, tiebreak: str, band:
     or not the missing rows are counted: the test ``avg_rank <= band`` is exact.
     """
     key = F.col(value) if score is None else score
+    present = missing_as_null(F.col(value), dict(df.dtypes)[value]).isNotNull()
     kept = best_rows(
-        df.where(F.col(value).isNotNull()).withColumn("_score", key),
+        df.where(present).withColumn("_score", key),
         group, [F.col("_score"), F.col(tiebreak)], 2 * band + 1,
     )
     ties = Window.partitionBy(*group, "_score")

@@ -58,10 +58,10 @@ def at_calendar_offset(value: Column, offset: int, *group: str, index: str = "di
 
 def wilder_mean(df: DataFrame, inputs: dict[str, str], n: int, group: str = "symbol", order: str = "date",
                 block_rows: int | None = None) -> DataFrame:
-    """Add recursive exponential means (alpha = 1/n, seeded by the first value).
+    """Add recursive exponential means (alpha = 1/n, seeded by the first value that is set).
 
-    ``inputs`` maps output name to input column; an input is null on the first row
-    of a group and set afterwards. The recursion ``y = (1-a)·y' + a·x`` is a
+    ``inputs`` maps output name to input column; all inputs are null on the same rows.
+    Those rows take no step: they show the mean before them (null before the first). The recursion ``y = (1-a)·y' + a·x`` is a
     weighted running sum, so it needs neither a per-group fold nor Python. Weights
     restart in blocks to stay inside double range; a block starts from the mean at
     the end of the block before, older blocks having decayed below the smallest
@@ -72,11 +72,12 @@ def wilder_mean(df: DataFrame, inputs: dict[str, str], n: int, group: str = "sym
         return df.select("*", *[F.col(source).alias(out) for out, source in inputs.items()])
     rows = block_rows or max(2, int(575 / -math.log(decay)))
     series = history(group, order=order)
-    step = df.withColumn("_step", F.row_number().over(series) - 2)
+    so_far = series.rowsBetween(Window.unboundedPreceding, 0)
+    step = df.withColumn("_step", F.count(next(iter(inputs.values()))).over(so_far) - 1)
     step = step.withColumn("_block", F.floor(F.col("_step") / rows)).withColumn(
         "_pos", F.col("_step") - F.col("_block") * rows
     )
-    in_block = Window.partitionBy(group, "_block").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    in_block = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     weight = F.when(F.col("_step") == 0, F.lit(1.0)).otherwise(F.lit(1.0 / n)) * F.pow(F.lit(decay), -F.col("_pos"))
     step = step.withColumns({
         f"_own_{out}": F.sum(F.col(source) * weight).over(in_block) * F.pow(F.lit(decay), F.col("_pos"))

@@ -21,9 +21,12 @@ def dense_vectors(daily: DataFrame) -> DataFrame:
     ``vector`` has one 32-bit float per calendar day, NaN where the symbol has no row.
     Each row brings the run of missing days before it (the last one also those after
     it), so a vector is put together in one pass over its symbol's rows and no
-    calendar × symbol product is built. A vector is as long as the calendar.
+    calendar × symbol product is built. A vector is as long as the calendar: symbols that
+    differ in case are one, and of several rows of a day the one with the largest values counts
+    (open first, then high, and so on).
     """
-    rows = latest_rows([daily], ["symbol", "date"]).withColumn("symbol", F.upper("symbol"))
+    upper = daily.withColumn("symbol", F.upper("symbol"))
+    rows = latest_rows([upper], ["symbol", "date"], F.struct(*[F.col(c) for c in upper.columns if c in FIELD_NAMES]))
     cal = calendar(daily)
     n_days = cal.agg(F.max("di")).scalar()
     by_day = Window.partitionBy("symbol").orderBy("di")

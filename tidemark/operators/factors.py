@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import missing_as_null
 from tidemark.functions.windows import change, full_mean, full_stddev, full_sum, history, ratio
 from tidemark.operators.quality import duplicate_keys
 
@@ -78,7 +79,7 @@ def factor_table(panel: DataFrame, names: tuple[str, ...] = DEFAULT_FACTORS, kee
     """(factor, date, instrument, value) plus the ``keep`` columns of the panel.
 
     All column factors come from one pass with one shuffle by instrument and are
-    then unfolded into rows.
+    then unfolded into rows. NaN is a missing value and becomes null.
     """
     missing = [n for n in names if n not in _REGISTRY]
     if missing:
@@ -96,11 +97,12 @@ def factor_table(panel: DataFrame, names: tuple[str, ...] = DEFAULT_FACTORS, kee
         wide = prepared.select(
             "date", "instrument", *keep, *[c.cast("double").alias(f"f_{n}") for n, c in columns.items()]
         )
-        cells = F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"f_{n}").alias("value")) for n in columns])
+        cells = F.array(*[F.struct(F.lit(n).alias("factor"), missing_as_null(F.col(f"f_{n}"), "double").alias("value")) for n in columns])
         parts.append(wide.select("date", "instrument", *keep, F.inline(cells)))
     for name, table in tables:
         base = panel.select("date", "instrument", *keep)
-        parts.append(base.join(table, ["date", "instrument"], "left").withColumn("factor", F.lit(name)))
+        value = missing_as_null(F.col("value").cast("double"), "double")
+        parts.append(base.join(table, ["date", "instrument"], "left").withColumn("value", value).withColumn("factor", F.lit(name)))
     columns_out = ["factor", "date", "instrument", "value", *keep]
     out = parts[0].select(*columns_out)
     for part in parts[1:]:
@@ -124,7 +126,7 @@ def normalize_factor_output(df: DataFrame, name: str) -> DataFrame:
         raise ValueError(f"{name}: has no value column")
     return df.select(
         F.lit(name).alias("factor"), F.col(day).cast("date").alias("date"),
-        F.col(instrument).alias("instrument"), F.col(values[0]).cast("double").alias("value"),
+        F.col(instrument).alias("instrument"), missing_as_null(F.col(values[0]).cast("double"), "double").alias("value"),
     )
 
 
@@ -145,7 +147,7 @@ def select_factors(factors: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 def factor_summary(factors: DataFrame) -> DataFrame:
     """Per factor: rows, instruments, date range, moments and share of missing values."""
-    value = F.when(~F.isnan("value"), F.col("value"))
+    value = missing_as_null(F.col("value"), "double")
     return factors.groupBy("factor").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("instrument").alias("n_instruments"),

@@ -34,7 +34,11 @@ def add_volume_ratio(df: DataFrame, volume: str = "volume_shares", window: int =
 
 
 def add_rsi(df: DataFrame, price: str = "close", n: int = 14, group: str = "symbol") -> DataFrame:
-    """Relative strength from Wilder means; 50 where nothing has moved yet, 100 without losses."""
+    """Relative strength from Wilder means over the moves that are known.
+
+    50 where nothing has moved yet and where a move is unknown (a null close has none, nor has
+    the row after it), 100 without losses. Unknown moves take no step of the means.
+    """
     move = F.col(price) - F.lag(price).over(history(group))
     moves = df.withColumn("_move", move).withColumns({
         "_gain": F.greatest(F.col("_move"), F.lit(0.0)),
@@ -42,7 +46,8 @@ def add_rsi(df: DataFrame, price: str = "close", n: int = 14, group: str = "symb
     }).withColumns({c: F.when(F.col("_move").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
     means = wilder_mean(moves, {"_up": "_gain", "_down": "_loss"}, n, group)
     rsi = F.lit(100.0) * F.try_divide(F.col("_up"), F.col("_up") + F.col("_down"))
-    return means.withColumn(f"rsi_{n}", F.coalesce(rsi, F.lit(50.0))).drop(
+    known = F.when(F.col("_move").isNotNull(), rsi)
+    return means.withColumn(f"rsi_{n}", F.coalesce(known, F.lit(50.0))).drop(
         "_move", "_gain", "_loss", "_up", "_down"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import is_small, rank_table, tie_rank
+from tidemark.functions.ranks import average_rank, missing_as_null
 from tidemark.functions.windows import at_calendar_offset, ratio
 
 # Names a day needs, days a summary needs.
@@ -25,27 +25,18 @@ def align(factors: DataFrame, forward: DataFrame) -> DataFrame:
 
 
 def daily_rank_ic(pairs: DataFrame, min_symbols: int = MIN_SYMBOLS, keys: tuple[str, ...] = ("factor",),
-                  day: str = "date", section_rows: int | None = None) -> DataFrame:
+                  day: str = "date") -> DataFrame:
     """(keys…, date, n, rank_ic): Spearman correlation of ``value`` and ``fwd`` per day.
 
-    Both are ranked on their common non-null rows; days with fewer than
-    ``min_symbols`` names or no variation are left out. With ``section_rows``, the
-    measured number of names on the widest day, narrow cross-sections are ranked by
-    windows after one shuffle. Wide or unmeasured ones are folded into cells of equal
-    (value, fwd) first; both rank tables and the sums then work on the cells, so the
-    pairs are still computed and shuffled once.
+    Both are ranked on their common rows (null and NaN are missing); days with fewer than
+    ``min_symbols`` names or no variation are left out. Ranks come from value buckets
+    whatever the width of a day; the sums are combined map-side.
     """
     group = [*keys, day]
-    common = pairs.where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
-    if is_small(section_rows):
-        ranked = common.select(
-            *group, F.lit(1).alias("_c"), tie_rank(group, "value").alias("_rv"), tie_rank(group, "fwd").alias("_rf")
-        )
-    else:
-        cells = common.groupBy(*group, "value", "fwd").agg(F.count(F.lit(1)).alias("_c"))
-        ranked = cells.join(rank_table(cells, group, "value", "_c", "_rv"), [*group, "value"]).join(
-            rank_table(cells, group, "fwd", "_c", "_rf"), [*group, "fwd"]
-        )
+    kinds = dict(pairs.dtypes)
+    both = [missing_as_null(F.col(c), kinds[c]) for c in ("value", "fwd")]
+    common = pairs.select(*group, "value", "fwd").where(both[0].isNotNull() & both[1].isNotNull())
+    ranked = average_rank(average_rank(common, group, "value", "_rv"), group, "fwd", "_rf").withColumn("_c", F.lit(1))
 
     def mean_of(product: Column) -> Column:
         return F.sum(F.col("_c") * product) / F.sum("_c")
@@ -114,3 +105,14 @@ def fixed_direction(factors: DataFrame, direction: str) -> DataFrame:
     if direction not in ("top", "bottom", "short"):
         raise ValueError(f"direction must be top, bottom or short, got {direction!r}")
     return factors.select("factor").distinct().withColumn("direction", F.lit(direction))
+
+
+def given_directions(factors: DataFrame, directions: dict[str, str | None]) -> DataFrame:
+    """(factor, direction) from a mapping; every factor needs top or bottom."""
+    wrong = sorted(f for f, d in directions.items() if d not in ("top", "bottom"))
+    if wrong:
+        raise ValueError(f"direction must be top or bottom for: {', '.join(wrong)}")
+    chosen = F.lit(None).cast("string")
+    for factor, direction in directions.items():
+        chosen = F.when(F.col("factor") == factor, F.lit(direction)).otherwise(chosen)
+    return factors.select("factor").distinct().withColumn("direction", chosen)

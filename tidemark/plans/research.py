@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import largest_group
 from tidemark.operators.adjust import adjusted_prices
 from tidemark.operators.calendar import calendar
 from tidemark.operators.evaluation import (
@@ -16,7 +16,7 @@ from tidemark.operators.evaluation import (
 )
 from tidemark.operators.factors import DEFAULT_FACTORS, factor_table
 from tidemark.operators.ic import (
-    auto_direction, daily_rank_ic, fixed_direction, ic_stability, ic_summary, with_forward_return,
+    auto_direction, daily_rank_ic, fixed_direction, given_directions, ic_stability, ic_summary, with_forward_return,
 )
 from tidemark.operators.ledger import explain_trades, holding_runs, ledger_summary
 from tidemark.operators.portfolio import (
@@ -31,11 +31,13 @@ from tidemark.session import store_intermediate
 
 @dataclass(frozen=True)
 class Research:
-    """One evaluation. Every property is a lazy DataFrame built from the ones before it.
+    """One evaluation. Every property is a DataFrame built from the ones before it; with ``reuse`` a property that
+    is stored runs its job when it is first asked for.
 
     panel: date, instrument, open, high, low, close, volume, factor.
     ``is_ratio`` splits the sample: directions then come from the first span only and
-    both spans are run separately. ``direction`` is auto, top, bottom or short.
+    both spans are run separately. ``direction`` is auto, top, bottom or short, or a mapping
+    from each factor to top or bottom.
     ``reuse`` stores the steps that several results read (calendar, factor table, directions,
     holdings, signals, daily returns) in the checkpoint folder; without it everything is one plan.
     """
@@ -43,7 +45,7 @@ class Research:
     panel: DataFrame
     names: tuple[str, ...] = DEFAULT_FACTORS
     rules: Rules = Rules()
-    direction: str = "auto"
+    direction: str | Mapping[str, str] = "auto"
     fwd_days: int = 5
     universe: UniverseSpec = UniverseSpec.all()
     is_ratio: float | None = None
@@ -97,22 +99,18 @@ class Research:
 
     @cached_property
     def ics(self) -> DataFrame:
-        ics = daily_rank_ic(self.factors, keys=("factor", "span"), section_rows=self.section_rows)
-        return self._kept(ics, "ics")
+        return self._kept(daily_rank_ic(self.factors, keys=("factor", "span")), "ics")
 
     @cached_property
     def held_bound(self) -> int | None:
         """Most picks (and so trades) of the run, from the stored calendar; unknown for a fully lazy run."""
         return held_bound(len(self.names), self.calendar.count(), self.rules) if self.reuse else None
 
-    @cached_property
-    def section_rows(self) -> int | None:
-        """Names on the widest date, measured on the date column alone; unknown for a fully lazy run."""
-        return largest_group(self.universe_panel, ["date"]) if self.reuse else None
-
     @cached_property
     def directions(self) -> DataFrame:
         """One row per factor; with a split only the in-sample ICs decide."""
+        if isinstance(self.direction, Mapping):
+            return given_directions(self.factor_spans, {n: self.direction.get(n) for n in self.names})
         if self.direction != "auto":
             return fixed_direction(self.factor_spans, self.direction)
         deciding = self.ics if self.is_ratio is None else self.ics.where(F.col("span") == "is")
@@ -159,16 +157,22 @@ class Research:
     # -- result tables ------------------------------------------------------
 
     def metrics(self) -> DataFrame:
-        """Metrics, position changes and turnover per portfolio, the combination included."""
+        """Metrics, position changes and turnover per portfolio, the combination included.
+
+        The combination has the direction its factors have in common, else ``mixed``.
+        """
         turnover = average_turnover(self.holdings)
         mean_turnover = turnover.groupBy("span").agg(F.avg("avg_turnover").alias("avg_turnover")).withColumn(
             "factor", F.lit("combined")
         )
+        directions = self.directions.select("factor", "direction")
+        common = directions.agg(
+            F.when(F.min("direction") == F.max("direction"), F.min("direction")).otherwise("mixed").alias("direction")
+        ).select(F.lit("combined").alias("factor"), "direction")
         return (
             portfolio_metrics(self.named_daily, KEYS, totals=("trades",)).withColumnRenamed("trades", "trade_count")
             .join(turnover.unionByName(mean_turnover), KEYS, "left")
-            .join(self.directions.select("factor", "direction"), "factor", "left")
-            .withColumn("direction", F.coalesce("direction", F.lit("mixed")))
+            .join(directions.unionByName(common), "factor", "left")
         )
 
     def erosion(self) -> DataFrame:
@@ -179,6 +183,9 @@ class Research:
 
     @cached_property
     def trades(self) -> DataFrame:
+        """Holding runs with long returns; a short portfolio has no ledger."""
+        if self.direction == "short":
+            raise ValueError("a trade ledger shows long portfolios only")
         return self._kept(holding_runs(self.rows, self.rules.fee, KEYS), "trades")
 
     def ledger(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +31,14 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only when none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    local = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    context.setCheckpointDir(local)
-    return local
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
+
+
+def intermediate_folder(spark: SparkSession) -> str:
+    """The application's own part of the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
 
 
 def store_intermediate(df: DataFrame, label: str) -> DataFrame:
@@ -49,8 +46,28 @@ def store_intermediate(df: DataFrame, label: str) -> DataFrame:
 
     For results that several later steps read: the plan before it runs once, later
     scans still prune columns, and a lost executor costs a re-read, not a recomputation.
+    The application's folder goes when the Python process ends, or with ``drop_intermediates``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = intermediate_folder(spark)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _FOLDERS[folder] = spark
     return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def drop_intermediates() -> None:
+    """Remove what ``store_intermediate`` has written; results that still read it become invalid."""
+    while _FOLDERS:
+        folder, spark = _FOLDERS.popitem()
+        context = spark.sparkContext
+        if context._jsc is None:  # stopped: the folder's own retention removes the files
+            continue
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(drop_intermediates)

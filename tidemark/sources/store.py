@@ -63,21 +63,31 @@ class PanelStore:
     def _path(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
 
+    def _files(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _exists(self, path: str) -> bool:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return files.exists(hadoop_path)
+        return self._files(path).exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
 
     def _replace(self, df: DataFrame, path: str) -> None:
-        """Write beside the target, then swap: readers see the old or the new table, never half of one."""
+        """Write beside the target, then swap. The old table goes only when the new one stands in its place.
+
+        A swap that fails puts the old table back and raises; between the two renames a reader finds no table.
+        """
         staged, retired = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.retired-{uuid.uuid4().hex}"
         df.write.parquet(staged)
         make_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        files = make_path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if files.exists(make_path(path)):
-            files.rename(make_path(path), make_path(retired))
-        files.rename(make_path(staged), make_path(path))
-        files.delete(make_path(retired), True)
+        files = self._files(path)
+        had = files.exists(make_path(path))
+        if had and not files.rename(make_path(path), make_path(retired)):
+            files.delete(make_path(staged), True)
+            raise OSError(f"cannot move {path} aside")
+        if not files.rename(make_path(staged), make_path(path)):
+            if had and not files.rename(make_path(retired), make_path(path)):
+                raise OSError(f"cannot publish {staged}; the table before is {retired}")
+            raise OSError(f"cannot publish {staged} as {path}")
+        if had:
+            files.delete(make_path(retired), True)
 
     # -- raw --------------------------------------------------------------
 

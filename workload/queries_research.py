@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import average_rank, largest_group
+from tidemark.functions.ranks import average_rank
 from tidemark.operators import factors, ic, model, portfolio
 from tidemark.operators.features import ml_features
 from tidemark.operators.timing import open_overrides, timing_contributions
@@ -90,9 +90,8 @@ SELECT factor, date, instrument,
 FROM v_fac""")
 def cross_rank(t: Tables) -> DataFrame:
     rows = factors.factor_table(t.stored_panel)
-    widest = largest_group(t.stored_panel, ["date"])
-    up = average_rank(rows, ["factor", "date"], "value", "rank_up", section_rows=widest)
-    return average_rank(up, ["factor", "date"], "value", "rank_down", descending=True, section_rows=widest).drop("value")
+    up = average_rank(rows, ["factor", "date"], "value", "rank_up")
+    return average_rank(up, ["factor", "date"], "value", "rank_down", descending=True).drop("value")
 
 
 @query("cross_rank_wide", """
@@ -100,14 +99,43 @@ SELECT factor, date, instrument,
   CASE WHEN value IS NOT NULL THEN round(rank() OVER (PARTITION BY factor, date ORDER BY value)
     + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0, 6) + 0.0 END AS rank_up FROM v_fac""")
 def cross_rank_wide(t: Tables) -> DataFrame:
-    """The same rank by value buckets, as for cross-sections that do not fit a task."""
     return average_rank(factors.factor_table(t.stored_panel), ["factor", "date"], "value", "rank_up").drop("value")
 
 
 @query("rank_ic_wide", f"SELECT {IC_COLUMNS} FROM fv_ic")
 def rank_ic_wide(t: Tables) -> DataFrame:
-    """Rank IC on value cells, as for cross-sections that do not fit a task."""
-    return ic.daily_rank_ic(research(t).factors)
+    return ic.daily_rank_ic(research(t, reuse=False).factors)
+
+
+HARD = """SELECT 'f' AS factor, date, instrument,
+  CASE WHEN l % 11 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l % 13 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN l % 17 = 0 THEN CAST('-Infinity' AS DOUBLE)
+       WHEN l % 19 = 0 THEN NULL WHEN l % 3 = 0 THEN 0.0 ELSE 100 + l / 10000000.0 END AS value,
+  9007199254740992 + l % 1000 AS whole, CAST(volume AS DOUBLE) AS fwd
+FROM (SELECT *, CAST(volume / 1000 AS BIGINT) + CAST(right(instrument, 3) AS BIGINT) AS l FROM v_panel)"""
+CLEAN = f"(SELECT *, CASE WHEN value = CAST('NaN' AS DOUBLE) THEN NULL ELSE value END AS v FROM ({HARD}))"
+
+
+@query("cross_rank_hard", f"""
+SELECT date, instrument,
+  CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY date, v) - 1) / 2.0 END AS rank_value,
+  rank() OVER (PARTITION BY date ORDER BY whole DESC) + (count(*) OVER (PARTITION BY date, whole) - 1) / 2.0 AS rank_whole
+FROM {CLEAN}""")
+def cross_rank_hard(t: Tables) -> DataFrame:
+    """Ranks with missing and infinite values, a third of the rows tied, values close together and longs above 2^53."""
+    t.stored_panel.createOrReplaceTempView("v_panel")
+    rows = t.spark.sql(HARD)
+    up = average_rank(rows, ["date"], "value", "rank_value")
+    return average_rank(up, ["date"], "whole", "rank_whole", descending=True).select("date", "instrument", "rank_value", "rank_whole")
+
+
+@query("rank_ic_hard", f"""
+SELECT date, count(*) AS n, round(covar_pop(rv, rf) / sqrt(var_pop(rv) * var_pop(rf)), 6) + 0.0 AS rank_ic
+FROM (SELECT date, rank() OVER (PARTITION BY date ORDER BY v) + (count(*) OVER (PARTITION BY date, v) - 1) / 2.0 AS rv,
+             rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0 AS rf
+      FROM {CLEAN} WHERE v IS NOT NULL AND fwd IS NOT NULL) GROUP BY date HAVING count(*) >= 5 AND var_pop(rv) > 0 AND var_pop(rf) > 0""")
+def rank_ic_hard(t: Tables) -> DataFrame:
+    t.stored_panel.createOrReplaceTempView("v_panel")
+    return ic.daily_rank_ic(t.spark.sql(HARD)).drop("factor")
 
 
 @query("rank_ic_daily", f"SELECT {IC_COLUMNS} FROM fv_ic")
@@ -224,7 +252,8 @@ METRICS = ", ".join(d(c) for c in ("total_return", "annual_return", "volatility"
 
 def _metrics_sql(p: str) -> str:
     return f"""
-SELECT m.factor, coalesce(x.direction, 'mixed') AS direction, {METRICS}, n_days, t.trade_count,
+SELECT m.factor, coalesce(x.direction, (SELECT CASE WHEN count(DISTINCT direction) = 1 THEN min(direction) ELSE 'mixed' END FROM {p}v_dir)) AS direction,
+       {METRICS}, n_days, t.trade_count,
        round(coalesce(h.t, (SELECT avg(t) FROM (SELECT avg(turnover) AS t FROM {p}v_hold GROUP BY factor))), 6) + 0.0 AS avg_turnover
 FROM ({metrics(p + 'v_all', 'factor')}) m
 JOIN (SELECT factor, CAST(sum(trades) AS BIGINT) AS trade_count FROM {p}v_all GROUP BY 1) t USING (factor)

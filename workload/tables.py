@@ -18,9 +18,6 @@ from tidemark.operators.listing import sample_history
 from tidemark.session import store_intermediate
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
-
 def r6(value: Column | str) -> Column:
     column = F.col(value) if isinstance(value, str) else value
     return F.round(column, 6) + F.lit(0.0)
@@ -208,11 +205,8 @@ class Tables:
 
     @cached_property
     def stored_panel(self) -> DataFrame:
-        """The panel as a stored table: research runs on an exported panel, written once per session."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _STORED:
-            _STORED[key] = store_intermediate(self.panel, "panel")
-        return _STORED[key]
+        """The panel as a stored table: research runs on an exported panel. Every query builds its own."""
+        return store_intermediate(self.panel, "panel")
 
     @cached_property
     def index(self) -> DataFrame:
