@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import broadcast_if_bounded
+
 # Clip range of a single dividend factor.
 FACTOR_FLOOR, FACTOR_CAP = 0.05, 1.0
 
@@ -108,7 +110,7 @@ def build_panel(bars: DataFrame, events: DataFrame | None = None, max_symbols: i
     if max_symbols is not None:
         # A bounded list: TakeOrdered keeps max_symbols rows per task.
         first = bars.select("symbol").distinct().orderBy("symbol").limit(max_symbols)
-        bars = bars.join(F.broadcast(first), "symbol", "left_semi")
+        bars = bars.join(broadcast_if_bounded(first, max_symbols), "symbol", "left_semi")
     rows = bars.withColumn("instrument", F.concat("market", "symbol"))
     rows = rows.withColumn("factor", F.lit(1.0)) if events is None else with_dividend_factor(rows, events)
     return rows.select(

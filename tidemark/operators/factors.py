@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import missing_as_null
@@ -130,6 +131,31 @@ def normalize_factor_output(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def load_factor_folder(spark: SparkSession, folder: str, names: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(factors, rejected) from a folder with one subfolder of Parquet files per factor.
+
+    factors: (factor, date, instrument, value), a factor named like its subfolder; ``names``
+    keeps those factors only and raises for one that is not there. rejected: (factor, reason) of
+    subfolders without the key columns or a value, and of factors with two rows for a key.
+    The listing of subfolders goes through the driver: a handful of names.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = sorted(f.getPath().getName() for f in listed if f.isDirectory())
+    rows = spark.createDataFrame([], "factor string, date date, instrument string, value double")
+    broken = []
+    for name in found:
+        try:
+            rows = rows.unionByName(normalize_factor_output(spark.read.parquet(f"{folder}/{name}"), name))
+        except (ValueError, AnalysisException) as error:
+            broken.append((name, "no files" if isinstance(error, AnalysisException) else str(error)))
+    twice = duplicate_keys(rows, ["factor", "date", "instrument"]).select("factor").distinct()
+    rejected = spark.createDataFrame(broken, "factor string, reason string").unionByName(
+        twice.withColumn("reason", F.lit("two rows for a date and instrument")))
+    factors = reject_ambiguous(rows)
+    return (factors if names is None else select_factors(factors, names)), rejected
+
+
 def reject_ambiguous(factors: DataFrame) -> DataFrame:
     """Drop every factor that has two rows for one (date, instrument)."""
     bad = duplicate_keys(factors, ["factor", "date", "instrument"]).select("factor").distinct()

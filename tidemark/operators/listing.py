@@ -144,9 +144,9 @@ def require_every_month(sample: DataFrame) -> DataFrame:
 
 
 def sample_history(quotes: DataFrame, sample: DataFrame) -> DataFrame:
-    """Seen log (symbol, name, seen_date): the rows of the sampled days. One date per month → broadcast."""
+    """Seen log (symbol, name, seen_date): the rows of the sampled days."""
     dates = sample.select(F.col("sample_date").alias("date")).where(F.col("date").isNotNull())
-    return quotes.join(F.broadcast(dates), "date", "left_semi").select(
+    return quotes.join(dates, "date", "left_semi").select(
         "symbol", "name", F.col("date").alias("seen_date")
     ).distinct()
 

@@ -307,8 +307,11 @@ def equal_weight_benchmark(panel: DataFrame) -> DataFrame:
 
 
 def index_returns(levels: DataFrame) -> DataFrame:
-    """Index levels (date, close) → (date, ret); levels at or below zero are dropped. One row per day."""
-    rows = levels.where(F.col("close") > 0)
+    """Index levels (date, close) → (date, ret); levels at or below zero are dropped, of two on a day the higher counts.
+
+    The one window over all rows runs over a row per calendar date.
+    """
+    rows = levels.where(F.col("close") > 0).groupBy("date").agg(F.max("close").alias("close"))
     by_date = Window.orderBy("date")
     moved = rows.select("date", (ratio(F.col("close"), F.lag("close").over(by_date)) - 1).alias("ret"))
     return moved.where(F.col("ret").isNotNull())
@@ -317,7 +320,7 @@ def index_returns(levels: DataFrame) -> DataFrame:
 def resolve_benchmark(spans: DataFrame, index: DataFrame, equal_weight: DataFrame,
                       min_rows: int = 30, min_share: float = 0.5) -> DataFrame:
     """(span, date, di, ret, label): the index where it covers the calendar well enough, else equal weight."""
-    aligned = spans.join(F.broadcast(index), "date").select("span", "date", "di", "ret")
+    aligned = spans.join(index, "date").select("span", "date", "di", "ret")
     covered, days = aligned.agg(F.count(F.lit(1))).scalar(), spans.agg(F.count(F.lit(1))).scalar()
     use_index = (covered >= min_rows) & (covered >= days * F.lit(min_share))
     by_index = aligned.withColumn("label", F.lit("index")).where(use_index)
@@ -330,6 +333,27 @@ def index_cache_update(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return cache.join(fresh, "date", "left_anti").unionByName(fresh)
 
 
+def index_levels(cache: DataFrame, sources: list[tuple[str, DataFrame]], start, end) -> tuple[DataFrame, DataFrame]:
+    """(levels to cache, daily returns) of an index between two dates; both have a ``source`` column.
+
+    A cache (date, close, source) that reaches from ``start`` to ``end`` is used as it is.
+    Otherwise the first of ``sources``, (label, levels), that has a level above zero is merged over
+    it and gives its label to all rows: a total-return index before the price index, say. Without
+    any, the cache alone is sliced.
+    """
+    first, last = (F.lit(x).cast("date") for x in (start, end))
+    covered = cache.agg(((F.min("date") <= first) & (F.max("date") >= last)).alias("covered")).first()["covered"]
+    merged = cache.select("date", "close", "source")
+    for label, levels in [] if covered else sources:
+        fresh = levels.where(F.col("close") > 0).select("date", "close")
+        if not fresh.isEmpty():
+            merged = index_cache_update(merged.select("date", "close"), fresh).withColumn("source", F.lit(label))
+            break
+    inside = merged.where(F.col("date").between(first, last))
+    label = merged.agg(F.max_by("source", "date")).scalar()
+    return merged, index_returns(inside.select("date", "close")).withColumn("source", label)
+
+
 def cost_erosion(daily: DataFrame, keys: list[str]) -> DataFrame:
     """Net and cost-free annual return of the same signals and their difference in points."""
     net = portfolio_metrics(daily, keys, "net").select(*keys, F.col("annual_return").alias("net_annual"))

@@ -63,6 +63,28 @@ def _status(bad: Column, warn_only: Column | None = None) -> Column:
     return F.when(bad, failed).otherwise(F.lit("pass"))
 
 
+def panel_strays(panel: DataFrame, store: DataFrame, instruments: int = 5, dates: int = 3) -> DataFrame:
+    """(check, sample, measure): the first instruments and dates that only the panel has, and the largest differences.
+
+    The samples stand next to the counts of :func:`verify_panel`.
+    """
+    rows = panel.join(store.groupBy("instrument", "date").agg(
+        F.max("close").alias("s_close"), F.max("volume_shares").cast("double").alias("s_volume")), ["instrument", "date"])
+    largest = rows.agg(F.max(F.abs(F.col("close") - F.col("s_close"))).alias("close_equal"),
+                       F.max(F.abs(F.col("volume") - F.col("s_volume"))).alias("volume_equal"))
+    differences = largest.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("check"), F.lit(None).cast("string").alias("sample"), F.col(c).alias("measure"))
+        for c in ("close_equal", "volume_equal")])))
+
+    def only_here(column: str, check: str, n: int) -> DataFrame:
+        extra = panel.select(column).distinct().join(store.select(column).distinct(), column, "left_anti")
+        first = extra.orderBy(column).limit(n)
+        return first.select(F.lit(check).alias("check"), F.col(column).cast("string").alias("sample"), F.lit(None).cast("double").alias("measure"))
+
+    return differences.unionByName(only_here("instrument", "instruments_in_store", instruments)).unionByName(
+        only_here("date", "dates_in_store", dates))
+
+
 def verify_panel(panel: DataFrame, store: DataFrame) -> DataFrame:
     """Scorecard (check, status, measure) of an exported panel against the stored bars.
 

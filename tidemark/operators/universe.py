@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import broadcast_if_bounded
 from tidemark.functions.ranks import best_band
 from tidemark.operators.calendar import calendar, with_calendar_index
 
@@ -49,7 +50,7 @@ class UniverseSpec:
         if self.kind == "all":
             return panel
         if self.kind == "code_first_n":
-            return panel.join(F.broadcast(code_first_n(panel, self.n or 0)), "instrument", "left_semi")
+            return panel.join(broadcast_if_bounded(code_first_n(panel, self.n or 0), self.n or 0), "instrument", "left_semi")
         if self.kind == "pit_liquidity":
             raise NotImplementedError("pit_liquidity is a per-date mask, not a static slice; use mask()")
         raise ValueError(f"unknown universe kind: {self.kind}")

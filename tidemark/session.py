@@ -37,8 +37,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def intermediate_folder(spark: SparkSession) -> str:
-    """The application's own part of the checkpoint folder."""
-    return f"{checkpoint_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    """The application's own part of the checkpoint folder; it is removed at the end."""
+    folder = f"{checkpoint_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    _FOLDERS[folder] = spark
+    return folder
 
 
 def store_intermediate(df: DataFrame, label: str) -> DataFrame:
@@ -49,10 +51,8 @@ def store_intermediate(df: DataFrame, label: str) -> DataFrame:
     The application's folder goes when the Python process ends, or with ``drop_intermediates``.
     """
     spark = df.sparkSession
-    folder = intermediate_folder(spark)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{intermediate_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _FOLDERS[folder] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 

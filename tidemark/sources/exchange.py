@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import best_rows
+from tidemark.functions.ranks import best_rows, broadcast_if_bounded
 from tidemark.functions.values import plain_number, roc_slash_date, to_shares
 from tidemark.schemas import conform
 
@@ -156,4 +156,4 @@ def recent_days(quotes: DataFrame, sample_days: int = 5, min_rows: int = 100) ->
     """Quotes of the last ``sample_days`` days that have more than ``min_rows`` rows."""
     days = quotes.groupBy("source_date").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
     newest = days.orderBy(F.col("source_date").desc()).limit(sample_days).select("source_date")
-    return quotes.join(F.broadcast(newest), "source_date", "left_semi")
+    return quotes.join(broadcast_if_bounded(newest, sample_days), "source_date", "left_semi")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import adjust, changes, features, quality, reconcile
 from tidemark.operators.export import dense_vectors
 from tidemark.sources import exchange, lists, vendor
-from tidemark.sources.store import latest_rows, scan
+from tidemark.session import intermediate_folder
+from tidemark.sources.store import PanelStore, latest_rows, scan
 from workload.registry import query
 from workload.tables import Tables
 
@@ -49,6 +52,30 @@ def reference_upsert(t: Tables) -> DataFrame:
     return latest_rows([t.instruments, update], ["symbol"]).drop("list_date")
 
 
+@query("store_upsert_roundtrip", f"""
+SELECT symbol, date, coalesce(s.market, b.market) AS market,
+       round(coalesce(s.close, b.close), 6) + 0.0 AS close, coalesce(s.volume_shares, b.volume_shares) AS volume_shares
+FROM v_bars b FULL OUTER JOIN v_second s USING (symbol, date)""")
+def store_upsert_roundtrip(t: Tables) -> DataFrame:
+    """Two upserts through the store's files, then a read."""
+    store = PanelStore(t.spark, f"{intermediate_folder(t.spark)}/store-{uuid.uuid4().hex}")
+    store.write("daily", t.daily)
+    store.write("daily", t.second_source.select(*t.daily.columns))
+    return store.read("daily").select("symbol", "date", "market", "close", "volume_shares")
+
+
+@query("store_reference_roundtrip", """
+SELECT i.symbol, i.name, i.market, i.industry, CASE WHEN d.symbol IS NULL THEN i.status ELSE 'delisted' END AS status,
+       d.delist_date, i.snapshot_date
+FROM v_instruments i LEFT JOIN v_delist d USING (symbol)""")
+def store_reference_roundtrip(t: Tables) -> DataFrame:
+    store = PanelStore(t.spark, f"{intermediate_folder(t.spark)}/store-{uuid.uuid4().hex}")
+    store.write_reference("instrument", t.instruments, ["symbol"])
+    update = t.instruments.drop("delist_date").join(t.delistings.select("symbol", "delist_date"), "symbol")
+    store.write_reference("instrument", update.withColumn("status", F.lit("delisted")).select(*t.instruments.columns), ["symbol"])
+    return store.read("instrument").drop("list_date")
+
+
 @query("sql_group_latest", f"""
 SELECT market, symbol, max(date) AS last_date, {d('arg_max(close, date)', 'last_close')}, count(*) AS n
 FROM v_bars GROUP BY market, symbol""")
@@ -459,6 +486,18 @@ def institutional_mismatch(t: Tables) -> DataFrame:
     return reconcile.institutional_mismatches(t.institutional, t.institutional_second)
 
 
+@query("panel_strays", f"""
+WITH p AS (SELECT * FROM v_panel), s AS (SELECT * FROM v_second WHERE right(symbol, 1) <> '3' AND month(date) <> 7),
+j AS (SELECT max(abs(p.close - s.close)) AS c, CAST(max(abs(p.volume - s.volume_shares)) AS DOUBLE) AS v FROM p JOIN s USING (instrument, date))
+SELECT 'close_equal' AS check, CAST(NULL AS VARCHAR) AS sample, {d('c', 'measure')} FROM j
+UNION ALL SELECT 'volume_equal', NULL, {d('v', 'measure')} FROM j
+UNION ALL (SELECT 'instruments_in_store', instrument, NULL FROM (SELECT DISTINCT instrument FROM p) WHERE instrument NOT IN (SELECT instrument FROM s) ORDER BY 2 LIMIT 5)
+UNION ALL (SELECT 'dates_in_store', CAST(date AS VARCHAR), NULL FROM (SELECT DISTINCT date FROM p) WHERE date NOT IN (SELECT date FROM s) ORDER BY 2 LIMIT 3)""")
+def panel_strays(t: Tables) -> DataFrame:
+    store = t.second_source.where("right(symbol, 1) <> '3' AND month(date) <> 7")
+    return reconcile.panel_strays(t.panel, store)
+
+
 @query("verify_panel", """
 WITH p AS (SELECT p.date, p.instrument, p.close, p.volume, CASE WHEN b.trade_count = 1 AND p.factor < 0.9 THEN 1.0 ELSE p.factor END AS factor
            FROM v_panel p JOIN v_bars b USING (instrument, date)),

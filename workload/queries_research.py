@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import average_rank
 from tidemark.operators import factors, ic, model, portfolio
-from tidemark.operators.features import ml_features
+from tidemark.operators.features import add_label, ml_features
 from tidemark.operators.timing import open_overrides, timing_contributions
 from tidemark.operators.universe import UniverseSpec
 from tidemark.plans.research import Research
+from tidemark.session import intermediate_folder
 from workload.oracle_research import SPLIT, metrics
 from workload.queries_bars import W, _full, d
 from workload.queries_universe import PIT
@@ -290,6 +293,38 @@ def equal_weight_benchmark(t: Tables) -> DataFrame:
     return research(t).equal_weight.select("date", "ret")
 
 
+@query("index_cache", f"""
+WITH merged AS (SELECT date, close FROM v_index WHERE close > 0
+  UNION ALL SELECT date, 1.0 FROM (SELECT DISTINCT date FROM v_bars) WHERE date < DATE '1997-01-01' AND date >= DATE '1996-06-01'),
+inside AS (SELECT * FROM merged WHERE date BETWEEN DATE '1996-11-01' AND DATE '1998-03-31')
+SELECT date, {d('close / lag_ - 1', 'ret')}, 'price' AS source FROM (SELECT *, lag(close) OVER (ORDER BY date) AS lag_ FROM inside) WHERE lag_ IS NOT NULL""")
+def index_cache(t: Tables) -> DataFrame:
+    """A cache that ends too early, a preferred source without levels, and a fallback."""
+    cache = t.bars.where("date < DATE '1997-01-01' AND date >= DATE '1996-06-01'").select("date").distinct().select(
+        "date", F.lit(1.0).alias("close"), F.lit("old").alias("source"))
+    sources = [("total_return", t.index.select("date", F.lit(0.0).alias("close"))), ("price", t.index)]
+    return portfolio.index_levels(cache, sources, "1996-11-01", "1998-03-31")[1]
+
+
+@query("factor_folder", f"""
+SELECT factor, count(*) AS n_rows, {d('avg(value)', 'mean')}, CAST(NULL AS VARCHAR) AS reason FROM v_fac GROUP BY factor
+UNION ALL SELECT 'keyless', NULL, NULL, 'keyless: needs a date and an instrument column'
+UNION ALL SELECT 'twice', NULL, NULL, 'two rows for a date and instrument'""")
+def factor_folder(t: Tables) -> DataFrame:
+    """Factor outputs written to a folder, two of them unusable, and read back."""
+    folder = f"{intermediate_folder(t.spark)}/factors-{uuid.uuid4().hex}"
+    rows = factors.factor_table(t.stored_panel)
+    for name in factors.DEFAULT_FACTORS:
+        rows.where(F.col("factor") == name).select("instrument", F.col("date").alias("datetime"), F.col("value").alias(name)).write.parquet(f"{folder}/{name}")
+    one = t.panel.select("date", "instrument", "close")
+    one.union(one).write.parquet(f"{folder}/twice")
+    one.select("date", "close").write.parquet(f"{folder}/keyless")
+    loaded, rejected = factors.load_factor_folder(t.spark, folder)
+    found = loaded.groupBy("factor").agg(F.count("*").alias("n_rows"), F.avg("value").alias("mean"))
+    return found.withColumn("reason", F.lit(None).cast("string")).unionByName(
+        rejected.select("factor", F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("double").alias("mean"), "reason"))
+
+
 @query("benchmark_align", f"SELECT date, {d('ret')}, 'index' AS label FROM fv_bench")
 def benchmark_align(t: Tables) -> DataFrame:
     return research(t).benchmark(index_of(t)).select("date", "ret", "label")
@@ -412,6 +447,31 @@ def oos_ledger(t: Tables) -> DataFrame:
 
 # -- model -----------------------------------------------------------------------
 
+@query("model_time_split", """
+SELECT part, count(*) AS n, min(date) AS "start", max(date) AS "end" FROM (
+  SELECT date, CASE WHEN di <= floor((SELECT count(DISTINCT date) FROM v_bars) * 0.8) THEN 'train' ELSE 'test' END AS part
+  FROM v_bars JOIN (SELECT date, row_number() OVER (ORDER BY date) AS di FROM (SELECT DISTINCT date FROM v_bars)) USING (date)) GROUP BY part""")
+def model_time_split(t: Tables) -> DataFrame:
+    train, test = model.split_by_time(t.bars)
+    parts = train.select("date", F.lit("train").alias("part")).unionByName(test.select("date", F.lit("test").alias("part")))
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("date").alias("start"), F.max("date").alias("end"))
+
+
+@query("model_linear_ic", f"""
+SELECT date, n, {d('covar_pop(rv, rf) / sqrt(var_pop(rv) * var_pop(rf))', 'rank_ic')} FROM (
+  SELECT date, count(*) OVER (PARTITION BY date) AS n,
+         rank() OVER (PARTITION BY date ORDER BY value) + (count(*) OVER (PARTITION BY date, value) - 1) / 2.0 AS rv,
+         rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0 AS rf
+  FROM (SELECT date, CAST(volume_shares AS DOUBLE) + 1000 * trade_count AS value, lead(close) OVER (PARTITION BY symbol ORDER BY date) / close - 1 AS fwd FROM v_bars)
+  WHERE fwd IS NOT NULL)
+GROUP BY date, n HAVING n >= 2 AND var_pop(rv) > 0 AND var_pop(rf) > 0""")
+def model_linear_ic(t: Tables) -> DataFrame:
+    """The judgement of a model, on a fixed linear score in place of trees."""
+    scored = add_label(t.bars).select("symbol", "date", (F.col("volume_shares").cast("double") + 1000 * F.col("trade_count")).alias("score"),
+                                      F.col("label_ret_1f").alias("label"))
+    return model.model_rank_ic(scored).drop("factor")
+
+
 @query("model_rank_ic")
 def model_rank_ic(t: Tables) -> DataFrame:
     """Trees fitted on the first 80 % of the dates, scored on the rest."""
