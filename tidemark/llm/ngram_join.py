@@ -13,7 +13,7 @@ from tidemark.llm.wordhash import U, chain, mix, words_of
 SMALL_LIST = 64  # documents of an n-gram that are paired one by one
 BLOCK = 256  # documents of one side of a block of the product
 LEADERS = 8  # documents of a long list that the whole list is held against first
-FREQUENT = 50_000  # n-grams put last in the order; only speed hangs on them
+FREQUENT = 200_000  # n-grams put last in the order; only speed hangs on them
 BROADCAST_IDS = 500_000
 
 
@@ -55,16 +55,17 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         "rid long, doc_id long, n long, f1 long, f2 long, head array<long>, bits binary"), "sets")
     nodes = stored(facts.where("n > 0").groupBy("f1", "f2", "n").agg(
         F.min("rid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")), "nodes")
+    repeated = not facts.groupBy("rid").agg(F.count("*").alias("times")).where("times > 1").isEmpty()
+    once = (lambda df: df.dropDuplicates(["rid"])) if repeated else (lambda df: df)  # rows that agree in doc_id and text
     # one row for each distinct set and n-gram of its head, without n-grams that one set alone has
-    heads = (facts.select("rid", "n", "head").join(nodes.select(F.col("node").alias("rid")), "rid").dropDuplicates(["rid"])
-             .select(F.col("rid").alias("node"), F.col("n").cast("int").alias("n"), F.explode("head").alias("token")))
-    often = heads.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    heads = (once(facts.select("rid", "n", "head").join(nodes.select(F.col("node").alias("rid")), "rid"))
+             .select(F.col("rid").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("place", "token")))
+    often = stored(heads.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1"), "often")
     lists = stored(heads.join(often, "token"), "lists")
-    bits = stored(facts.select("rid", "bits").join(lists.select(F.col("node").alias("rid")).distinct(), "rid")
-                  .dropDuplicates(["rid"]).withColumnRenamed("rid", "node"), "bits")
+    bits = stored(once(facts.select("rid", "bits").join(lists.select(F.col("node").alias("rid")).distinct(), "rid"))
+                  .withColumnRenamed("rid", "node"), "bits")
 
-    pairs = _small_pairs(lists, percent).union(_leader_pairs(lists, percent)).groupBy("a", "b").agg(
-        F.min("na").alias("na"), F.min("nb").alias("nb"), F.count("*").alias("common"))
+    pairs = stored(_able_pairs(lists, percent), "able")
     left, right = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
     near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "a_bits", "b_bits")
                   .mapInArrow(_bounded_pairs(percent), "a long, b long, apart int"), "near")
@@ -72,13 +73,13 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         near.select(F.col("b").alias("v"), F.struct("apart", F.col("a").alias("b")).alias("to")))
     best = ends.groupBy("v").agg(F.min("to").alias("to")).select(
         F.least("v", "to.b").alias("a"), F.greatest("v", "to.b").alias("b")).distinct()
-    first = _verified(rows, best, width, percent)
+    first = _verified(rows, once, best, width, percent)
     groups = components(first)
 
     open_pairs = _between(near.select("a", "b"), groups)
     open_cells = _cells(lists, bits, groups).groupBy("token", "i", "j").applyInArrow(
         _bounded_block(percent), "a long, b long").distinct()
-    second = _verified(rows, _between(open_pairs.union(open_cells).distinct(), groups), width, percent)
+    second = _verified(rows, once, _between(open_pairs.union(open_cells).distinct(), groups), width, percent)
     groups = components(first.union(second))
 
     labelled = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn(
@@ -128,19 +129,26 @@ def _shingles(words: np.ndarray, borders: np.ndarray, width: int) -> list[np.nda
     return out
 
 
+def _slices(batches, rows: int):
+    """Batches of few rows: what a task holds at a time stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _frequent(rows: DataFrame, width: int) -> np.ndarray:
     """The n-grams that most documents of a batch have in common, FREQUENT of them at most.
 
-    Only n-grams met three times in a batch are counted, and of these the hashes that can stand
-    early in the order: it is an order, right whatever it is, and no candidate hangs on it.
+    Only n-grams met twice in 2048 rows are counted, and of a row the half with the smaller hashes,
+    which can stand early in the order: it is an order, right whatever it is, and no link hangs on it.
     """
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 2048):
             sets = _shingles(*words_of(batch.column(0), lower=True), width)
             if sets:
-                early = np.concatenate(sets)
-                token, count = np.unique(early[early < U(0x7FFF_FFFF_FFFF_FFFF)], return_counts=True)
-                many = count > 2
+                early = np.concatenate([s[: len(s) // 2] for s in sets])  # ascending: the half that comes first
+                token, count = np.unique(early, return_counts=True)
+                many = count > 1
                 yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many])], ["token", "times"])
 
     counted = rows.select("text").mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
@@ -154,15 +162,15 @@ def _needed(na, nb, percent: int):
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    """Parity of the number of elements at each of 8 n or more places (a power of two)."""
-    size = 1 << max(8, int(len(values) * 8 - 1).bit_length())
+    """Parity of the number of elements at each of 4 n or more places (a power of two)."""
+    size = 1 << max(8, int(len(values) * 4 - 1).bit_length())
     odd = np.bincount((values >> U(5)).astype(np.int64) & (min(size, 1 << 17) - 1), minlength=min(size, 1 << 17)) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _incidence(width: int, percent: int, frequent: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 512):
             sets = _shingles(*words_of(batch.column(2), lower=True), width)
             n, f1, f2, heads, maps = [], [], [], [], []
             for values in sets:
@@ -190,11 +198,29 @@ def _incidence(width: int, percent: int, frequent: np.ndarray):
     return run
 
 
+def _able_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): pairs that share an n-gram of their heads and whose sizes leave room for the overlap they need.
+
+    Overlaps are accumulated over the short lists. In the common order, whatever else two sets share is
+    behind the last n-gram counted, or in a long list: that bounds the overlap. Pairs with
+    a leader of a long list are not bounded.
+    """
+    pairs = _small_pairs(lists, percent).union(_leader_pairs(lists, percent)).groupBy("a", "b").agg(
+        F.min("na").alias("na"), F.min("nb").alias("nb"), F.count("pa").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"),
+        F.count_if(F.col("pa").isNull()).alias("led"))
+    long = stored(lists.where(F.col("docs") > SMALL_LIST).groupBy("node").agg(F.count("*").alias("more")), "long")
+    for end in "ab":
+        pairs = pairs.join(long.select(F.col("node").alias(end), F.col("more").alias(f"m{end}")), end, "left")
+    room = F.col("common") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) + F.least(
+        F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    return pairs.where((F.col("led") > 0) | (room >= needed)).select("a", "b", "na", "nb")
+
+
 def _small_pairs(lists: DataFrame, percent: int) -> DataFrame:
     short = lists.where(F.col("docs") <= SMALL_LIST)
-    x = short.select("token", F.col("node").alias("a"), F.col("n").alias("na"))
-    y = short.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-    return x.join(y, "token").where(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb")
+    x, y = (short.select("token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("place").alias(f"p{e}")) for e in "ab")
+    return x.join(y, "token").where(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "pa", "pb")
 
 
 def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +231,8 @@ def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     met = long.join(lead, "token").where(f"node <> x and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
     return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"),
                       F.when(F.col("node") < F.col("x"), F.col("n")).otherwise(F.col("nx")).alias("na"),
-                      F.when(F.col("node") < F.col("x"), F.col("nx")).otherwise(F.col("n")).alias("nb"))
+                      F.when(F.col("node") < F.col("x"), F.col("nx")).otherwise(F.col("n")).alias("nb"),
+                      F.lit(None).cast("int").alias("pa"), F.lit(None).cast("int").alias("pb"))
 
 
 def _folded(raw: bytes, size: int) -> np.ndarray:
@@ -291,33 +318,23 @@ def _bounded_block(percent: int):
     return run
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+def _verified(rows: DataFrame, once, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link, by their whole sets; texts travel rather than sets, which are larger and don't compress."""
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:  # at most 4 MB of ids; beyond that the join is shuffled
-        wanted = F.broadcast(wanted)
-    sets = stored(rows.join(wanted, "rid").select("rid", "text").mapInArrow(_whole_sets(width), "rid long, items binary")
-                  .dropDuplicates(["rid"]), "whole")
-    x, y = (sets.select(F.col("rid").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "a_items", "b_items").mapInArrow(
-        _linked(percent), "a long, b long"), "links")
-
-
-def _whole_sets(width: int):
-    def run(batches):
-        for batch in batches:
-            sets = _shingles(*words_of(batch.column(1), lower=True), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "items"])
-    return run
+    few = F.broadcast if pairs.count() <= BROADCAST_IDS else (lambda df: df)  # 16 bytes a pair; beyond, joins are shuffled
+    texts = stored(once(rows.join(few(wanted), "rid").select("rid", "text")), "texts")
+    x, y = (texts.select(F.col("rid").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
+    return stored(x.join(few(pairs), "a").join(y, "b").select("a", "b", "a_text", "b_text").mapInArrow(
+        _linked(width, percent), "a long, b long"), "links")
 
 
-def _linked(percent: int):
+def _linked(width: int, percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 128):
+            sets = [_shingles(*words_of(batch.column(k), lower=True), width) for k in (2, 3)]
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            for k, (x, y) in enumerate(zip(*sets)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(k)
