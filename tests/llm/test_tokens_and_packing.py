@@ -74,7 +74,7 @@ def test_packing(spark):
     for i, t in texts:
         ids = library.encode(t or "", add_special_tokens=False).ids + [0]
         want += [(i, k, s, tuple(ids[s:s + 256])) for k, s in enumerate(range(0, len(ids), 256))]
-    got = [(r.doc_id, r.piece, r.start, tuple(np.frombuffer(r.ids, f"<u{r.id_bytes}").tolist())) for r in rows]
+    got = [(r.doc_id, r.piece, r.start, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows]
     assert sorted(got, key=str) == sorted(want, key=str) and all(r.length == len(g[3]) for r, g in zip(rows, got))
     sequences = {}
     for r in rows:

@@ -24,8 +24,8 @@ VECTOR_JOIN = """
 WITH RECURSIVE valid AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id
     AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
@@ -44,7 +44,7 @@ WITH RECURSIVE texts AS (
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE
-    WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
   FROM texts),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),

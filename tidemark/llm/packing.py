@@ -22,8 +22,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     ``docs`` has doc_id and text. A document is its ids (whole text, no special tokens) and
     ``end_id``; null and empty texts are that id alone. Documents of more than ``capacity`` ids are
     cut, into pieces of ``capacity`` and a last shorter one; no other is. Returns doc_id, piece, start
-    (ids of the document before the piece), length, ids (binary, little-endian, ``id_bytes``
-    each), id_bytes (2 if all ids of the tokenizer fit, else 4), sequence_id, offset: within a sequence the offsets follow each other from 0 without a
+    (ids of the document before the piece), length, ids (binary, little-endian
+    unsigned 32-bit), sequence_id, offset: within a sequence the offsets follow each other from 0 without a
     gap. Repeated rows are packed as often as they stand there, null doc_ids like others; an
     empty table gives an empty table. Other columns are not looked at.
 
@@ -35,7 +35,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     ship(docs.sparkSession)
     pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _cut_pieces(tokenizer, capacity, end_id),
-        "doc_id long, piece int, start long, length long, ids binary, id_bytes int, task int, place long"), "pieces")
+        "doc_id long, piece int, start long, length long, ids binary, task int, place long"), "pieces")
     counts = stored(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     totals = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(plan_sequences(totals, capacity))
@@ -45,17 +45,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     if before.count() <= BROADCAST_ROWS:
         before = F.broadcast(before)
     ranked = pieces.join(before, ["length", "task"]).select(
-        "doc_id", "piece", "start", "length", "ids", "id_bytes", (F.col("before") + F.col("place")).alias("rank"))
+        "doc_id", "piece", "start", "length", "ids", (F.col("before") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(
-        _place(slots), "doc_id long, piece int, start long, length long, ids binary, id_bytes int, sequence_id long, offset long")
+        _place(slots), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
 
 def _cut_pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches):
         task = TaskContext.get().partitionId()
         own = encoder(tokenizer)
-        width = 2 if own.size <= 1 << 16 and end_id < 1 << 16 else 4
-        kind = np.dtype("<u2" if width == 2 else "<u4")
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
@@ -63,7 +61,7 @@ def _cut_pieces(tokenizer: str, capacity: int, end_id: int):
                 ids, borders = own.encode(texts[i:i + 256])
                 rows, out = [], []
                 for k in range(len(borders) - 1):
-                    body = np.append(ids[borders[k]:borders[k + 1]], np.uint32(end_id)).astype(kind)
+                    body = np.append(ids[borders[k]:borders[k + 1]], np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(body), capacity)):
                         part = body[start:start + capacity]
                         rows.append((i + k, piece, start, len(part), seen[len(part)]))
@@ -72,9 +70,8 @@ def _cut_pieces(tokenizer: str, capacity: int, end_id: int):
                 at, piece, start, length, place = (np.array(c, np.int64) for c in zip(*rows))
                 yield pa.RecordBatch.from_arrays([
                     doc_ids.take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
-                    pa.array(out, pa.binary()), pa.array(np.full(len(at), width, np.int32)),
-                    pa.array(np.full(len(at), task, np.int32)), pa.array(place),
-                ], ["doc_id", "piece", "start", "length", "ids", "id_bytes", "task", "place"])
+                    pa.array(out, pa.binary()), pa.array(np.full(len(at), task, np.int32)), pa.array(place),
+                ], ["doc_id", "piece", "start", "length", "ids", "task", "place"])
     return run
 
 
@@ -165,7 +162,7 @@ def _slots(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray,
 def _place(slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
     def run(batches):
         for batch in batches:
-            length, rank = np.asarray(batch.column(3)), np.asarray(batch.column(6))
+            length, rank = np.asarray(batch.column(3)), np.asarray(batch.column(5))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length).tolist():
                 at = np.flatnonzero(length == x)
@@ -173,5 +170,5 @@ def _place(slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
                 k = np.searchsorted(first, rank[at], "right") - 1
                 sequence[at], offset[at] = base[k] + rank[at] - first[k], place[k]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:6], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:6], "sequence_id", "offset"])
+                [*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
     return run

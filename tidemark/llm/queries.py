@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,21 +71,12 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
-def ids_crc32():
-    """crc32 of stored ids written as little-endian unsigned 32-bit integers."""
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array, width: pa.Array) -> pa.Array:
-        wide = (np.frombuffer(x.as_buffer(), f"<u{w.as_py()}").astype("<u4") for x, w in zip(ids, width))
-        return pa.array([zlib.crc32(x) for x in wide], pa.int64())
-    return crc
-
-
 @query
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
-    return packed.select("doc_id", "piece", "start", "length", ids_crc32()("ids", "id_bytes").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query
