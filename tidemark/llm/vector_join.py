@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.tables import components, ship, stored
 
 CELL = 2000  # vectors a cell should get
-BLOCK = 1000  # vectors on either side of one block of a cell
+BLOCK = 4000  # vectors on either side of one block of a cell
+STRIPE = 512  # rows of a block that are multiplied at a time
 MOST_PIVOTS = 2000  # of all labels; bounds the pivot table, larger cells are split into more blocks
 SLACK = 1e-9
 
@@ -52,7 +53,7 @@ def vector_groups(vectors: DataFrame, least_cosine: float = 0.93) -> DataFrame:
         .withColumn("space", F.concat_ws(":", F.col("label").cast("string"), F.size("v"))), "vectors")
     pivots = _pivots(nodes)
     homes = stored(nodes.select("node", "copies", "space", "v").mapInArrow(
-        _find_home(pivots), "node long, copies long, space string, v array<double>, home int, away double"), "homes")
+        _find_home(pivots), "node long, copies long, space string, v binary, home int, away double"), "homes")
     core = F.col("away") <= radius / 2 - SLACK
     shape = homes.groupBy("space", "home").agg(
         F.max("away").alias("radius"), F.count("*").alias("n"), F.sum(F.when(core, F.col("copies"))).alias("core_copies"),
@@ -60,7 +61,7 @@ def vector_groups(vectors: DataFrame, least_cosine: float = 0.93) -> DataFrame:
     shape = stored(shape, "cells")
     radii = {(r.space, r.home): r.radius for r in shape.select("space", "home", "radius").collect()}  # a row per pivot
     members = stored(homes.mapInArrow(
-        _visits(pivots, radii, radius), "node long, copies long, space string, v array<double>, home boolean, core boolean, cell int"), "members")
+        _visits(pivots, radii, radius), "node long, copies long, space string, v binary, home boolean, core boolean, cell int"), "members")
     blocks = _blocks(members).groupBy("space", "cell", "i", "j").applyInArrow(
         _join_block(least_cosine), "kind int, a long, b long")
     found = stored(blocks, "block-links")
@@ -100,26 +101,43 @@ def _norm(v: np.ndarray) -> np.ndarray:
     return top * np.sqrt(((v / top[:, None]) ** 2).sum(axis=1))
 
 
-def _matrix(column) -> list[np.ndarray]:
-    return [np.asarray(x.values) for x in column]
+def _dense(column) -> np.ndarray:
+    """Vectors of one length, kept as the bytes of their doubles, as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 1))
+    _, offsets, data = column.buffers()
+    borders = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[borders[0]:borders[-1]].view(np.float64).reshape(len(column), -1)
+
+
+def _by_space(spaces: pa.Array):
+    """The rows of each label and length in a batch."""
+    values = np.asarray(spaces.to_pylist(), dtype=object)
+    for space in sorted(set(values.tolist())):
+        yield space, np.flatnonzero(values == space)
 
 
 def _find_home(pivots: dict[str, np.ndarray]):
     """Without pivots of its own, a label has one cell around its first axis."""
     def run(batches):
         for batch in batches:
-            spaces, vectors = batch.column(2).to_pylist(), _matrix(batch.column(3))
-            home, away = np.zeros(len(spaces), np.int32), np.zeros(len(spaces))
-            for space in set(spaces):
-                at = [k for k, s in enumerate(spaces) if s == space]
-                v = np.stack([vectors[k] for k in at])
+            n = batch.num_rows
+            home, away, raw = np.zeros(n, np.int32), np.zeros(n), np.empty(n, dtype=object)
+            for space, at in _by_space(batch.column(2)):
+                own = batch.column(3).take(pa.array(at))
+                v = np.asarray(own.flatten(), dtype=np.float64).reshape(len(at), -1)
                 u = v / _norm(v)[:, None]
                 p = pivots.get(space)
                 if p is None:
                     p = np.eye(1, u.shape[1])
                 far = np.sqrt(np.maximum(2 - 2 * (u @ p.T), 0))
                 home[at], away[at] = far.argmin(axis=1), far.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(away)], [*batch.schema.names, "home", "away"])
+                raw[at] = [x.tobytes() for x in v]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(raw.tolist(), pa.binary()), pa.array(home), pa.array(away)],
+                [*batch.schema.names[:3], "v", "home", "away"])
     return run
 
 
@@ -127,15 +145,14 @@ def _visits(pivots: dict[str, np.ndarray], radii: dict[tuple[str, int], float],
     """A row for the home cell of each vector and one for each cell that it visits."""
     def run(batches):
         for batch in batches:
-            spaces, vectors = batch.column(2).to_pylist(), _matrix(batch.column(3))
+            n = batch.num_rows
             home, away = np.asarray(batch.column(4)), np.asarray(batch.column(5))
-            at_all, cell_all = [np.arange(len(spaces))], [home]
-            for space in set(spaces):
+            at_all, cell_all = [np.arange(n)], [home]
+            for space, at in _by_space(batch.column(2)):
                 p = pivots.get(space)
                 if p is None or len(p) < 2:
                     continue
-                at = np.array([k for k, s in enumerate(spaces) if s == space])
-                v = np.stack([vectors[k] for k in at])
+                v = _dense(batch.column(3).take(pa.array(at)))
                 u = v / _norm(v)[:, None]
                 own, mine = home[at], away[at]
                 far = np.sqrt(np.maximum(2 - 2 * (u @ p.T), 0))
@@ -149,7 +166,7 @@ def _visits(pivots: dict[str, np.ndarray], radii: dict[tuple[str, int], float],
                 cell_all.append(cell.astype(np.int32))
             at, cell = np.concatenate(at_all), np.concatenate(cell_all)
             is_home = np.zeros(len(at), bool)
-            is_home[: len(spaces)] = True
+            is_home[:n] = True
             rows = pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).take(pa.array(at))
             inner = is_home & (away[at] <= r / 2 - SLACK)
             yield pa.RecordBatch.from_arrays(
@@ -177,24 +194,25 @@ def _join_block(least_cosine: float):
     def run(key, table):
         side = np.asarray(table["side"])
         node, copies, core = np.asarray(table["node"]), np.asarray(table["copies"]), np.asarray(table["core"])
-        values = [np.asarray(x.values) for x in table["v"]]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         kinds, first, second = [], [], []
         if len(left) and len(right):
-            x, y = np.stack([values[k] for k in left]), np.stack([values[k] for k in right])
-            scale_x, scale_y = np.abs(x).max(axis=1), np.abs(y).max(axis=1)
-            x, y = x / scale_x[:, None], y / scale_y[:, None]
-            cosine = (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1)))
-            link = (cosine >= least_cosine) & (node[left][:, None] != node[right]) & ~(core[left][:, None] & core[right])
-            counts = (link * copies[right]).sum(axis=1)
-            has = np.flatnonzero(counts)
-            kinds.append(np.zeros(len(has), np.int32))
-            first.append(node[left][has])
-            second.append(counts[has])
-            a, b = _spanning(link, node[left], node[right])
-            kinds.append(np.ones(len(a), np.int32))
-            first.append(a)
-            second.append(b)
+            values = _dense(table["v"])
+            values = values / np.abs(values).max(axis=1)[:, None]
+            length = np.sqrt((values * values).sum(1))
+            for i in range(0, len(left), STRIPE):
+                some = left[i:i + STRIPE]
+                cosine = (values[some] @ values[right].T) / (length[some][:, None] * length[right])
+                link = (cosine >= least_cosine) & (node[some][:, None] != node[right]) & ~(core[some][:, None] & core[right])
+                counts = (link * copies[right]).sum(axis=1)
+                has = np.flatnonzero(counts)
+                kinds.append(np.zeros(len(has), np.int32))
+                first.append(node[some][has])
+                second.append(counts[has])
+                a, b = _spanning(link, node[some], node[right])
+                kinds.append(np.ones(len(a), np.int32))
+                first.append(a)
+                second.append(b)
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pa.table({"kind": join(kinds, np.int32), "a": join(first, np.int64), "b": join(second, np.int64)})
     return run
