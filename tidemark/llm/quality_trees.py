@@ -25,10 +25,16 @@ FEATURES = {
 }
 MOST_ROWS = 4000
 REPEAT_WINDOW = 3
+ROWS_AT_ONCE = 256
 
 
 def document_statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The base counts of each text, and the matrix of FEATURES."""
+    """The base counts of each text, and the matrix of FEATURES; a few rows at a time, so that little is held."""
+    parts = [_statistics(column.slice(i, ROWS_AT_ONCE)) for i in range(0, max(len(column), 1), ROWS_AT_ONCE)]
+    return {c: np.concatenate([counts[c] for counts, _ in parts]) for c in COUNTS}, np.concatenate([x for _, x in parts])
+
+
+def _statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     body, borders = text_buffer(column)
     starts = word_starts(body, borders)
     words = hash_words(body, starts)
