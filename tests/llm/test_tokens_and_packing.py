@@ -43,6 +43,21 @@ def test_memory_is_bounded(monkeypatch):
     assert own.known <= 9
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_forgotten_within_a_call_are_learned_again(name, monkeypatch):
+    import tidemark.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "MOST_WORDS", 20)
+    library, own = tokenizers.Tokenizer.from_file(files.path(name)), TextEncoder(files.path(name))
+    old = " ".join(f"old{k}word" for k in range(18))
+    own.encode([old])
+    for k in range(4):  # known words beside new ones, beyond the bound each time
+        texts = [old, f"new{k} " + old + " " + " ".join(f"other{k}x{j}" for j in range(5)), old]
+        ids, ends = own.encode(texts)
+        for j, text in enumerate(texts):
+            assert ids[ends[j]:ends[j + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_use_every_piece_and_fit(seed):
     r, capacity = random.Random(seed), [7, 64, 2048][seed % 3]
