@@ -48,6 +48,15 @@ def test_copies_and_common_passages(spark):
     assert result(remove_repeats(documents(spark, texts))) == by_hand(texts)
 
 
+def test_a_document_repeats_what_an_earlier_one_has_in_part(spark):
+    base, line = prose(21, 260, 4000), prose(22, 52, 4000)
+    texts = [(1, " ".join(prose(23, 40) + base[100:160] + prose(24, 40))), (2, " ".join(base + base))]
+    texts += [(3, " ".join(prose(25, 30) + line[1:] + prose(26, 30))), (4, " ".join((line + prose(27, 9)) * 4))]
+    texts += [(5, " ".join(base[60:200])), (2, " ".join(prose(28, 30) + base))]
+    got = result(remove_repeats(documents(spark, texts)))
+    assert got == by_hand(texts) and {n for i, _, _, n in got if i == 2} == {60, 120}
+
+
 def test_other_columns_stay_and_clashing_names_are_replaced(spark):
     texts = odd_documents()
     df = documents(spark, texts, clashing=("row", "n_words", "ranges", "name", "first"))

@@ -32,8 +32,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3) -> DataFr
     One symbol of its inside stands for each window; a stretch of windows with one symbol is a row,
     with a hash of all its words. (2) Spark counts in which documents a name occurs: windows
     under a name that one document alone has repeat nowhere else. (3) Stretches equal as a whole to one of an
-    earlier document are cut. (4) Where a name has different stretches, the first of each kind is
-    taken apart into windows, named by 128 bits of their words, and the least doc_id by name decides.
+    earlier document are cut. (4) Where a name has different stretches, all those of each kind in its first
+    document are taken apart into windows, named by 128 bits of their words, and the least doc_id by name decides.
     Stretches without an inside symbol (one word over and over) go to (4) at once. Texts
     are shuffled only if (4) looks into them or words are cut from them, as long as the keys of those
     texts are few enough to send out (a count decides); else all are.
@@ -48,9 +48,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3) -> DataFr
                    .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"))
                    .where("lo < hi").selectExpr("name", "c0 < c1 AS several"), "repeated-names")
     shared = stored(named.join(names, "name"), "shared-names")
-    kinds = stored(shared.groupBy("name", "content", "several").agg(F.min(F.struct("doc_id", "row", "first", "last")).alias("src")), "kinds")
-    whole = shared.join(kinds.select("name", "content", F.col("src.doc_id").alias("lo")), ["name", "content"]).where("doc_id > lo")
-    look = kinds.where("several").select("src.*").union(named.where("name is null").select("doc_id", "row", "first", "last"))
+    kinds = stored(shared.groupBy("name", "content", "several").agg(F.min("doc_id").alias("lo")), "kinds")
+    whole = shared.join(kinds.select("name", "content", "lo"), ["name", "content"]).where("doc_id > lo")
+    firsts = shared.where("several").join(kinds.where("several").select("name", "content", "lo"), ["name", "content"]).where("doc_id = lo")
+    look = firsts.select("row", "first", "last").union(named.where("name is null").select("row", "first", "last"))
     ranges = stored(_lists(look, "ranges"), "ranges")
     checked = _of_rows(texts, ranges).select("doc_id", "_row", "_text", "ranges")
     hashed = stored(checked.mapInArrow(_hash_windows(window), f"h1 long, h2 long, {span}"), "windows")
