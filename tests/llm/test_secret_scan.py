@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import pytest
+
 from tests.llm.samples import documents, odd_documents
 from tidemark.llm.secret_scan import find_spans, marginal_bytes, redact, redact_secrets, scan_secrets
 
@@ -41,6 +44,26 @@ def test_novel_strings_are_those_nothing_explains():
     assert find_spans("signature: " + "xyz123" * 8) == []
 
 
+ALPHABETS = {
+    "upper_hex": "0123456789ABCDEF", "lower_alnum": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_long_random_strings_are_reported(name):
+    r = random.Random(name)
+    for n in (32, 64, 128, 200, 400, 800, 2000, 6000):
+        for _ in range(5):
+            word = "".join(r.choice(ALPHABETS[name]) for _ in range(n))
+            text = f"sign requests with the credential {word} of this host"
+            at = text.index(word)
+            assert redact(text, find_spans(text)).replace("[SECRET]", "") == text.replace(word, ""), (name, n)
+    for repeats in (4, 40, 400):
+        assert find_spans("signature: " + "xyz123" * repeats) == []
+        assert find_spans("credential " + "a/b-c_d1" * repeats) == []
+
+
 def test_scan(spark):
     texts = [(k, t) for k, t in enumerate(TEXTS)] + odd_documents()
     df = documents(spark, texts, clashing=("secret_spans", "kind"))

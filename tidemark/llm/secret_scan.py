@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CONTEXT = re.compile(r"key|pass|pwd|auth|bearer|credential|private|secret|token|signature|cookie", re.I | re.A)
 BEFORE, AROUND = 48, 1024
-NOVEL_SHARE = 0.8
+LEAST_NOVEL, NOVEL_SHARE = 20, 0.8
 # What code around a secret is made of: words, calls and names that are no secrets however long they are.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 authorization authentication authenticate bearer basic "
@@ -52,22 +53,49 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
 
+def alone_bytes(candidate: str) -> int:
+    """What ``candidate`` costs without the dictionaries: the packed size of its letters in a random order, at most its length.
+
+    Packing reaches the alphabet's entropy on longer strings, so a random one is not measured by its
+    length; the other order keeps those that repeat themselves from looking random.
+    """
+    letters = list(candidate)
+    random.Random(0).shuffle(letters)
+    packer = zstandard.ZstdCompressor(level=19, write_checksum=False, write_content_size=False, write_dict_id=False)
+    return min(len(packer.compress("".join(letters).encode())) - len(packer.compress(b"")), len(candidate))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """Strings in a sensitive context that stay large beside the dictionaries; none overlaps a base span.
 
     A candidate is 20 or more characters of a key alphabet with letters and digits, with a sensitive word in the
-    48 characters before it. It is reported if it adds ``NOVEL_SHARE`` bytes for each of its own.
+    48 characters before it. It is reported if it adds ``NOVEL_SHARE`` of what it costs alone,
+    without the runs of hex digits in it that are base spans.
     """
     for m in CANDIDATE.finditer(text):
         word = m.group()
         if word.isalpha() or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
             continue
         start, end = m.span()
-        if not CONTEXT.search(text, max(0, start - BEFORE), start) or any(s < end and start < e for s, e, _ in taken):
+        parts = list(_outside(start, end, taken))
+        if not CONTEXT.search(text, max(0, start - BEFORE), start) or sum(e - s for s, e in parts) < LEAST_NOVEL:
             continue
         around = text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND]
-        if marginal_bytes(word, around) >= NOVEL_SHARE * len(word):
-            yield start, end, "novel"
+        if marginal_bytes(word, around) >= NOVEL_SHARE * alone_bytes(word):
+            yield from ((s, e, "novel") for s, e in parts)
+
+
+def _outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What fixed spans leave of a candidate: nothing beside one that is more than a run of hex digits inside it."""
+    inside = sorted((s, e, k) for s, e, k in taken if s < end and start < e)
+    if any(k != "hex" for _, _, k in inside):
+        return
+    for s, e, _ in inside:
+        if start < s:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
