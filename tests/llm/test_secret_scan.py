@@ -64,6 +64,25 @@ def test_long_random_strings_are_reported(name):
         assert find_spans("credential " + "a/b-c_d1" * repeats) == []
 
 
+def test_keys_of_several_lines_and_labels_behind_or_far():
+    r = random.Random(5)
+    lines = ["".join(r.choice(ALPHABETS["base64"]) for _ in range(64)) for _ in range(50)]
+    ends, rest = ["-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"], "Q9=="
+    for sep in ("\n", "\r\n", "\n    "):
+        text = "conf:\n" + sep.join([ends[0], *lines, rest, ends[1]]) + "\nthe rest"
+        assert redact(text, find_spans(text)) == "conf:\n" + sep.join([ends[0], "[SECRET]", ends[1]]) + "\nthe rest"
+    text = "the private key is\n" + "\n".join(f'    "{x}" +' for x in lines) + "\nand so on"  # no marks: the run has one context
+    assert not any(x in redact(text, find_spans(text)) for x in lines)
+    pad = "plain words without any meaning. " * 10
+    for text in (f"{KEY} is the credential", f"{KEY} {pad} credential", f"# credential {pad}\n{KEY}\n"):
+        assert redact(text, find_spans(text)) == text.replace(KEY, "[SECRET]")
+    assert find_spans(f"{KEY} {pad * 4} credential") == []
+    inside = "-----BEGIN A KEY-----\n" + lines[0] + "\ntoken=abcdefgh\n" + lines[1] + "\n-----END A KEY-----"
+    spans = find_spans(inside)
+    assert "assign" in {k for _, _, k in spans} and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert not any(x in redact(inside, spans) for x in lines)
+
+
 def test_scan(spark):
     texts = [(k, t) for k, t in enumerate(TEXTS)] + odd_documents()
     df = documents(spark, texts, clashing=("secret_spans", "kind"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 and more: what a longest run wi
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+KEY_PART = re.compile(r"[A-Za-z0-9+/_=-]+")
 CONTEXT = re.compile(r"key|pass|pwd|auth|bearer|credential|private|secret|token|signature|cookie", re.I | re.A)
-BEFORE, AROUND = 48, 1024
+JOINT = re.compile(r"""[\s"'`+,;.>#*|\\()]*""")  # what may stand between the lines of one key
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+AROUND = 1024
 LEAST_NOVEL, NOVEL_SHARE = 20, 0.8
 # What code around a secret is made of: words, calls and names that are no secrets however long they are.
 IDENTIFIERS = (
@@ -69,31 +73,68 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[
     """Strings in a sensitive context that stay large beside the dictionaries; none overlaps a base span.
 
     A candidate is 20 or more characters of a key alphabet with letters and digits, with a sensitive word in the
-    48 characters before it. It is reported if it adds ``NOVEL_SHARE`` of what it costs alone,
-    without the runs of hex digits in it that are base spans.
+    1,024 characters before or after it; candidates with nothing but space, quotes and the like between them
+    have one context, that of the run. It is reported if it adds ``NOVEL_SHARE`` of what it costs alone,
+    without the runs of hex digits in it that are base spans. What stands between BEGIN and END
+    marks of one label with a sensitive word is one candidate, short last lines and line ends included.
     """
-    for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if word.isalpha() or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-            continue
-        start, end = m.span()
-        parts = list(_outside(start, end, taken))
-        if not CONTEXT.search(text, max(0, start - BEFORE), start) or sum(e - s for s, e in parts) < LEAST_NOVEL:
+    taken = sorted(taken)
+    blocks = [b for b in _blocks(text) if _novel(text, *b)] if "-----BEGIN " in text else []
+    for start, end in blocks:
+        yield from ((s, e, "novel") for s, e in _outside(start, end, taken))
+    starts = [s for s, _ in blocks]
+    for run in _runs(text):
+        first, last = run[0][0], run[-1][1]
+        if not CONTEXT.search(text, max(0, first - AROUND), first) and not CONTEXT.search(text, last, last + AROUND):
             continue
-        around = text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND]
-        if marginal_bytes(word, around) >= NOVEL_SHARE * alone_bytes(word):
-            yield from ((s, e, "novel") for s, e in parts)
+        for start, end in run:
+            word, k = text[start:end], bisect_right(starts, start) - 1
+            if word.isalpha() or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+                continue
+            if (k >= 0 and start < blocks[k][1]) or any(s < end and start < e and kind != "hex" for s, e, kind in taken):
+                continue
+            parts = list(_outside(start, end, taken))
+            if sum(e - s for s, e in parts) >= LEAST_NOVEL and _novel(text, start, end):
+                yield from ((s, e, "novel") for s, e in parts)
+
+
+def _novel(text: str, start: int, end: int) -> bool:
+    """Whether the key characters of a stretch stay large beside the text around it and the identifiers."""
+    word = "".join(KEY_PART.findall(text, start, end))
+    around = text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND]
+    return marginal_bytes(word, around) >= NOVEL_SHARE * alone_bytes(word)
+
+
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Candidates in groups that adjoin."""
+    run: list[tuple[int, int]] = []
+    for m in CANDIDATE.finditer(text):
+        if run and not JOINT.fullmatch(text, run[-1][1], m.start()):
+            yield run
+            run = []
+        run.append(m.span())
+    if run:
+        yield run
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Bodies between a BEGIN and the END mark that follows, both of one label with a sensitive word; they hold a candidate."""
+    begin = None
+    for m in MARK.finditer(text):
+        if begin and m.group(1) == "END" and m.group(2) == begin.group(2) and CONTEXT.search(m.group(2)) \
+                and CANDIDATE.search(text, begin.end(), m.start()):
+            body = text[begin.end():m.start()]
+            yield m.start() - len(body.lstrip()), begin.end() + len(body.rstrip())
+        begin = m if m.group(1) == "BEGIN" else None
 
 
 def _outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """What fixed spans leave of a candidate: nothing beside one that is more than a run of hex digits inside it."""
-    inside = sorted((s, e, k) for s, e, k in taken if s < end and start < e)
-    if any(k != "hex" for _, _, k in inside):
-        return
-    for s, e, _ in inside:
-        if start < s:
-            yield start, s
-        start = max(start, e)
+    """What base spans, in order, leave of a candidate."""
+    for s, e, _ in taken:
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = max(start, e)
     if start < end:
         yield start, end
 

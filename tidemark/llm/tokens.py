@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from tidemark.llm.wordhash import U, hash_words, text_buffer, word_starts
 
-MOST_WORDS = 1_000_000  # words a worker remembers; beyond, those not met again since the last time go
+MOST_WORDS = 1_000_000  # words a worker remembers between calls; beyond, those not met again since the last time go, a call's own never
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
 
@@ -72,10 +72,16 @@ class TextEncoder:
         keys[:, 0] |= U(1)  # 0 is an empty place
         slot = self._find(keys)
         missing = np.flatnonzero(slot < 0)
-        if len(missing):
+        if len(missing) and self.known + len(np.unique(keys[missing, 0])) > MOST_WORDS:
+            self._forget()
+            slot = self._find(keys)  # words of these texts may have been forgotten as well
+            missing = np.flatnonzero(slot < 0)
+        while len(missing):  # again for words that share the first half of their hash
             _, at = np.unique(keys[missing, 0], return_index=True)
             self._learn(data, np.append(starts, len(body)), missing[at], keys)
             slot = self._find(keys)
+            missing = np.flatnonzero(slot < 0)
+        assert not (slot < 0).any(), "a stretch has no ids"
         self.met[slot] = True
         lengths = self.count[slot].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -96,8 +102,6 @@ class TextEncoder:
         return out
 
     def _learn(self, data: bytes, starts: np.ndarray, words: np.ndarray, keys: np.ndarray) -> None:
-        if self.known + len(words) > MOST_WORDS:
-            self._forget()
         found: list[list[int]] = []
         for i in range(0, len(words), 4096):
             some = [data[starts[k]:starts[k + 1]].decode() for k in words[i:i + 4096]]
