@@ -83,6 +83,20 @@ def test_keys_of_several_lines_and_labels_behind_or_far():
     assert not any(x in redact(inside, spans) for x in lines)
 
 
+def test_copies_of_a_secret_do_not_explain_it():
+    r = random.Random(6)
+    long = "".join(r.choice(ALPHABETS["base64"]) for _ in range(700))
+    for word in (KEY, long):
+        for gap in (" ", "\nand once more ", " words " * 130, " plain" * 170 + " "):
+            text = f"the credential is {word}{gap}credential {word} and x{word}y"
+            assert word not in redact(text, find_spans(text)), (len(word), gap[:9])
+    lines = ["".join(r.choice(ALPHABETS["base64"]) for _ in range(64)) for _ in range(6)]
+    block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\nab==\n-----END PRIVATE KEY-----\n"
+    assert not any(x in redact(block * 3, find_spans(block * 3)) for x in lines)
+    text = f"the credential is {KEY}" + " plain words" * 200 + f" CFG={KEY}"
+    assert KEY not in redact(text, find_spans(text))
+
+
 def test_scan(spark):
     texts = [(k, t) for k, t in enumerate(TEXTS)] + odd_documents()
     df = documents(spark, texts, clashing=("secret_spans", "kind"))

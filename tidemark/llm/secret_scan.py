@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,6 +77,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[
     have one context, that of the run. It is reported if it adds ``NOVEL_SHARE`` of what it costs alone,
     without the runs of hex digits in it that are base spans. What stands between BEGIN and END
     marks of one label with a sensitive word is one candidate, short last lines and line ends included.
+    Other copies of a candidate explain nothing; ``find_spans`` reports all copies of a reported string.
     """
     taken = sorted(taken)
     blocks = [b for b in _blocks(text) if _novel(text, *b)] if "-----BEGIN " in text else []
@@ -99,12 +100,21 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[
 
 
 def _novel(text: str, start: int, end: int) -> bool:
-    """Whether the key characters of a stretch stay large beside the text around it and the identifiers."""
+    """Whether the key characters of a stretch stay large beside the text around it, without its own copies, and the identifiers."""
     word = "".join(KEY_PART.findall(text, start, end))
-    around = text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND]
+    own = {m.group() for m in CANDIDATE.finditer(text, start, end)}
+    reach = AROUND + max(map(len, own))  # so that a copy on the border is seen whole
+    before, after = _without(own, text[max(0, start - reach):start]), _without(own, text[end:end + reach])
+    around = before[-AROUND:] + "\n" + after[:AROUND]
     return marginal_bytes(word, around) >= NOVEL_SHARE * alone_bytes(word)
 
 
+def _without(own: set[str], text: str) -> str:
+    if len(own) == 1:
+        return text.replace(*own, "\n")
+    return CANDIDATE.sub(lambda m: "\n" if m.group() in own else m.group(), text)
+
+
 def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
     """Candidates in groups that adjoin."""
     run: list[tuple[int, int]] = []
@@ -139,12 +149,29 @@ def _outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> Iterato
         yield start, end
 
 
+def _copies(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Where novel strings stand once more, in longer candidates or far from any sensitive word too."""
+    words = {text[s:e] for s, e, k in spans if k == "novel" and e - s >= LEAST_NOVEL}
+    taken, found = sorted((s, e) for s, e, _ in spans), []
+    for word in sorted(words, key=lambda w: (-len(w), w)):
+        at = text.find(word)
+        while at >= 0:
+            end = at + len(word)
+            k = bisect_right(taken, (at, len(text)))
+            if not (k and taken[k - 1][1] > at) and not (k < len(taken) and taken[k][0] < end):
+                insort(taken, (at, end))
+                found.append((at, end, "novel"))
+            at = text.find(word, end)
+    return found
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind; positions count code points."""
     if not text:
         return []
     spans = base_spans(text)
     spans += novel_spans(text, spans)
+    spans += _copies(text, spans)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
