@@ -118,6 +118,22 @@ def test_grammar_round_trip(seed):
         assert (grammar.expand(own, rules, 10) == part).all()
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    import inspect
+
+    limits = {k: inspect.signature(write_tokens).parameters[k].default for k in ("rounds", "most_rules", "least")}
+    r = np.random.default_rng(9)
+    words = [r.integers(0, 900, r.integers(2, 40)) for _ in range(60)]
+    parts = [np.concatenate([words[k] for k in r.integers(0, 60, 30)]) for _ in range(300)]
+    ids, ends = np.concatenate(parts).astype(np.uint32), np.cumsum([len(p) for p in parts])
+    symbols, rules, symbol_ends = grammar.compress(ids, ends, 900, **limits)
+    pairs = Counter()
+    for a, b in zip([0, *symbol_ends[:-1]], symbol_ends):
+        pairs.update(zip(symbols[a:b - 1].tolist(), symbols[a + 1:b].tolist()))
+    assert max(pairs.values()) < limits["least"]
+    assert (grammar.expand(symbols, rules, 900) == ids).all()
+
+
 def test_grammar_of_little():
     for ids in ([], [5], [5, 5], [1, 2, 3]):
         ids = np.array(ids, np.uint32)

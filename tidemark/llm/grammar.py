@@ -2,55 +2,39 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 
 U = np.uint64
 BINS = 18  # bits of the pair counts' table
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int, most_rules: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None, most_rules: int | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs of neighbours by new symbols, round by round.
 
     ``ids``: all ids; ``ends``: position after each document; no pair reaches over such a
     border. New symbols are ``first``, ``first`` + 1, ... A round counts all pairs in a table of bins and
     replaces, from left to right, the pairs of the fullest bins that stand ``least`` times or more,
-    ``most_rules`` over all rounds at most; later rounds pair symbols of earlier ones. Returns symbols, rules (n x 2; rule k makes
+    ``most_rules`` over all rounds at most; later rounds pair symbols of earlier ones. Where ``rounds`` is None,
+    rounds follow until no pair stands ``least`` times; when bins find none, pairs themselves are counted. Returns symbols, rules (n x 2; rule k makes
     ``first`` + k) and the position after each document among the symbols.
     """
     symbols, ends = ids.astype(np.uint32), ends.astype(np.int64)
     rules: list[np.ndarray] = []
     known = 0
-    for r in range(rounds):
-        room = (most_rules - known) // (rounds - r)
+    for r in count() if rounds is None else range(rounds):
+        room = len(symbols) if most_rules is None else (most_rules - known) // (1 if rounds is None else rounds - r)
         if len(symbols) < 2 * least or room < 1:
             break
         pair = (symbols[:-1].astype(U) << U(32)) | symbols[1:]
-        place = ((pair * U(0x9E3779B97F4A7C15)) >> U(64 - BINS)).astype(np.int32)
         over = ends[ends < len(symbols)] - 1
-        place[over[over >= 0]] = 0
-        counts = np.bincount(place, minlength=1 << BINS)
-        counts[0] = 0
-        room = min(room, int((counts >= least).sum()))
-        if not room:
-            break
-        best = np.argpartition(counts, len(counts) - room)[-room:]
-        chosen = np.zeros(1 << BINS, bool)
-        chosen[best[counts[best] >= least]] = True
-        at = np.flatnonzero(chosen[place])
-        bin_of, pair_of = place[at], pair[at]
-        standing = np.zeros(1 << BINS, U)  # one pair stands for each bin; others in it wait for the next round
-        standing[bin_of[::-1]] = pair_of[::-1]
-        own = standing[bin_of] == pair_of
-        at, bin_of = at[own], bin_of[own]
-        times = np.bincount(bin_of, minlength=1 << BINS)
-        keep = np.flatnonzero(times >= least)
-        if not len(keep):
+        over = over[over >= 0]
+        kinds, at, made = _by_bins(pair, over, room, least)
+        if not len(kinds) and rounds is None:
+            kinds, at, made = _by_pairs(pair, over, room, least)
+        if not len(kinds):
             break
-        kinds = standing[keep]
-        number = np.full(1 << BINS, -1, np.int32)
-        number[keep] = np.arange(len(keep))
-        made = number[bin_of]
-        at, made = at[made >= 0], made[made >= 0]
         # of neighbours that overlap every second one stays, from the left
         new_run = np.ones(len(at), bool)
         new_run[1:] = np.diff(at) > 1
@@ -63,10 +47,53 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int, most_ru
         stay[at + 1] = False
         symbols = symbols[stay]
         rules.append(np.stack([kinds >> U(32), kinds & U(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        known += len(keep)
+        known += len(kinds)
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), ends
 
 
+def _by_bins(pair: np.ndarray, over: np.ndarray, room: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs, one a bin, the places where they stand and the number of the pair at each."""
+    none = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    place = ((pair * U(0x9E3779B97F4A7C15)) >> U(64 - BINS)).astype(np.int32)
+    place[over] = 0
+    counts = np.bincount(place, minlength=1 << BINS)
+    counts[0] = 0
+    room = min(room, int((counts >= least).sum()))
+    if not room:
+        return none
+    best = np.argpartition(counts, len(counts) - room)[-room:]
+    chosen = np.zeros(1 << BINS, bool)
+    chosen[best[counts[best] >= least]] = True
+    at = np.flatnonzero(chosen[place])
+    bin_of, pair_of = place[at], pair[at]
+    standing = np.zeros(1 << BINS, U)  # one pair stands for each bin; others in it wait for the next round
+    standing[bin_of[::-1]] = pair_of[::-1]
+    own = standing[bin_of] == pair_of
+    at, bin_of = at[own], bin_of[own]
+    times = np.bincount(bin_of, minlength=1 << BINS)
+    keep = np.flatnonzero(times >= least)
+    if not len(keep):
+        return none
+    number = np.full(1 << BINS, -1, np.int32)
+    number[keep] = np.arange(len(keep))
+    made = number[bin_of]
+    return standing[keep], at[made >= 0], made[made >= 0]
+
+
+def _by_pairs(pair: np.ndarray, over: np.ndarray, room: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same by a count of all pairs, for those that bins hide."""
+    inside = np.ones(len(pair), bool)
+    inside[over] = False
+    kinds, counts = np.unique(pair[inside], return_counts=True)
+    frequent = np.flatnonzero(counts >= least)
+    kinds = np.sort(kinds[frequent[np.argsort(-counts[frequent], kind="stable")[:room]]])
+    if not len(kinds):
+        return kinds, np.zeros(0, np.int64), np.zeros(0, np.int32)
+    k = np.minimum(np.searchsorted(kinds, pair), len(kinds) - 1)
+    at = np.flatnonzero(inside & (kinds[k] == pair))
+    return kinds, at, k[at].astype(np.int32)
+
+
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rules in one array, and the borders of the rules in it."""
     parts: list[np.ndarray] = []

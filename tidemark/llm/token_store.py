@@ -18,13 +18,15 @@ SHARD = ("task int, shard int, n_docs long, n_ids long, first_symbol long, symbo
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 1_000_000,
-                 rounds: int = 3, most_rules: int = 12_000, least: int = 32) -> None:
+                 rounds: int | None = None, most_rules: int | None = None, least: int = 32) -> None:
     """Write the ids of all documents to ``path``, each followed by ``end_id``, in ascending doc_id order.
 
     ``docs`` has doc_id and text (whole text, no special tokens; null and empty texts are the
     end id alone); other columns are not looked at. Null doc_ids come first, rows with one doc_id are
     ordered by text; repeated rows are written as often as they stand there.
 
+    Pairs are replaced until none stands ``least`` times in a shard, unless ``rounds`` or ``most_rules`` end it sooner.
+
     Format: Parquet files, so that Spark's committer decides which task's files count; a row is a shard of
     whole documents, of ``shard_ids`` ids or one document more. task and shard order the rows.
     Binary columns are little-endian arrays: doc_ids int64, no_id uint8 (1: the doc_id is null),
