@@ -9,15 +9,16 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", [
-    "op1_embedding_near_dedup", "op2_source_mixing", "op4_substring_dedup", "op6_ngram_jaccard_join", "op9_url_filter"])
+    "op1_embedding_near_dedup", "op2_source_mixing", "op4_substring_dedup", "op6_ngram_jaccard_join", "op9_url_filter",
+    "op13_merkle_manifest"])
 def test_query_equals_sql(spark, name):
     from workload.check import compare
 

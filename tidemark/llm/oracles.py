@@ -138,3 +138,52 @@ SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE
   WHEN coalesce(distrust, 0) >= {least_distrust} AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN got{rounds - 1} g ON ruled.host = g.host
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text, a bit at a time."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii({text}[i]) >> b) & 1)))"
+    step = "lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), {step}), 4294967295::BIGINT)"
+
+
+def merkle(levels: int = 7, group_levels: int = 2) -> str:
+    """The manifest of ``documents``; ``levels`` suffice for 8^levels documents of a language."""
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def tree(name: str, depth: int, key: str) -> list[str]:
+        """name0 has (key, p, n, h); adds name1 … and the texts beside each node."""
+        out = []
+        for k in range(depth):
+            out += [f"""{name}{k}_beside AS (
+  SELECT {key}, p, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k} WINDOW w AS (PARTITION BY {key}, p // 8 ORDER BY p))""", f"""{name}{k + 1} AS (
+  SELECT {key}, p // 8 AS p, (max(n) + 7) // 8 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE max(h) END AS h
+  FROM {name}{k} GROUP BY {key}, p // 8)"""]
+        return out
+
+    ctes = [f"""lower_ AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, {_crc32("(doc_id::VARCHAR)")} AS crc FROM documents)""",
+            f"""leaves AS (
+  SELECT doc_id, lang AS g, {leaf("text")} AS h, CASE WHEN crc % 3 = 0 THEN {leaf("low")} ELSE {leaf("text")} END AS f,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM lower_)""",
+            "t0 AS (SELECT g, p, n, h FROM leaves)", *tree("t", levels, "g"),
+            f"r0 AS (SELECT 1 AS one, g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, count(*) OVER () AS n, h FROM t{levels})",
+            *tree("r", group_levels, "one"),
+            "at0 AS (SELECT doc_id, g, p, h AS leaf, f, '' AS proof FROM leaves)"]
+    step = """{to} AS (
+  SELECT a.* REPLACE (CASE WHEN b.n > 1 THEN sha256(b.l || a.f || b.r) ELSE a.f END AS f, CASE WHEN b.n > 1 THEN a.proof || b.l || b.r ELSE a.proof END AS proof,
+                      a.{at} // 8 AS {at})
+  FROM {at_table} a JOIN {beside} b ON {on})"""
+    for k in range(levels):
+        ctes.append(step.format(to=f"at{k + 1}", at_table=f"at{k}", at="p", beside=f"t{k}_beside", on="a.g IS NOT DISTINCT FROM b.g AND a.p = b.p"))
+    ctes.append(f"top0 AS (SELECT a.*, r0.h AS subroot, r0.p AS q FROM at{levels} a JOIN r0 ON a.g IS NOT DISTINCT FROM r0.g)")
+    for k in range(group_levels):
+        ctes.append(step.format(to=f"top{k + 1}", at_table=f"top{k}", at="q", beside=f"r{k}_beside", on="a.q = b.p"))
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, (SELECT h FROM r{group_levels}) AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+       f = (SELECT h FROM r{group_levels}) AS verified
+FROM top{group_levels}"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
 from tidemark.llm.labelled import held_out
+from tidemark.llm.merkle import fold, leaf_of, merkle_manifest, siblings
 from tidemark.llm.mixing import estimated_tokens, mix_sources
 from tidemark.llm.ngram_join import ngram_groups
 from tidemark.llm.packing import pack_documents
@@ -124,8 +125,28 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "epoch", estimated_tokens().alias("n_tokens"))
 
 
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def unsigned_crc(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that a checker is shown: every third document (by checksum) has its capitals changed."""
+    docs = table(spark, folder, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    shown = F.when(unsigned_crc("doc_id") % 3 == 0, leaf_of([*[F.col(c) for c in MANIFEST[:-1]], lower]))
+    made = merkle_manifest(docs.withColumn("shown", shown), MANIFEST, "lang", "doc_id", keep=["doc_id", "shown"])
+    made = made.withColumn("folded_root", fold(F.coalesce("shown", "leaf"), F.col("path")))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 ORACLES.update({
     "op1_embedding_near_dedup": oracles.VECTOR_JOIN,
+    "op13_merkle_manifest": oracles.merkle(),
     "op2_source_mixing": oracles.mixing(MIX_LEVELS, MIX_WEIGHTS, percent=60, epochs=2, seed=17),
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_ngram_jaccard_join": oracles.NGRAM_JOIN,
