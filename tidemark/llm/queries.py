@@ -16,6 +16,7 @@ from tidemark.llm.ngram_join import ngram_groups
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality_net import fit_quality_net, score_quality
 from tidemark.llm.quality_trees import fit_quality_trees, judge_quality
+from tidemark.llm.scan_index import fit_index, nearest_vectors
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.tables import shared_folder
@@ -125,6 +126,12 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "epoch", estimated_tokens().alias("n_tokens"))
 
 
+@query
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest_vectors(vectors, vectors.where("vec_id % 100 = 0"), fit_index(vectors, k=10), k=10)
+
+
 MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
