@@ -18,7 +18,7 @@ def test_all_and_the_pipeline_are_registered():
 
 @pytest.mark.parametrize("name", [
     "op1_embedding_near_dedup", "op2_source_mixing", "op4_substring_dedup", "op6_ngram_jaccard_join", "op9_url_filter",
-    "op13_merkle_manifest"])
+    "op11_periodic_runs", "op13_merkle_manifest"])
 def test_query_equals_sql(spark, name):
     from workload.check import compare
 

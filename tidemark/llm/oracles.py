@@ -187,3 +187,37 @@ def merkle(levels: int = 7, group_levels: int = 2) -> str:
 SELECT doc_id, leaf, subroot, (SELECT h FROM r{group_levels}) AS root, sha256(proof) AS proof_sha256, f AS folded_root,
        f = (SELECT h FROM r{group_levels}) AS verified
 FROM top{group_levels}"""
+
+
+def periodic_runs() -> str:
+    """Runs as stretches of equal words q apart, found from pairs of equal three-word windows."""
+    return rf"""
+WITH given AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32("(doc_id::VARCHAR)")} AS h FROM documents),
+sized AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM given),
+texts AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) ELSE w END AS w
+  FROM (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized)),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM texts),
+windows AS (
+  SELECT * FROM (
+    SELECT doc_id, n, i, hash(word, lead(word) OVER o, lead(word, 2) OVER o) AS k, word AS x, lead(word) OVER o AS y, lead(word, 2) OVER o AS z
+    FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL),
+same AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island
+  FROM windows a JOIN windows b ON a.doc_id = b.doc_id AND a.k = b.k AND a.x = b.x AND a.y = b.y AND a.z = b.z AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+long AS (
+  SELECT doc_id, min(i) AS start, max(i) + 3 + q - min(i) AS length, q AS period FROM same GROUP BY doc_id, q, island
+  HAVING max(i) + 3 + q - min(i) >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM long r WHERE NOT EXISTS (
+    FROM long s WHERE s.doc_id = r.doc_id AND s.period < r.period AND s.start <= r.start AND s.start + s.length >= r.start + r.length)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+summed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         min((-length, start, period)) AS best FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[2]::BIGINT AS start, (-best[1])::BIGINT AS length, best[3]::BIGINT AS period,
+       ((-1000 * best[1]) // best[3])::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM texts LEFT JOIN summed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -14,6 +14,7 @@ from tidemark.llm.merkle import fold, leaf_of, merkle_manifest, siblings
 from tidemark.llm.mixing import estimated_tokens, mix_sources
 from tidemark.llm.ngram_join import ngram_groups
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.periodic import collapse_runs
 from tidemark.llm.quality_net import fit_quality_net, score_quality
 from tidemark.llm.quality_trees import fit_quality_trees, judge_quality
 from tidemark.llm.scan_index import fit_index, nearest_vectors
@@ -126,6 +127,36 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "epoch", estimated_tokens().alias("n_tokens"))
 
 
+def unsigned_crc(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by checksum) repeats a stretch of its words from some word to its end."""
+    h = unsigned_crc("doc_id")
+    docs = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("w").cast("long"), F.floor(h / 10)
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("rest", n - F.col("a"))
+    docs = docs.withColumn("p", 1 + F.floor(F.col("rest") / (3 + g % 8)))
+    stretch = F.slice("w", F.col("a").cast("int") + 1, F.col("p").cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(stretch, F.ceil(F.col("rest") / F.col("p")).cast("int"))), F.lit(1), F.col("rest").cast("int"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return docs.withColumn("text", F.when(F.col("rest") > 0, planted).otherwise(F.col("text"))).drop("w", "a", "rest", "p")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = collapse_runs(with_planted_run(table(spark, folder, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    found = found.withColumn("best", F.array_min(order))
+    length = -F.col("best.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", length.alias("length"), "best.period",
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query
 def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
@@ -135,10 +166,6 @@ def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
-def unsigned_crc(column: str) -> Column:
-    return F.crc32(F.col(column).cast("string").cast("binary"))
-
-
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The rows that a checker is shown: every third document (by checksum) has its capitals changed."""
@@ -153,6 +180,7 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES.update({
     "op1_embedding_near_dedup": oracles.VECTOR_JOIN,
+    "op11_periodic_runs": oracles.periodic_runs(),
     "op13_merkle_manifest": oracles.merkle(),
     "op2_source_mixing": oracles.mixing(MIX_LEVELS, MIX_WEIGHTS, percent=60, epochs=2, seed=17),
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
