@@ -52,9 +52,9 @@ def test_documents(spark):
     texts = odd_documents() + [
         (30, "x y " * 7 + "x"), (31, "a a a a a"), (32, "a a a a a a"), (33, "p q r s " * 3 + "t " + "p q r s " * 4), (34, "intro " + "é ü " * 4 + "é outro"),
         (35, "one two three " * 400_000)]
-    df = documents(spark, texts, clashing=("runs", "_found", "words"))
+    df = documents(spark, texts, clashing=("runs", "found", "row"))
     out = collapse_runs(df)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_found", "words", "n_words", "runs", "collapsed"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "found", "row", "n_words", "runs", "collapsed"]
     got = sorted(((str(r.doc_id), r.text or "", r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in out.collect()))
     want = []
     for i, t in texts:

@@ -39,7 +39,7 @@ def collapse_runs(docs: DataFrame, least_length: int = 6, least_periods: int = 4
         return _collapsed(texts, least_length, least_periods)
 
     names = [c for c in docs.columns if c not in ("n_words", "runs", "collapsed")]
-    return docs.select(*names, found("text").alias("_found")).select(*names, "_found.*")
+    return docs.select(F.struct(*names).alias("row"), found("text").alias("found")).select("row.*", "found.*")
 
 
 def _collapsed(texts: pa.Array, least_length: int, least_periods: int) -> pa.Array:

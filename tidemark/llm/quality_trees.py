@@ -211,6 +211,6 @@ def judge_quality(docs: DataFrame, trees: Trees | None, least_score: float = 0.3
         return pa.StructArray.from_arrays([*(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(score)], [*COUNTS, "score"])
 
     names = [c for c in docs.columns if c not in (*COUNTS, "base_failed", "score", "kept")]
-    out = docs.select(*names, judged("text").alias("_judged")).select(*names, "_judged.*")
+    out = docs.select(F.struct(*names).alias("row"), judged("text").alias("judged")).select("row.*", "judged.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least_score))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.recompress import anchors, parse
 from tidemark.llm.tables import ship, stored
-from tidemark.llm.wordhash import U, hash_words, mix, sums_of_spans, text_buffer, word_starts, words_of
+from tidemark.llm.wordhash import hash_spans, hash_windows, text_buffer, word_hashes, word_starts, words_of
 
 WORDS_AT_ONCE = 250_000
 BROADCAST_ROWS = 1_000_000  # keys of 8 bytes
@@ -134,7 +134,7 @@ def _name_windows(window: int, rounds: int):
                 head, tail = _runs_of(row, at)
                 found = at[head] >= 0
                 name = symbols["name"][np.maximum(at[head], 0)]
-                content = sums_of_spans(words[borders[i]:borders[j]], starts[head], starts[tail] + window)
+                content = hash_spans(words[borders[i]:borders[j]], starts[head], starts[tail] + window)
                 who = pa.array(row[head] + i)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(name.view(np.int64), mask=~found), pa.array(content.view(np.int64)), ids.take(who), rows.take(who),
@@ -144,29 +144,13 @@ def _name_windows(window: int, rounds: int):
     return run
 
 
-def _rolling(words: np.ndarray, window: int, base: int) -> np.ndarray:
-    """A hash of each window of words (one after another, all windows of the array), by doubling."""
-    out, start, width, part, rest = None, 0, 1, words, window
-    n = len(words) - window + 1
-    while rest:  # the window's binary digits; ``part`` holds the hashes of all ``width`` words
-        if rest & 1:
-            piece = part[start:start + n]
-            out = piece if out is None else out * U(pow(base, width, 1 << 64)) + piece
-            start += width
-        rest >>= 1
-        if rest:
-            part = part[:-width] * U(pow(base, width, 1 << 64)) + part[width:]
-            width *= 2
-    return mix(out)
-
-
 def _hash_windows(window: int):
     def run(batches):
         for batch in batches:
             body, byte_borders = text_buffer(batch.column(2))
             begins = word_starts(body, byte_borders)
             borders = np.searchsorted(begins, byte_borders)
-            one, two = hash_words(body, begins, seed=0), hash_words(body, begins, seed=1)
+            one, two = word_hashes(body, begins, (0, 1))
             lists = batch.column(3)
             offsets = np.asarray(lists.offsets)
             pairs = lists.values
@@ -184,8 +168,7 @@ def _hash_windows(window: int):
                 places = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
                 if not len(places):
                     continue
-                h1 = _rolling(one[a:b], window, 0x9E3779B97F4A7C15)[places]
-                h2 = _rolling(two[a:b], window, 0xC2B2AE3D27D4EB4F)[places]
+                h1, h2 = (hash_windows(words[a:b], window)[places] for words in (one, two))
                 owner = np.searchsorted(borders, places + a, "right") - 1
                 head, tail = _runs_of(owner, h1, h2, places - np.arange(len(places)))
                 who = pa.array(owner[head])

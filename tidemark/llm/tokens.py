@@ -9,7 +9,7 @@ from itertools import chain as flat
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.wordhash import U, hash_words, text_buffer, word_starts
+from tidemark.llm.wordhash import U, text_buffer, word_hashes, word_starts
 
 MOST_WORDS = 1_000_000  # words a worker remembers between calls; beyond, those not met again since the last time go, a call's own never
 _ENCODERS: dict[str, "TextEncoder"] = {}
@@ -68,7 +68,7 @@ class TextEncoder:
             cut = np.zeros(len(body), bool)
             cut[starts], cut[_marks(body)] = True, True
             starts = np.flatnonzero(cut)
-        keys = np.stack([hash_words(body, starts, seed=2, blanks=self.kind == "leads"), hash_words(body, starts, seed=3, blanks=self.kind == "leads")], axis=1)
+        keys = np.stack(word_hashes(body, starts, (2, 3), blanks=self.kind == "leads"), axis=1)
         keys[:, 0] |= U(1)  # 0 is an empty place
         slot = self._find(keys)
         missing = np.flatnonzero(slot < 0)

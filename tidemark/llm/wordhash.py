@@ -11,7 +11,7 @@ import pyarrow as pa
 
 U = np.uint64
 PIECE = 1 << 20
-_P, _P_INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+NEAR = 64  # places in a word whose values are kept in a table
 _SPACES = np.array([0x20, 9, 10, 11, 12, 13])
 
 
@@ -33,25 +33,26 @@ def _byte_values(lower: bool, seed: int, blanks: bool) -> np.ndarray:
     values = mix(np.arange(256, dtype=U) + U(seed * 1000 + 1))
     if lower:
         values[65:91] = values[97:123]
-    if not blanks:
-        values[_SPACES] = 0
     return values
 
 
-def _powers(base: U, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _placed(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each byte value at its place in the word; no sum rule ties places to one another."""
+    return mix(values + mix(place.astype(U) + U(0xA0761D6478BD642F)))
 
 
 _TABLES: dict = {}
 
 
-def _tables(lower: bool, seed: int, n: int, blanks: bool = False):
+def _tables(lower: bool, seed: int, blanks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The byte values, and the numbers of all bytes at the first NEAR places, flat."""
     key = (lower, seed, blanks)
-    if key not in _TABLES or len(_TABLES[key][1]) < n:
-        n = 1 << max(n - 1, PIECE).bit_length()
-        _TABLES[key] = _byte_values(lower, seed, blanks), _powers(_P, n), _powers(_P_INVERSE, n)
+    if key not in _TABLES:
+        values = _byte_values(lower, seed, blanks)
+        table = _placed(values[None, :], np.arange(NEAR)[:, None])
+        if not blanks:
+            table[:, _SPACES] = 0
+        _TABLES[key] = values, table.ravel()
     return _TABLES[key]
 
 
@@ -87,24 +88,41 @@ def word_starts(body: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def hash_words(body: np.ndarray, starts: np.ndarray, lower: bool = False, seed: int = 0, blanks: bool = False) -> np.ndarray:
-    """A 64-bit hash per word, the same wherever the word stands; ``lower`` folds A-Z.
+def word_hashes(body: np.ndarray, starts: np.ndarray, seeds: tuple[int, ...], lower: bool = False, blanks: bool = False) -> list[np.ndarray]:
+    """For each seed a 64-bit hash per word, the same wherever the word stands; ``lower`` folds A-Z.
 
+    Each byte gives a number that hangs on its value and its place in the word (tabulation hashing); a word's are added up.
     With ``blanks`` white space counts as well: all bytes from one start to the next are hashed.
     """
-    out = np.zeros(len(starts), U)
+    out = [np.zeros(len(starts), U) for _ in seeds]
     i = 0
     while i < len(starts):  # pieces of whole words keep the temporary arrays small
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
         lo, hi = int(starts[i]), int(starts[j]) if j < len(starts) else len(body)
-        values, up, down = _tables(lower, seed, hi - lo, blanks)
-        own = starts[i:j] - lo
-        sums = np.add.reduceat(values[body[lo:hi]] * up[: hi - lo], own)
-        out[i:j] = mix(sums * down[own] + U(seed))
+        own = (starts[i:j] - lo).astype(np.int32 if hi - lo < 1 << 31 else np.int64)
+        some = body[lo:hi]
+        place = np.arange(hi - lo, dtype=own.dtype)
+        place -= np.repeat(own, np.diff(own, append=own.dtype.type(hi - lo)))
+        far = np.flatnonzero(place >= NEAR)
+        at = (np.minimum(place, NEAR - 1) << 8 if len(far) else place << 8) | some
+        for k, seed in enumerate(seeds):
+            values, table = _tables(lower, seed, blanks)
+            numbers = table[at]
+            if len(far):
+                rest = _placed(values[some[far]], place[far])
+                if not blanks:
+                    rest[np.isin(some[far], _SPACES)] = 0
+                numbers[far] = rest
+            out[k][i:j] = mix(np.add.reduceat(numbers, own) + U(seed))
         i = j
     return out
 
 
+def hash_words(body: np.ndarray, starts: np.ndarray, lower: bool = False, seed: int = 0, blanks: bool = False) -> np.ndarray:
+    """``word_hashes`` for one seed."""
+    return word_hashes(body, starts, (seed,), lower, blanks)[0]
+
+
 def words_of(column: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows in one array, and the borders of the rows in it."""
     body, borders = text_buffer(column)
@@ -112,9 +130,28 @@ def words_of(column: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.n
     return hash_words(body, starts, lower, seed), np.searchsorted(starts, borders)
 
 
-def sums_of_spans(words: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span [first, after) of ``words``, the same wherever the span stands."""
-    _, up, down = _tables(False, 0, len(words) + 1)
-    sums = np.zeros(len(words) + 1, U)
-    np.cumsum(mix(words + U(0x51ED270B)) * up[: len(words)], out=sums[1:])
-    return mix((sums[after] - sums[first]) * down[first] + (after - first).astype(U))
+def hash_windows(words: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of each window of words (one after another, all windows of the array)."""
+    first = np.arange(max(len(words) - window + 1, 0))
+    return hash_spans(words, first, first + window)
+
+
+def hash_spans(words: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span [first, after) of ``words``, the same wherever the span stands.
+
+    By doubling: the hashes of all 1, 2, 4, ... words in a row are chained for the binary digits of a span's length.
+    """
+    length = np.asarray(after - first)
+    out, at = mix(length.astype(U)), np.array(first, np.int64)
+    part, width = words, 1
+    while width <= int(length.max(initial=0)):
+        has = np.flatnonzero(length & width)
+        if len(has) == len(out):
+            out = chain(out, part[at])
+            at += width
+        elif len(has):
+            out[has] = chain(out[has], part[at[has]])
+            at[has] += width
+        part = chain(part[:-width], part[width:])
+        width *= 2
+    return out
