@@ -9,7 +9,7 @@ from workload.catalog import ORACLES, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "apply_changes", "bars_page", "normalize_bars", "market_report", "dense_export", "verify_panel", "ml_features",
-    "adjusted_prices", "pit_eligibility", "merge_delisted", "user_sessions", "ngram_similar_pairs", "cross_rank_wide",
+    "adjusted_prices", "pit_eligibility", "merge_delisted", "user_sessions", "ngram_similar_pairs", "cross_rank_hard",
     "portfolio_metrics", "trade_ledger",
 ]
 

@@ -1,8 +1,8 @@
 """Cross-sectional ranking that never puts a whole cross-section into one task.
 
 A date can hold as many rows as there are instruments, so a window partitioned
-by date alone does not scale. Two forms replace it: a full average-tie rank inside
-value buckets, and a band that keeps only the best few names per date.
+by date alone does not scale. Two forms replace it: a full average-tie rank by one
+range shuffle, and a band that keeps only the best few names per date.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 256
+from tidemark.session import store_intermediate
 
-# Borders that part the values of a group; a value on a border has a bucket of its own.
-BORDERS = 64
+SALTS = 256
 
 # Rows up to which a table with a known bound is broadcast.
 SMALL_TABLE = 1_000_000
@@ -30,42 +29,51 @@ def missing_as_null(value: Column, kind: str) -> Column:
 
 
 def average_rank(df: DataFrame, group: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
-    """Add the average-tie rank of ``value`` within ``group``; null and NaN values stay unranked.
-
-    One path for groups of any size. Values are compared in their own type. Approximate
-    quantiles of a group (sketches merged map-side) part its values into buckets; a value
-    that is a border, as any that many rows share, is a bucket by itself. A rank is the rows in the buckets
-    before plus the rank inside the bucket: a window over the bucket, or nothing but its size
-    for a border, whose rows are therefore dealt out by a hash. The borders only decide how
-    even the tasks are, not the result. ``df`` is read up to three times: pass a stored table
-    where computing it is expensive.
+    """Add the average-tie rank of ``value`` within ``group``; null and NaN values stay unranked."""
+    return average_ranks(df, group, value, **{"down" if descending else "up": out})
+
+
+def average_ranks(df: DataFrame, group: list[str], value: str, up: str | None = None, down: str | None = None) -> DataFrame:
+    """Add the average-tie ranks of ``value`` within ``group``: ascending as column ``up``, descending as ``down``.
+
+    Null and NaN values stay unranked; values are compared in their own type. One path for groups of any size. A range
+    shuffle on (group, value, hash of the row) puts all rows in order; the hash lets Spark part even a
+    value that many rows share. Ranks and ties inside a task's part of a group are windows over (group, part). What lies before a
+    part, and how the ties on its borders go on, comes from one small row per (group, part). ``df`` is read once
+    and for the shuffle's sample; the rows with their local ranks are stored as a table in the checkpoint folder.
     """
-    kind = dict(df.dtypes)[value]
-    known = missing_as_null(F.col(value), kind)
-    steps = F.array(*[F.lit((k + 0.5) / BORDERS) for k in range(BORDERS)])
-    borders = df.groupBy(*group).agg(F.array_distinct(F.percentile_approx(known, steps, 10_000)).alias("_borders"))
-    rows = df.withColumn("_known", known).join(
-        borders.select(*[F.col(c).alias(f"_g_{c}") for c in group], "_borders"),
-        _all(*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]), "left").drop(*[f"_g_{c}" for c in group])
-    below = F.size(F.filter("_borders", lambda b: b < F.col("_known")))
-    on_border = F.array_contains("_borders", F.col("_known"))
-    rows = rows.withColumn("_border", F.coalesce(on_border, F.lit(False))).withColumn(
-        "_bucket", F.when(F.col("_known").isNotNull(), 2 * below + F.col("_border").cast("int"))).drop("_borders")
-    sizes = rows.where(F.col("_bucket").isNotNull()).groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_bucket").alias("_b"), "_size",
-                         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_total"))
-    placed = rows.join(sizes, _all(*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_bucket") == F.col("_b")), "left")
-    spread = F.when(F.col("_border") | F.col("_bucket").isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(-1))
-    inside = Window.partitionBy(*group, "_bucket", "_spread")
-    placed = placed.withColumn("_spread", spread)
-    first = F.rank().over(inside.orderBy("_known"))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, "_bucket", "_spread", "_known"))
-    in_bucket = F.when(F.col("_border"), (F.col("_size") + 1) / F.lit(2.0)).otherwise(first + (ties - 1) / F.lit(2.0))
-    rank = F.col("_before") + in_bucket
-    ranked = F.col("_total") + 1 - rank if descending else rank
-    return placed.select(*[F.col(c) for c in df.columns if c != out], F.when(F.col("_known").isNotNull(), ranked).alias(out))
+    parts = Window.partitionBy(*group, "_part")
+    hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    rows = df.select(*[c for c in df.columns if c not in (up, down)], missing_as_null(F.col(value), dict(df.dtypes)[value]).alias("_known"))
+    placed = rows.repartitionByRange(*group, F.col("_known").asc_nulls_last(), F.xxhash64(*[c for c in hashed if c in rows.columns])).withColumn(
+        "_part", F.spark_partition_id())
+    local = store_intermediate(
+        placed.withColumn("_rank", F.rank().over(parts.orderBy(F.col("_known").asc_nulls_last())))
+        .withColumn("_ties", F.count("_known").over(Window.partitionBy(*group, "_part", "_known"))), "ranks")
+    known = local.where(F.col("_known").isNotNull())
+    ends = known.groupBy(*group, "_part").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_known").alias("_lo"), F.max("_known").alias("_hi"),
+        F.min_by("_ties", "_rank").alias("_lo_ties"), F.max_by("_ties", "_rank").alias("_hi_ties"))
+    whole = Window.partitionBy(*group)  # a row per part of a group
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn("_total", F.sum("_rows").over(whole))
+    # a value on a border may go on in the next parts: its rows in all of them, and the place of the first
+    sides = F.array_distinct(F.array(
+        F.struct(F.col("_lo").alias("v"), F.col("_lo_ties").alias("ties"), (F.col("_before") + 1).alias("first")),
+        F.struct(F.col("_hi").alias("v"), F.col("_hi_ties").alias("ties"), (F.col("_before") + F.col("_rows") - F.col("_hi_ties") + 1).alias("first"))))
+    run = Window.partitionBy(*group, "_side.v")
+    borders = ends.select(*group, "_part", "_before", "_total", "_lo", "_hi", F.explode(sides).alias("_side")).withColumn(
+        "_mean", F.min("_side.first").over(run) + (F.sum("_side.ties").over(run) - 1) / F.lit(2.0))
+    borders = borders.groupBy(*group, "_part").agg(
+        F.first("_before").alias("_before"), F.first("_total").alias("_total"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
+        F.min("_mean").alias("_lo_mean"), F.max("_mean").alias("_hi_mean"))
+    borders = borders.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_p"), "_before", "_total", "_lo", "_hi", "_lo_mean", "_hi_mean")
+    joined = local.join(borders, _all(*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_part") == F.col("_p")), "left")
+    mean = F.when(F.col("_known") == F.col("_lo"), F.col("_lo_mean")).when(F.col("_known") == F.col("_hi"), F.col("_hi_mean")).when(
+        F.col("_known").isNotNull(), F.col("_before") + F.col("_rank") + (F.col("_ties") - 1) / F.lit(2.0))
+    ranks = [mean.alias(up)] if up else []
+    ranks += [(F.col("_total") + 1 - mean).alias(down)] if down else []
+    return joined.select(*[c for c in df.columns if c not in (up, down)], *ranks)
 
 
 def _all(*conditions: Column) -> Column:

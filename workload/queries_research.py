@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import average_rank
+from tidemark.functions.ranks import average_rank, average_ranks
 from tidemark.operators import factors, ic, model, portfolio
 from tidemark.operators.features import add_label, ml_features
 from tidemark.operators.timing import open_overrides, timing_contributions
@@ -92,22 +92,7 @@ SELECT factor, date, instrument,
     + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0, 6) + 0.0 END AS rank_down
 FROM v_fac""")
 def cross_rank(t: Tables) -> DataFrame:
-    rows = factors.factor_table(t.stored_panel)
-    up = average_rank(rows, ["factor", "date"], "value", "rank_up")
-    return average_rank(up, ["factor", "date"], "value", "rank_down", descending=True).drop("value")
-
-
-@query("cross_rank_wide", """
-SELECT factor, date, instrument,
-  CASE WHEN value IS NOT NULL THEN round(rank() OVER (PARTITION BY factor, date ORDER BY value)
-    + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0, 6) + 0.0 END AS rank_up FROM v_fac""")
-def cross_rank_wide(t: Tables) -> DataFrame:
-    return average_rank(factors.factor_table(t.stored_panel), ["factor", "date"], "value", "rank_up").drop("value")
-
-
-@query("rank_ic_wide", f"SELECT {IC_COLUMNS} FROM fv_ic")
-def rank_ic_wide(t: Tables) -> DataFrame:
-    return ic.daily_rank_ic(research(t, reuse=False).factors)
+    return average_ranks(factors.factor_table(t.stored_panel), ["factor", "date"], "value", "rank_up", "rank_down").drop("value")
 
 
 HARD = """SELECT 'f' AS factor, date, instrument,
