@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources.store import PanelStore
+from tidemark.sources.versions import VersionedStore
 
 
 def _with_watermark(ticks: DataFrame, delay: str) -> DataFrame:
@@ -83,8 +84,14 @@ def upsert_stream(bars: DataFrame, store: PanelStore, table: str, checkpoint: st
     """Write a stream of keyed rows into the store; a batch that is run again overwrites its own keys.
 
     Progress is kept in ``checkpoint``, so a restarted query continues after the last
-    finished batch.
+    finished batch. A versioned store takes each batch of a checkpoint once and writes no more than its rows.
     """
-    writer = bars.writeStream.foreachBatch(lambda batch, _: store.write(table, batch))
+    def deliver(batch: DataFrame, number: int) -> None:
+        if isinstance(store, VersionedStore):
+            store.write(table, batch, token=f"{checkpoint}#{number}")
+        else:
+            store.write(table, batch)
+
+    writer = bars.writeStream.foreachBatch(deliver)
     writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import adjust, changes, features, quality, reconcile
 from tidemark.operators.export import dense_vectors
 from tidemark.sources import exchange, lists, vendor
-from tidemark.session import intermediate_folder
+from tidemark.session import intermediate_folder, store_intermediate
 from tidemark.sources.store import PanelStore, latest_rows, scan
+from tidemark.sources.versions import VersionedTable
 from workload.registry import query
 from workload.tables import Tables
 
@@ -76,6 +77,28 @@ def store_reference_roundtrip(t: Tables) -> DataFrame:
     return store.read("instrument").drop("list_date")
 
 
+BATCHES = 20
+BATCH_OF = "(trade_count * 7 + month(date) + CAST(right(symbol, 2) AS INTEGER)) % 20"
+#: A row comes in its own batch, and again, dearer by 1, in every fifth one after that.
+DELIVERED = f"""SELECT symbol, date, close + (CAST({{upto}} AS INTEGER) - 1 - b) // 5 AS close, b + 5 * ((CAST({{upto}} AS INTEGER) - 1 - b) // 5) AS batch
+FROM (SELECT *, {BATCH_OF} AS b FROM v_bars) WHERE b < {{upto}}"""
+
+
+@query("store_versions", f"""
+SELECT 'two back' AS state, symbol, date, round(close, 6) + 0.0 AS close, batch FROM ({DELIVERED.format(upto=BATCHES - 2)})
+UNION ALL SELECT 'compacted', symbol, date, round(close, 6) + 0.0, batch FROM ({DELIVERED.format(upto=BATCHES)})""")
+def store_versions(t: Tables) -> DataFrame:
+    """Twenty deliveries, most rows in several of them; the state two versions back, and the newest after compaction."""
+    rows = store_intermediate(t.bars.select("symbol", "date", "close", F.expr(BATCH_OF).alias("first")), "deliveries")
+    table = VersionedTable(t.spark, f"{intermediate_folder(t.spark)}/versions-{uuid.uuid4().hex}", ["symbol", "date"], buckets=4)
+    for batch in range(BATCHES):
+        due = rows.where((F.col("first") <= batch) & ((batch - F.col("first")) % 5 == 0))
+        table.upsert(due.select("symbol", "date", (F.col("close") + F.floor((batch - F.col("first")) / 5)).alias("close"), F.lit(batch).alias("batch")))
+    newest = table.latest()
+    table.compact()
+    return table.read(newest - 2).withColumn("state", F.lit("two back")).unionByName(table.read().withColumn("state", F.lit("compacted")))
+
+
 @query("sql_group_latest", f"""
 SELECT market, symbol, max(date) AS last_date, {d('arg_max(close, date)', 'last_close')}, count(*) AS n
 FROM v_bars GROUP BY market, symbol""")
