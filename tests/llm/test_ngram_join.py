@@ -40,7 +40,6 @@ def test_large_groups_of_near_copies(spark, monkeypatch, width, percent):
     """Long lists, blocks of several parts and groups that are linked only through others."""
     monkeypatch.setattr(ngram_join, "SMALL_LIST", 6)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "LEADERS", 2)
     base, line = prose(3, 150), prose(4, 12)
     texts = [(i, " ".join(edited(base, i, i % 9))) for i in range(90)]
     texts += [(200 + i, " ".join(line + prose(300 + i, 25))) for i in range(60)]
@@ -78,3 +77,21 @@ def test_one_row_of_each_group_stays(spark):
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert result(ngram_groups(empty)) == [] and drop_near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("edits, percent", [(4, 80), (9, 70)])
+def test_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch, edits, percent):
+    """Near copies of one text, far enough from each other (9 edits) that copies link with the text alone."""
+    base, counted = prose(31, 300, 4000), {}
+    stored = ngram_join.stored
+
+    def counting(df, label):
+        out = stored(df, label)
+        counted[label] = counted.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    texts = [(i, " ".join(edited(base, 100 + i, edits if i else 0))) for i in range(500)]
+    groups = {r.component_id for r in ngram_groups(documents(spark, texts), 5, percent).collect()}
+    assert groups == {0}
+    assert counted["near"] + counted["pairs"] < 12 * len(texts)

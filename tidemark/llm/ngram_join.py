@@ -12,7 +12,7 @@ from tidemark.llm.wordhash import U, chain, mix, words_of
 
 SMALL_LIST = 64  # documents of an n-gram that are paired one by one
 BLOCK = 256  # documents of one side of a block of the product
-LEADERS = 8  # documents of a long list that the whole list is held against first
+MOST_BITS = 1 << 15  # of a set's bitmap
 FREQUENT = 200_000  # n-grams put last in the order; only speed hangs on them
 BROADCAST_IDS = 500_000
 
@@ -38,13 +38,13 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     Method: the product of the document by n-gram incidence with its transpose, never whole.
     Equal sets are one row of it. Sets of sizes a <= b can link only if a >= s b and if they share one
     of the first (1 - s) n + 1 n-grams of any fixed order, so only these columns of a row are
-    multiplied (frequent n-grams last, the rest by hash). Overlaps are accumulated per pair for n-grams
-    of up to 64 documents. A longer list is first held against a few of its documents;
-    what that leaves in several groups is multiplied block by block, rows of its largest
-    group among themselves excepted. Every block and pair is cut by a bound from the sizes
-    (the parity bitmap of a set differs in no more bits than the sets in elements) and the rest
-    is verified on whole sets. Groups need one link per member: the nearest partner of
-    each document is verified first, then all pairs that still lie between groups.
+    multiplied (frequent n-grams last, the rest by hash); the documents of a column are a list. Groups need one link per
+    member, so lists are first held against one document each (the one that a hash puts first, which is the same one in
+    most lists of a group), then against that one's nearest partner. Only lists that still hold several groups are
+    multiplied: up to 64 documents pair by pair between groups, with overlaps accumulated over all lists, longer ones
+    block by block, documents of a list's largest group among themselves excepted. Every pair is cut by a bound from the
+    sizes (the parity bitmap of a set differs in no more bits than the sets in elements) and the rest
+    is verified on whole sets, for each document its nearest partner before the others.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -65,22 +65,33 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     bits = stored(once(facts.select("rid", "bits").join(lists.select(F.col("node").alias("rid")).distinct(), "rid"))
                   .withColumnRenamed("rid", "node"), "bits")
 
-    pairs = stored(_able_pairs(lists, percent), "able")
-    left, right = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
-    near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "a_bits", "b_bits")
-                  .mapInArrow(_bounded_pairs(percent), "a long, b long, apart int"), "near")
-    ends = near.select(F.col("a").alias("v"), F.struct("apart", "b").alias("to")).union(
-        near.select(F.col("b").alias("v"), F.struct("apart", F.col("a").alias("b")).alias("to")))
-    best = ends.groupBy("v").agg(F.min("to").alias("to")).select(
-        F.least("v", "to.b").alias("a"), F.greatest("v", "to.b").alias("b")).distinct()
-    first = _verified(rows, once, best, width, percent)
-    groups = components(first)
-
-    open_pairs = _between(near.select("a", "b"), groups)
-    open_cells = _cells(lists, bits, groups).groupBy("token", "i", "j").applyInArrow(
-        _bounded_block(percent), "a long, b long").distinct()
-    second = _verified(rows, once, _between(open_pairs.union(open_cells).distinct(), groups), width, percent)
-    groups = components(first.union(second))
+    verified = lambda pairs: _verified(rows, once, pairs, width, percent)
+    bounded = lambda pairs: _bounded(pairs, bits, percent)
+
+    lead = stored(lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l")).select(
+        "token", F.col("l.node").alias("x"), F.col("l.n").alias("nx")), "leaders")
+    near = stored(bounded(_pairs(lists.join(lead, "token"), percent).distinct()), "near")
+    groups = _united(None, verified(near.select("a", "b")))
+
+    ends = near.select(F.col("a").alias("x"), "apart", F.col("b").alias("y"), F.col("nb").alias("ny")).union(
+        near.select("b", "apart", "a", "na"))
+    best = ends.groupBy("x").agg(F.min(F.struct("apart", "y", "ny")).alias("to")).select("x", F.col("to.y").alias("y"), F.col("to.ny").alias("ny"))
+    seconds = lead.join(best, "x").select("token", F.col("y").alias("x"), F.col("ny").alias("nx"))
+    more = _between(_pairs(_open(lists, groups).join(seconds, "token"), percent).distinct(), groups)
+    again = stored(bounded(more.join(near.select("a", "b"), ["a", "b"], "left_anti")), "near")
+    groups = _united(groups, verified(again.select("a", "b")))
+
+    left = stored(_open(lists, groups), "open")
+    if not left.isEmpty():
+        near = bounded(_able_pairs(left, percent)).select("a", "b", "apart")
+        near = stored(near.union(_cells(left, bits).groupBy("token", "i", "j").applyInArrow(
+            _bounded_block(percent), "a long, b long, apart int")).distinct(), "near")
+        ends = near.select(F.col("a").alias("v"), F.struct("apart", "b").alias("to")).union(
+            near.select(F.col("b").alias("v"), F.struct("apart", F.col("a").alias("b")).alias("to")))
+        best = ends.groupBy("v").agg(F.min("to").alias("to")).select(
+            F.least("v", "to.b").alias("a"), F.greatest("v", "to.b").alias("b")).distinct()
+        groups = _united(groups, verified(best))
+        groups = _united(groups, verified(_between(near, groups).select("a", "b")))
 
     labelled = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
@@ -162,9 +173,9 @@ def _needed(na, nb, percent: int):
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    """Parity of the number of elements at each of 4 n or more places (a power of two)."""
-    size = 1 << max(8, int(len(values) * 4 - 1).bit_length())
-    odd = np.bincount((values >> U(5)).astype(np.int64) & (min(size, 1 << 17) - 1), minlength=min(size, 1 << 17)) & 1
+    """Parity of the number of elements at each of 4 n or more places (a power of two, MOST_BITS at most)."""
+    size = min(1 << max(8, int(len(values) * 4 - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((values >> U(5)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -198,41 +209,60 @@ def _incidence(width: int, percent: int, frequent: np.ndarray):
     return run
 
 
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) from rows of lists that meet a document x, as far as the sizes allow a link."""
+    met = met.where(f"node <> x and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
+    first = F.col("node") < F.col("x")
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"),
+                      F.when(first, F.col("n")).otherwise(F.col("nx")).alias("na"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("nb"))
+
+
+def _united(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after ``links``; of ``groups`` only the components that they join are walked again."""
+    if groups is None:
+        return components(links)
+    joins = stored(_between(links, groups).select("ga", "gb").distinct(), "joins")
+    if joins.isEmpty():
+        return groups
+    over = components(joins.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    kept = groups.join(over.select(F.col("id").alias("component"), F.col("component").alias("over")), "component", "left").select(
+        "id", F.coalesce("over", "component").alias("component"))
+    return stored(kept.union(over.join(groups, "id", "left_anti").select("id", "component")), "groups")
+
+
+def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists that hold several groups, with the group of each row."""
+    rows = lists.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    several = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
+    return rows.join(several, "token")
+
+
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bound on their bitmaps leaves, with the number of bits they are apart."""
+    left, right = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "a_bits", "b_bits").mapInArrow(
+        _bounded_pairs(percent), "a long, b long, na int, nb int, apart int")
+
+
 def _able_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): pairs that share an n-gram of their heads and whose sizes leave room for the overlap they need.
+    """(a, b, na, nb): pairs of different groups that share a short list and whose sizes leave room for the overlap they need.
 
     Overlaps are accumulated over the short lists. In the common order, whatever else two sets share is
-    behind the last n-gram counted, or in a long list: that bounds the overlap. Pairs with
-    a leader of a long list are not bounded.
+    behind the last n-gram counted, or in a long list: that bounds the overlap.
     """
-    pairs = _small_pairs(lists, percent).union(_leader_pairs(lists, percent)).groupBy("a", "b").agg(
-        F.min("na").alias("na"), F.min("nb").alias("nb"), F.count("pa").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"),
-        F.count_if(F.col("pa").isNull()).alias("led"))
+    short = lists.where(F.col("docs") <= SMALL_LIST)
+    x, y = (short.select("token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("place").alias(f"p{e}"), F.col("group").alias(f"g{e}")) for e in "ab")
+    able = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    met = x.join(y.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & able)
+    pairs = met.groupBy("a", "b").agg(
+        F.min("na").alias("na"), F.min("nb").alias("nb"), F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     long = stored(lists.where(F.col("docs") > SMALL_LIST).groupBy("node").agg(F.count("*").alias("more")), "long")
     for end in "ab":
         pairs = pairs.join(long.select(F.col("node").alias(end), F.col("more").alias(f"m{end}")), end, "left")
     room = F.col("common") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) + F.least(
         F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return pairs.where((F.col("led") > 0) | (room >= needed)).select("a", "b", "na", "nb")
-
-
-def _small_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    short = lists.where(F.col("docs") <= SMALL_LIST)
-    x, y = (short.select("token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("place").alias(f"p{e}")) for e in "ab")
-    return x.join(y, "token").where(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "pa", "pb")
-
-
-def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Every document of a long list with the few that a hash picks in it."""
-    long = lists.where(F.col("docs") > SMALL_LIST)
-    lead = long.where(F.pmod(F.xxhash64("node", "token"), F.col("docs")) < LEADERS).select(
-        "token", F.col("node").alias("x"), F.col("n").alias("nx"))
-    met = long.join(lead, "token").where(f"node <> x and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"),
-                      F.when(F.col("node") < F.col("x"), F.col("n")).otherwise(F.col("nx")).alias("na"),
-                      F.when(F.col("node") < F.col("x"), F.col("nx")).otherwise(F.col("n")).alias("nb"),
-                      F.lit(None).cast("int").alias("pa"), F.lit(None).cast("int").alias("pb"))
+    return pairs.where(room >= needed).select("a", "b", "na", "nb")
 
 
 def _folded(raw: bytes, size: int) -> np.ndarray:
@@ -246,7 +276,7 @@ def _most_apart(na, nb, percent: int):
 
 def _bounded_pairs(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             na, nb = np.asarray(batch.column(2)).astype(np.int64), np.asarray(batch.column(3)).astype(np.int64)
             apart = np.zeros(len(na), np.int32)
             for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
@@ -255,24 +285,24 @@ def _bounded_pairs(percent: int):
                 apart[k] = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
             keep = pa.array(np.flatnonzero(apart <= _most_apart(na, nb, percent)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(apart).take(keep)], ["a", "b", "apart"])
+                [*(batch.column(c).take(keep) for c in range(4)), pa.array(apart).take(keep)], ["a", "b", "na", "nb", "apart"])
     return run
 
 
 def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different groups."""
+    """The pairs whose ends lie in different groups, with these as ga and gb."""
     x = groups.select(F.col("id").alias("a"), F.col("component").alias("ga"))
     y = groups.select(F.col("id").alias("b"), F.col("component").alias("gb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")
+    both = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ga": F.coalesce("ga", "a"), "gb": F.coalesce("gb", "b")})
+    return both.where("ga <> gb").select(*pairs.columns, "ga", "gb")
 
 
-def _cells(lists: DataFrame, bits: DataFrame, groups: DataFrame) -> DataFrame:
-    """Blocks of the product for long lists that still hold several groups.
+def _cells(lists: DataFrame, bits: DataFrame) -> DataFrame:
+    """Blocks of the product for long lists.
 
     Rows outside the list's largest group meet all rows; rows of that group meet only the others.
     """
-    long = lists.where(F.col("docs") > SMALL_LIST).join(groups.withColumnRenamed("id", "node"), "node", "left").select(
-        "token", "node", "n", "docs", F.coalesce("component", "node").alias("group"))
+    long = lists.where(F.col("docs") > SMALL_LIST).select("token", "node", "n", "docs", "group")
     sizes = long.groupBy("token", "group").agg(F.count("*").alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "group")).alias("main"), F.sum("size").alias("docs"))
     main = main.where("main.size < docs").select("token", F.col("main.group").alias("main"), (F.col("docs") - F.col("main.size")).alias("others"))
@@ -290,31 +320,30 @@ def _cells(lists: DataFrame, bits: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _bounded_block(percent: int):
-    """The pairs of one block that the size bound leaves; bitmaps are multiplied as 0/1 matrices."""
+    """The pairs of one block that the size bound leaves; a row's bitmap is held against those of the other side."""
     def run(key, block):
         i, j = key[1].as_py(), key[2].as_py()
         own = np.asarray(block["own"])
         node, n, group = (np.asarray(block[c]).astype(np.int64) for c in ("node", "n", "group"))
         raw = block["bits"].to_pylist()
-        found_a, found_b = [], []
+        sizes = np.array([len(r) for r in raw])
+        found_a, found_b, found_apart = [node[:0]], [node[:0]], [np.zeros(0, np.int64)]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for a_size in sorted({len(raw[k]) for k in left}):
-            a = left[[len(raw[k]) == a_size for k in left]]
-            for b_size in sorted({len(raw[k]) for k in right}):
-                b = right[[len(raw[k]) == b_size for k in right]]
-                able = 100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b])
-                if not able.any():
-                    continue
-                size = min(a_size, b_size)
-                x, y = (np.unpackbits(np.stack([_folded(raw[k], size) for k in part]), axis=1).astype(np.float32) for part in (a, b))
-                apart = x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
-                hit = able & (apart <= _most_apart(n[a][:, None], n[b], percent)) & (group[a][:, None] != group[b])
-                p, q = np.nonzero(hit)
-                found_a.append(node[a[p]])
-                found_b.append(node[b[q]])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        for a_size in np.unique(sizes[left]):
+            for b_size in np.unique(sizes[right]):
+                a, b, size = left[sizes[left] == a_size], right[sizes[right] == b_size], int(min(a_size, b_size))
+                y = np.stack([_folded(raw[k], size) for k in b]).view(U)
+                for k in a:
+                    able = (100 * np.minimum(n[k], n[b]) >= percent * np.maximum(n[k], n[b])) & (group[k] != group[b])
+                    if able.any():
+                        at = b[able]
+                        apart = np.bitwise_count(y[able] ^ _folded(raw[k], size).view(U)).sum(axis=1, dtype=np.int64)
+                        hit = apart <= _most_apart(n[k], n[at], percent)
+                        found_a.append(np.full(int(hit.sum()), node[k]))
+                        found_b.append(node[at[hit]])
+                        found_apart.append(apart[hit])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": np.concatenate(found_apart).astype(np.int32)})
     return run
 
 
