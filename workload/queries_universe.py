@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import char_ngram_tf, cosine_of_pairs, strip_think
 from tidemark.operators import listing, universe
 from tidemark.operators.calendar import calendar
+from tidemark.operators.similar import ngram_links
 from tidemark.streaming import bars as streaming
 from workload.queries_bars import d
 from workload.registry import query
@@ -271,3 +272,16 @@ def ngram_similar_pairs(t: Tables) -> DataFrame:
     return cosine_of_pairs(pairs, vectors, "id", "next_id", "id").where(F.col("cosine") >= 0.75).select(
         "conv_id", "turn", "cosine"
     )
+
+
+@query("ngram_near_pairs", f"""
+WITH g AS ({_grams(TURNS, 'id')}),
+s AS (SELECT id, sum(tf * tf)::DOUBLE AS sq FROM g GROUP BY id),
+c AS (SELECT a.id AS l, b.id AS r, sum(a.tf * b.tf)::DOUBLE AS dot FROM g a JOIN g b ON a.bucket = b.bucket AND a.id < b.id GROUP BY ALL),
+p AS (SELECT l, r, dot / sqrt(x.sq * y.sq) AS cosine FROM c JOIN s x ON x.id = l JOIN s y ON y.id = r WHERE dot / sqrt(x.sq * y.sq) >= 0.9),
+e AS (SELECT l AS id, cosine FROM p UNION ALL SELECT r, cosine FROM p)
+SELECT s.id, count(cosine) AS n_links, {d('max(cosine)', 'nearest')} FROM s LEFT JOIN e USING (id) GROUP BY s.id""")
+def ngram_near_pairs(t: Tables) -> DataFrame:
+    """Every turn against every other one: how many are close to it, and how close the closest is."""
+    turns = t.raw("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    return ngram_links(turns, "id", "text", 0.9)[0]
