@@ -153,8 +153,11 @@ class TextEncoder:
 
 def _blank(body: np.ndarray) -> np.ndarray:
     """Which bytes belong to a white space character of Unicode."""
-    out = np.isin(body, np.array([9, 10, 11, 12, 13, 32], np.uint8))
-    lead = np.flatnonzero((body == 0xC2) | (body == 0xE1) | (body == 0xE2) | (body == 0xE3))
+    kind = np.zeros(256, np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]], kind[[0xC2, 0xE1, 0xE2, 0xE3]] = 1, 2
+    kinds = kind[body]
+    out = kinds == 1
+    lead = np.flatnonzero(kinds == 2)
     if len(lead):
         one, two = body[np.minimum(lead + 1, len(body) - 1)], body[np.minimum(lead + 2, len(body) - 1)]
         short = (body[lead] == 0xC2) & ((one == 0x85) | (one == 0xA0))
