@@ -106,6 +106,30 @@ def test_chunks_cover_the_whole_text():
     assert np.allclose(whole, score_texts(net, [long, long[:10]], at_once=500), atol=1e-6)
 
 
+def test_every_byte_counts_and_scores_equal_a_direct_convolution():
+    net = Net.fresh(4)
+    r = np.random.default_rng(5)
+    for n in (1, 7, 8, 9, 100, 101, 510, 511, 512, 513, 1500):
+        body = r.integers(32, 120, n).astype(np.uint8)
+        other = body.copy()
+        other[-1] = 0 if n < 3 else (body[-1] + 37) % 90 + 32
+        assert score_texts(net, [body])[0] != score_texts(net, [other])[0], n
+        best = np.full(quality_net.UNITS, 0.0)
+        starts = [0] if n <= CHUNK else [*range(0, n - CHUNK, quality_net.STEP), n - CHUNK]
+        for s in starts:
+            chunk = np.zeros(CHUNK, np.uint8)
+            chunk[:min(n, CHUNK)] = body[s:s + CHUNK]
+            seen = []
+            for at in range(0, CHUNK - quality_net.WIDTH + 1, quality_net.STRIDE):
+                if at == 0 or s + at + quality_net.WIDTH - quality_net.STRIDE < n:  # a place that looks at a new byte of the text
+                    window = np.concatenate([quality_net.CODES[b] for b in chunk[at:at + quality_net.WIDTH]]).astype(np.float64)
+                    seen.append(np.maximum(window @ net.filters + net.filter_bias, 0))
+            seen = np.array(seen)
+            pooled = np.concatenate([seen.mean(axis=0), np.sqrt((seen ** 2).mean(axis=0) + 1e-6)])
+            best = np.maximum(best, np.maximum(pooled @ net.units + net.unit_bias, 0))
+        assert abs(score_texts(net, [body])[0] - 1 / (1 + np.exp(-(best @ net.last + net.last_bias[0])))) < 1e-5, n
+
+
 def test_gradients():
     net = Net(*(v.astype(np.float64) for v in Net.fresh(3).values()))
     r = np.random.default_rng(1)

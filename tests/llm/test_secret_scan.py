@@ -39,7 +39,7 @@ def test_novel_strings_are_those_nothing_explains():
     assert find_spans("plain words then " + KEY) == []  # no sensitive word near it
     assert find_spans("the private key of authentication_configuration_service1") == []
     known = f"use {KEY} as shown; the credential is {KEY}"
-    assert len(find_spans(known)) == 0  # explained by what stands around it
+    assert [k for *_, k in find_spans(known)] == ["novel", "novel"]  # a copy explains nothing
     assert marginal_bytes(KEY, "") > 0.7 * len(KEY) > marginal_bytes(KEY, "x" + KEY)
     assert find_spans("signature: " + "xyz123" * 8) == []
 

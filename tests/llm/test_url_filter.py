@@ -19,7 +19,7 @@ def fitting(host, path, rules):
     return max(fits, key=lambda r: len(r.text), default=None)
 
 
-def by_hand(pages, rules, rounds=8, damping=0.85, least=1e-6):
+def by_hand(pages, rules, rounds=8, damping=0.85, least=0.01):
     rows = [(i, *split(u), h) for i, u, h in pages]
     links, good, bad = {}, {}, {}
     for _, host, path, html in rows:
@@ -36,14 +36,14 @@ def by_hand(pages, rules, rounds=8, damping=0.85, least=1e-6):
         total = {}
         for (a, _), n in edges.items():
             total[a] = total.get(a, 0) + n
-        start = {h: (1 - damping) * n / sum(seeds.values()) for h, n in seeds.items()}
-        at, got = dict(start), {}
+        start = {h: (1 - damping) * n for h, n in seeds.items()}
+        at = dict(start)
         for _ in range(rounds):
             got = {}
             for (a, b), n in edges.items():
                 got[b] = got.get(b, 0) + damping * at.get(a, 0) * n / total[a]
             at = {h: got.get(h, 0) + start.get(h, 0) for h in {*got, *start}}
-        return got
+        return {h: round(x, 9) for h, x in at.items()}
 
     trust, distrust = spread(good, links), spread(bad, {(b, a): n for (a, b), n in links.items()})
     out = []
@@ -102,3 +102,16 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(*p, "h", "t") for p in PAGES], SCHEMA)
     plan = judge_urls(df, URL_RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_unrelated_pages_change_no_verdict_and_helper_names_may_clash(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(*p, "h", "t") for p in PAGES], SCHEMA).withColumn("ruled", F.lit("mine"))
+    alone = judge_urls(df, URL_RULES)
+    assert {r.ruled for r in alone.collect()} == {"mine"}
+    more = spark.range(200_000).select(
+        (F.col("id") + 1000).alias("page_id"), F.concat(F.lit("http://u"), F.col("id") % 5000, F.lit(".com/"), F.when(F.col("id") % 3 == 0, "fr").otherwise("de"), F.lit("/x")).alias("url"),
+        F.concat(F.lit('<a href="http://u'), F.col("id") % 4999, F.lit('.com/">')).alias("html"), F.lit("h").alias("host"), F.lit("t").alias("trust"), F.lit("mine").alias("ruled"))
+    both = judge_urls(df.union(more), URL_RULES)
+    assert result(both.where("coalesce(page_id, 0) < 1000")) == result(alone)

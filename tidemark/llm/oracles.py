@@ -131,12 +131,11 @@ edges AS (
 counts AS (
   SELECT host, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM ruled WHERE host <> '' GROUP BY host),
 seeds AS (
-  SELECT host, a / greatest((SELECT sum(a) FROM counts), 1) AS trusted, b / greatest((SELECT sum(b) FROM counts), 1) AS blocked
-  FROM counts WHERE a + b > 0),
+  SELECT host, a AS trusted, b AS blocked FROM counts WHERE a + b > 0),
 {", ".join(steps)}
 SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE
-  WHEN coalesce(distrust, 0) >= {least_distrust} AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled LEFT JOIN got{rounds - 1} g ON ruled.host = g.host
+  WHEN round(coalesce(distrust, 0), 9) >= {least_distrust} AND round(coalesce(distrust, 0), 9) > round(coalesce(trust, 0), 9) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN at{rounds} g ON ruled.host = g.host
 """
 
 

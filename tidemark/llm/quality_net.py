@@ -17,7 +17,8 @@ CHUNK, STEP = 512, 448  # bytes of a chunk; neighbours overlap by 64
 WIDTH, STRIDE, CODE = 8, 2, 8  # bytes a filter sees, its stride, numbers that code a byte
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 FILTERS, UNITS = 16, 24
-MOST_ROWS, MOST_CHUNKS = 2000, 24  # bounds of the learning sample: rows, and chunks of a row
+MOST_ROWS = 2000  # bound of the learning sample
+AT_ONCE = 256  # chunks that are looked at together
 
 
 def _byte_codes() -> np.ndarray:
@@ -65,7 +66,7 @@ def cut_chunks(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n <= CHUNK:
         chunk = np.zeros((1, CHUNK), np.uint8)
         chunk[0, :n] = body
-        return chunk, np.array([max(1, (n - WIDTH) // STRIDE + 1)])
+        return chunk, np.array([max(1, -((WIDTH - n) // STRIDE) + 1)])  # rounded up: the last filter place may look at fill
     starts = np.append(np.arange(0, n - CHUNK, STEP), n - CHUNK)
     return np.lib.stride_tricks.sliding_window_view(body, CHUNK)[starts], np.full(len(starts), PLACES)
 
@@ -90,7 +91,7 @@ def _chunk_units(net: Net, chunks: np.ndarray, places: np.ndarray, keep: dict |
     return np.maximum(raw, 0)
 
 
-def score_texts(net: Net, bodies: list[np.ndarray], at_once: int = 256) -> np.ndarray:
+def score_texts(net: Net, bodies: list[np.ndarray], at_once: int = AT_ONCE) -> np.ndarray:
     """The probability of label 1 for each text; any text is read whole, ``at_once`` chunks at a time."""
     best = np.zeros((len(bodies), UNITS), np.float32)
     waiting, owner, places = [], [], []
@@ -117,7 +118,11 @@ def score_texts(net: Net, bodies: list[np.ndarray], at_once: int = 256) -> np.nd
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 10, seed: int = 7, rate: float = 0.004) -> Net:
-    """Fit by Adam on the logistic loss; both labels weigh the same. ``samples``: chunks and places of each row."""
+    """Fit by Adam on the logistic loss; both labels weigh the same. ``samples``: chunks and places of each row.
+
+    A step sees all chunks of its rows: a row's gradient comes from the chunks that hold a unit's maximum,
+    and only these, one a unit at most, are kept.
+    """
     net, r = Net.fresh(seed), np.random.default_rng(seed)
     first, second = ([np.zeros_like(v) for v in net.values()] for _ in range(2))
     weight = np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9))
@@ -129,7 +134,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
             parts = []
             for k in rows:
                 chunks, places = samples[k]
-                some = r.permutation(len(chunks))[:8]
+                some = _winning(net, chunks, places)
                 parts.append((chunks[some], places[some]))
             owner = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
             grads = _gradients(net, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), owner, labels[rows], weight[rows])
@@ -141,6 +146,14 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
     return net
 
 
+def _winning(net: Net, chunks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The chunks that hold the maximum of a unit."""
+    if len(chunks) <= 4:
+        return np.arange(len(chunks))
+    units = [_chunk_units(net, chunks[i:i + AT_ONCE], places[i:i + AT_ONCE]) for i in range(0, len(chunks), AT_ONCE)]
+    return np.unique(np.concatenate(units).argmax(axis=0))
+
+
 def _gradients(net: Net, chunks, places, owner, labels, weight) -> list[np.ndarray]:
     keep: dict = {}
     units = _chunk_units(net, chunks, places, keep)
@@ -159,35 +172,27 @@ def _gradients(net: Net, chunks, places, owner, labels, weight) -> list[np.ndarr
     return [keep["seen"].T @ flat, flat.sum(axis=0), keep["pooled"].T @ d_raw, d_raw.sum(axis=0), best.T @ d, d.sum(keepdims=True)]
 
 
-def fit_quality_net(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_chunks: int = MOST_CHUNKS) -> Net | None:
-    """Learn from at most ``most_rows`` labelled rows that are not held out, ``most_chunks`` chunks spread over each text.
+def fit_quality_net(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Net | None:
+    """Learn from the whole texts of at most ``most_rows`` labelled rows that are not held out.
 
     Without rows of both labels there is no model (None).
     """
     ship(docs.sparkSession)
 
-    def chunks_of(batches):
+    def bodies_of(batches):
         for batch in batches:
             body, borders = text_buffer(batch.column(1))
-            data, places = [], []
+            data = []
             for a, b in zip(borders[:-1], borders[1:]):
-                chunks, n = cut_chunks(body[a:b])
-                some = np.unique(np.linspace(0, len(chunks) - 1, min(most_chunks, len(chunks))).astype(int))
-                data.append(chunks[some].tobytes())
-                places.append(int(n[0]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(data, pa.binary()), pa.array(places, pa.int32())], ["doc_id", "quality", "chunks", "places"])
-
-    rows = learning_rows(docs, labels, most_rows).mapInArrow(chunks_of, "doc_id long, quality int, chunks binary, places int").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["chunks"]))
+                data.append(body[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], ["doc_id", "quality", "body"])
+
+    rows = learning_rows(docs, labels, most_rows).mapInArrow(bodies_of, "doc_id long, quality int, body binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["body"]))
     quality = np.array([r["quality"] for r in rows])
     if len(set(quality.tolist())) < 2:
         return None
-    samples = []
-    for r in rows:
-        chunks = np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK)
-        samples.append((chunks, np.full(len(chunks), r["places"])))
-    return train(samples, quality)
+    return train([cut_chunks(np.frombuffer(r["body"], np.uint8)) for r in rows], quality)
 
 
 def score_quality(docs: DataFrame, net: Net | None) -> DataFrame:

@@ -185,5 +185,5 @@ ORACLES.update({
     "op2_source_mixing": oracles.mixing(MIX_LEVELS, MIX_WEIGHTS, percent=60, epochs=2, seed=17),
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_ngram_jaccard_join": oracles.NGRAM_JOIN,
-    "op9_url_filter": oracles.url_filter(URL_RULES, rounds=8, damping=0.85, least_distrust=1e-6),
+    "op9_url_filter": oracles.url_filter(URL_RULES, rounds=8, damping=0.85, least_distrust=0.01),
 })

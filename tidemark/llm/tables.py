@@ -29,6 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores in front as make it none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import stored
+from tidemark.llm.tables import stored, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -58,11 +58,12 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread_trust(links: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(host, trust, distrust) that ``rounds`` rounds carry to a host from others; hosts that get none are left out.
+    """(host, trust, distrust) after ``rounds`` rounds; hosts that have none are left out.
 
-    ``seeds`` has host, trusted, blocked (each column adds up to 1 or is 0). Trust follows
-    links, shared out over a host's links; distrust goes back from a linked host to those that link to it,
-    shared out over them. A seed's own start is not part of its result. Hosts without links
+    ``seeds`` has host, trusted, blocked: numbers of pages. Personalised PageRank, multiplied by the number of seeds, so
+    that a host's score hangs on the seeds it has a path to and not on how many others there are: each round a host has 1 -
+    ``damping`` of its own seeds and what comes in over links. Trust follows links, shared out over a host's links; distrust
+    goes back from a linked host to those that link to it, shared out over them. Hosts without links
     onwards lose what they would pass on. Each second round is written to the shared folder.
     """
     out_total = links.groupBy("source").agg(F.sum("links").alias("total"))
@@ -75,7 +76,6 @@ def spread_trust(links: DataFrame, seeds: DataFrame, rounds: int, damping: float
     seeds = stored(seeds, "host-seeds")
     keep = 1.0 - damping
     at = seeds.select("host", (keep * F.col("trusted")).alias("trust"), (keep * F.col("blocked")).alias("distrust"))
-    got = None
     for r in range(rounds):
         got = edges.join(at.withColumnRenamed("host", "frm"), "frm").groupBy(F.col("to").alias("host")).agg(
             F.sum(damping * F.col("trust") * F.col("t")).alias("trust"), F.sum(damping * F.col("distrust") * F.col("d")).alias("distrust"))
@@ -84,36 +84,30 @@ def spread_trust(links: DataFrame, seeds: DataFrame, rounds: int, damping: float
         at = got.join(seeds, "host", "full").select(
             "host", (F.coalesce("trust", F.lit(0.0)) + keep * F.coalesce("trusted", F.lit(0.0))).alias("trust"),
             (F.coalesce("distrust", F.lit(0.0)) + keep * F.coalesce("blocked", F.lit(0.0))).alias("distrust"))
-    return got
+    return at
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], rounds: int = 8, damping: float = 0.85, least_distrust: float = 1e-6) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], rounds: int = 8, damping: float = 0.85, least_distrust: float = 0.01) -> DataFrame:
     """Add host, path, rule, trust, distrust and verdict to ``pages`` (page_id, url, html and others; columns of these names are replaced).
 
     A rule's verdict holds where one fits (the longest). Elsewhere the host decides: it is blocked
-    if the distrust that reaches it is at least ``least_distrust`` and greater than its trust.
-    Seeds are hosts in proportion to their pages that a rule allows (trusted) or blocks (blocked).
-    Null html has no links, a null or broken url the host '' without trust. Repeated pages count
+    if its distrust is at least ``least_distrust`` and greater than its trust (both to nine decimals).
+    Seeds are hosts with the number of their pages that a rule allows (trusted) or blocks (blocked), own seeds
+    included, so pages elsewhere do not change a verdict. Null html has no links, a null or broken url the host '' without trust. Repeated pages count
     as often as they stand there. Native DataFrame functions only; shuffled are one row a task for each
     pair of linked hosts and, for the verdict, the pages without their html.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "trust", "distrust", "verdict")]
     pages = with_host_and_path(pages.select(names))
     text, verdict = fitting_rule(rules)
-    ruled = pages.withColumn("rule", text).withColumn("ruled", verdict)
+    own = unused("ruled", names)
+    ruled = pages.withColumn("rule", text).withColumn(own, verdict)
     links = stored(host_links(pages), "host-links")
-    if links.isEmpty():  # nothing to spread over
-        return ruled.select(*names, "host", "path", "rule", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"),
-                            F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    counts = ruled.where("host <> ''").groupBy("host").agg(
-        F.count_if(F.col("ruled") == "allow").alias("trusted"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    counts = stored(counts.where("trusted + blocked > 0"), "host-counts")
-    total = counts.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
-    seeds = counts.select("host", (F.col("trusted") / F.lit(float(total.t or 0) or 1.0)).alias("trusted"),
-                          (F.col("blocked") / F.lit(float(total.b or 0) or 1.0)).alias("blocked"))
-    scores = spread_trust(links, seeds, rounds, damping)
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    seeds = ruled.where("host <> ''").groupBy("host").agg(
+        F.count_if(F.col(own) == "allow").alias("trusted"), F.count_if(F.col(own) == "block").alias("blocked")).where("trusted + blocked > 0")
+    scores = spread_trust(links, seeds, 0 if links.isEmpty() else rounds, damping)
+    trust, distrust = (F.round(F.coalesce(c, F.lit(0.0)), 9) for c in ("trust", "distrust"))
     bad = (distrust >= least_distrust) & (distrust > trust)
     return ruled.join(scores, "host", "left").select(
         *names, "host", "path", "rule", trust.alias("trust"), distrust.alias("distrust"),
-        F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"))
+        F.coalesce(own, F.when(bad, "block").otherwise("allow")).alias("verdict"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tables import components, ship, stored
 
-CELL = 2000  # vectors a cell should get
+CELL = 32  # vectors a cell should get at least; else the root of its label's
 BLOCK = 4000  # vectors on either side of one block of a cell
 STRIPE = 512  # rows of a block that are multiplied at a time
 MOST_PIVOTS = 2000  # of all labels; bounds the pivot table, larger cells are split into more blocks
@@ -83,12 +83,13 @@ def vector_groups(vectors: DataFrame, least_cosine: float = 0.93) -> DataFrame:
 
 
 def _pivots(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """Pivots per label and length, drawn by hash: one for each CELL vectors, MOST_PIVOTS in all."""
-    sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
-    total = nodes.count()
-    share = min(1.0 / CELL, MOST_PIVOTS / 2 / max(total, 1))
-    drawn = nodes.join(sizes.where(f"n > {CELL}"), "space").where(
-        F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) < int(share * (1 << 30))).select("space", "v", "node")
+    """Pivots per label and length, drawn by hash: about as many as vectors to a cell, MOST_PIVOTS in all."""
+    sizes = nodes.groupBy("space").agg(F.count("*").alias("n")).withColumn("share", 1 / F.greatest(F.lit(float(CELL)), F.sqrt("n")))
+    sizes = stored(sizes.where(f"n > {CELL}"), "spaces")
+    wanted = sizes.agg(F.sum(F.col("n") * F.col("share"))).first()[0] or 0
+    part = min(1.0, MOST_PIVOTS / 2 / max(wanted, 1))
+    drawn = nodes.join(sizes, "space").where(
+        F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) < F.col("share") * F.lit(part * (1 << 30))).select("space", "v", "node")
     out: dict[str, list] = {}
     for row in drawn.orderBy("node").limit(MOST_PIVOTS).collect():
         v = np.array(row.v)
