@@ -40,6 +40,7 @@ def test_large_groups_of_near_copies(spark, monkeypatch, width, percent):
     """Long lists, blocks of several parts and groups that are linked only through others."""
     monkeypatch.setattr(ngram_join, "SMALL_LIST", 6)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "LED_LIST", 4)
     base, line = prose(3, 150), prose(4, 12)
     texts = [(i, " ".join(edited(base, i, i % 9))) for i in range(90)]
     texts += [(200 + i, " ".join(line + prose(300 + i, 25))) for i in range(60)]

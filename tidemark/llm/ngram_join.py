@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import components, ship, stored
+from tidemark.llm.tables import components, give_back, ship, stored
 from tidemark.llm.wordhash import U, chain, mix, words_of
 
 SMALL_LIST = 64  # documents of an n-gram that are paired one by one
 BLOCK = 256  # documents of one side of a block of the product
+LED_LIST = 16  # documents from which on a list is held against leaders first
 MOST_BITS = 1 << 15  # of a set's bitmap
 FREQUENT = 200_000  # n-grams put last in the order; only speed hangs on them
 BROADCAST_IDS = 500_000
@@ -39,7 +40,7 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     Equal sets are one row of it. Sets of sizes a <= b can link only if a >= s b and if they share one
     of the first (1 - s) n + 1 n-grams of any fixed order, so only these columns of a row are
     multiplied (frequent n-grams last, the rest by hash); the documents of a column are a list. Groups need one link per
-    member, so lists are first held against one document each (the one that a hash puts first, which is the same one in
+    member, so lists of 16 documents and more are first held against one document each (the one that a hash puts first, which is the same one in
     most lists of a group), then against that one's nearest partner. Only lists that still hold several groups are
     multiplied: up to 64 documents pair by pair between groups, with overlaps accumulated over all lists, longer ones
     block by block, documents of a list's largest group among themselves excepted. Every pair is cut by a bound from the
@@ -68,16 +69,17 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     verified = lambda pairs: _verified(rows, once, pairs, width, percent)
     bounded = lambda pairs: _bounded(pairs, bits, percent)
 
-    lead = stored(lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l")).select(
+    led = lists.where(F.col("docs") >= LED_LIST)
+    lead = stored(led.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l")).select(
         "token", F.col("l.node").alias("x"), F.col("l.n").alias("nx")), "leaders")
-    near = stored(bounded(_pairs(lists.join(lead, "token"), percent).distinct()), "near")
+    near = stored(bounded(_pairs(led.join(lead, "token"), percent).distinct()), "near")
     groups = _united(None, verified(near.select("a", "b")))
 
     ends = near.select(F.col("a").alias("x"), "apart", F.col("b").alias("y"), F.col("nb").alias("ny")).union(
         near.select("b", "apart", "a", "na"))
     best = ends.groupBy("x").agg(F.min(F.struct("apart", "y", "ny")).alias("to")).select("x", F.col("to.y").alias("y"), F.col("to.ny").alias("ny"))
     seconds = lead.join(best, "x").select("token", F.col("y").alias("x"), F.col("ny").alias("nx"))
-    more = _between(_pairs(_open(lists, groups).join(seconds, "token"), percent).distinct(), groups)
+    more = _between(_pairs(_open(led, groups).join(seconds, "token"), percent).distinct(), groups)
     again = stored(bounded(more.join(near.select("a", "b"), ["a", "b"], "left_anti")), "near")
     groups = _united(groups, verified(again.select("a", "b")))
 
@@ -145,6 +147,7 @@ def _slices(batches, rows: int):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    give_back()
 
 
 def _frequent(rows: DataFrame, width: int) -> np.ndarray:

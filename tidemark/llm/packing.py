@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import ship, stored
+from tidemark.llm.tables import give_back, ship, stored
 from tidemark.llm.tokens import encoder
 
 BROADCAST_ROWS = 200_000
@@ -72,6 +72,7 @@ def _cut_pieces(tokenizer: str, capacity: int, end_id: int):
                     doc_ids.take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
                     pa.array(out, pa.binary()), pa.array(np.full(len(at), task, np.int32)), pa.array(place),
                 ], ["doc_id", "piece", "start", "length", "ids", "task", "place"])
+        give_back()
     return run
 
 

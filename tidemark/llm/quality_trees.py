@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import learning_rows
-from tidemark.llm.tables import ship
+from tidemark.llm.tables import give_back, ship
 from tidemark.llm.wordhash import chain, hash_words, text_buffer, word_starts
 
 # The base statistics and the rules on them.
@@ -208,6 +208,7 @@ def judge_quality(docs: DataFrame, trees: Trees | None, least_score: float = 0.3
     def judged(texts: pa.Array) -> pa.Array:
         counts, x = document_statistics(texts)
         score = trees.probability(x) if trees is not None else np.ones(len(x))
+        give_back()
         return pa.StructArray.from_arrays([*(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(score)], [*COUNTS, "score"])
 
     names = [c for c in docs.columns if c not in (*COUNTS, "base_failed", "score", "kept")]

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import ship
+from tidemark.llm.tables import give_back, ship
 
 KINDS = ("assign", "access", "hex", "novel")  # the order of spans that start together
 # The patterns the spans are defined by.
@@ -214,6 +214,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     @F.arrow_udf("string")
     def redacted(texts: pa.Array) -> pa.Array:
-        return pa.array([redact(t, find_spans(t), mark) for t in (x.as_py() for x in texts)], pa.string())
+        out = pa.array([redact(t, find_spans(t), mark) for t in (x.as_py() for x in texts)], pa.string())
+        give_back()
+        return out
 
     return docs.withColumn("text", redacted("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -29,6 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def give_back() -> None:
+    """Hand memory that this Python process has freed back to the system; workers live on between tasks and stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name`` with as many underscores in front as make it none of ``columns``."""
     taken = {c.lower() for c in columns}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import grammar
-from tidemark.llm.tables import ship
+from tidemark.llm.tables import give_back, ship
 from tidemark.llm.tokens import encoder
 
 BROADCAST_ROWS = 200_000
@@ -58,6 +58,7 @@ def _shards(tokenizer, end_id, shard_ids, rounds, most_rules, least):
                         shard, ids, doc_ids, held = shard + 1, [], [], 0
         if doc_ids:
             yield _shard(task, shard, doc_ids, ids, max(own.size, end_id + 1), rounds, most_rules, least)
+        give_back()
     return run
 
 
