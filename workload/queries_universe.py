@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import chunks
 from tidemark.functions.text import char_ngram_tf, cosine_of_pairs, strip_think
 from tidemark.operators import listing, universe
 from tidemark.operators.calendar import calendar
@@ -285,3 +286,51 @@ def ngram_near_pairs(t: Tables) -> DataFrame:
     """Every turn against every other one: how many are close to it, and how close the closest is."""
     turns = t.raw("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
     return ngram_links(turns, "id", "text", 0.9)[0]
+
+
+# -- long histories ------------------------------------------------------------
+
+HOT_TICKS = """(SELECT CASE WHEN user_id % 2 = 0 THEN 'HOT' ELSE CAST(user_id AS VARCHAR) END AS symbol, ts AS timestamp, event_id, event_type,
+  value AS price, ((event_id * 7919) % 201 - 100) / 100000.0 AS ret FROM events)"""
+
+
+def hot_ticks(t: Tables) -> DataFrame:
+    """Ticks of which one symbol has half."""
+    return t.raw("events").select(
+        F.when(F.col("user_id") % 2 == 0, "HOT").otherwise(F.col("user_id").cast("string")).alias("symbol"), F.col("ts").alias("timestamp"),
+        "event_id", "event_type", F.col("value").alias("price"), ((F.col("event_id") * 7919 % 201 - 100) / F.lit(100000.0)).alias("ret"))
+
+
+@query("long_rsi", f"""
+WITH m AS (SELECT symbol, event_id, row_number() OVER o - 1 AS i, price - lag(price) OVER o AS m FROM {HOT_TICKS} WINDOW o AS (PARTITION BY symbol ORDER BY timestamp, event_id)),
+s AS (SELECT *, (i - 1) // 500 AS b, (i - 1) % 500 AS pos, CASE WHEN i = 1 THEN 1.0 ELSE 1.0 / 14 END * pow(14.0 / 13, (i - 1) % 500) AS w FROM m WHERE i > 0),
+own AS (SELECT *, sum(greatest(m, 0) * w) OVER k * pow(13.0 / 14, pos) AS u, sum(greatest(-m, 0) * w) OVER k * pow(13.0 / 14, pos) AS v
+  FROM s WINDOW k AS (PARTITION BY symbol, b ORDER BY i)),
+ends AS (SELECT symbol, b + 1 AS b, arg_max(u, pos) AS u0, arg_max(v, pos) AS v0 FROM own GROUP BY symbol, b),
+y AS (SELECT symbol, event_id, u + coalesce(u0, 0) * pow(13.0 / 14, pos + 1) AS up, v + coalesce(v0, 0) * pow(13.0 / 14, pos + 1) AS down FROM own LEFT JOIN ends USING (symbol, b))
+SELECT m.symbol, m.event_id, {d('CASE WHEN i = 0 OR up + down = 0 THEN 50.0 ELSE 100.0 * up / (up + down) END', 'rsi_14')}
+FROM m LEFT JOIN y ON y.symbol = m.symbol AND y.event_id = m.event_id""")
+def long_rsi(t: Tables) -> DataFrame:
+    """Wilder's means by a recurrence in parts; a mean has forgotten what lies 500 ticks back, which the SQL leaves out."""
+    return chunks.long_rsi(hot_ticks(t), ["symbol"], ["timestamp", "event_id"], "price").select("symbol", "event_id", "rsi_14")
+
+
+@query("long_equity", f"""
+SELECT symbol, event_id, {d('equity')}, {d('peak')}, {d('1 - equity / peak', 'drawdown')} FROM (
+  SELECT symbol, event_id, timestamp, equity, max(equity) OVER (PARTITION BY symbol ORDER BY timestamp, event_id) AS peak FROM (
+    SELECT *, product(1 + ret) OVER (PARTITION BY symbol ORDER BY timestamp, event_id) AS equity FROM {HOT_TICKS}))""")
+def long_equity(t: Tables) -> DataFrame:
+    return chunks.long_equity(hot_ticks(t), ["symbol"], ["timestamp", "event_id"], "ret").select("symbol", "event_id", "equity", "peak", "drawdown")
+
+
+@query("asof_quotes", f"""
+WITH q AS (SELECT symbol, timestamp, max(event_id) AS quote_id FROM {HOT_TICKS} WHERE event_type = 'view' GROUP BY ALL)
+SELECT t.symbol, t.event_id, CASE WHEN q.timestamp >= t.timestamp - INTERVAL 6 HOURS THEN quote_id END AS quote_id
+FROM {HOT_TICKS} t ASOF LEFT JOIN q ON t.symbol = q.symbol AND t.timestamp > q.timestamp WHERE event_type <> 'view'""")
+def asof_quotes(t: Tables) -> DataFrame:
+    """The last quote strictly before each tick, at most six hours old."""
+    ticks = hot_ticks(t)
+    quotes = ticks.where("event_type = 'view'").select("symbol", "timestamp", F.col("event_id").alias("quote_id"))
+    trades = ticks.where("event_type <> 'view'").select("symbol", "timestamp", "event_id")
+    joined = chunks.asof_join(trades, quotes, ["symbol"], "timestamp", ["quote_id"], tolerance=F.expr("INTERVAL 6 HOURS"), strict=True)
+    return joined.select("symbol", "event_id", "quote_id")
