@@ -38,21 +38,41 @@ def average_ranks(df: DataFrame, group: list[str], value: str, up: str | None =
 
     Null and NaN values stay unranked; values are compared in their own type. One path for groups of any size. A range
     shuffle on (group, value, hash of the row) puts all rows in order; the hash lets Spark part even a
-    value that many rows share. Ranks and ties inside a task's part of a group are windows over (group, part). What lies before a
-    part, and how the ties on its borders go on, comes from one small row per (group, part). ``df`` is read once
+    value that many rows share. Ranks and ties inside a task's part of a group are windows over (group, part). Only the first
+    and the last group of a part can go on in others: for these few, one small row per (group, part) tells what lies before
+    a part and how the ties on its borders go on. ``df`` is read once
     and for the shuffle's sample; the rows with their local ranks are stored as a table in the checkpoint folder.
     """
-    parts = Window.partitionBy(*group, "_part")
+    part = Window.partitionBy(*group, "_part")
     hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
     rows = df.select(*[c for c in df.columns if c not in (up, down)], missing_as_null(F.col(value), dict(df.dtypes)[value]).alias("_known"))
     placed = rows.repartitionByRange(*group, F.col("_known").asc_nulls_last(), F.xxhash64(*[c for c in hashed if c in rows.columns])).withColumn(
         "_part", F.spark_partition_id())
     local = store_intermediate(
-        placed.withColumn("_rank", F.rank().over(parts.orderBy(F.col("_known").asc_nulls_last())))
-        .withColumn("_ties", F.count("_known").over(Window.partitionBy(*group, "_part", "_known"))), "ranks")
-    known = local.where(F.col("_known").isNotNull())
+        placed.withColumn("_rank", F.rank().over(part.orderBy(F.col("_known").asc_nulls_last())))
+        .withColumn("_ties", F.count("_known").over(Window.partitionBy(*group, "_part", "_known")))
+        .withColumn("_rows", F.count("_known").over(part)), "ranks")
+    borders = _borders(local, group).select(
+        *[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_p"), "_before", "_total", "_lo", "_hi", "_lo_mean", "_hi_mean")
+    here = _all(*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_part") == F.col("_p"))
+    joined = local.join(F.broadcast(borders), here, "left")  # two rows per part at most
+    mean = F.when(F.col("_known") == F.col("_lo"), F.col("_lo_mean")).when(F.col("_known") == F.col("_hi"), F.col("_hi_mean")).when(
+        F.col("_known").isNotNull(), F.coalesce("_before", F.lit(0)) + F.col("_rank") + (F.col("_ties") - 1) / F.lit(2.0))
+    ranks = [mean.alias(up)] if up else []
+    ranks += [(F.coalesce("_total", "_rows") + 1 - mean).alias(down)] if down else []
+    return joined.select(*[c for c in df.columns if c not in (up, down)], *ranks)
+
+
+def _borders(local: DataFrame, group: list[str]) -> DataFrame:
+    """For the groups that stand in several parts: a row per part with what lies before it and the ranks of its least and largest value."""
+    own = F.struct(*group)
+    outer = local.groupBy("_part").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    outer = outer.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("g"))
+    split = outer.groupBy("g").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(*[F.col(f"g.{c}").alias(f"_s_{c}") for c in group])
+    known = local.where(F.col("_known").isNotNull()).join(
+        F.broadcast(split), _all(*[F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group]), "left_semi")
     ends = known.groupBy(*group, "_part").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_known").alias("_lo"), F.max("_known").alias("_hi"),
+        F.first("_rows").alias("_rows"), F.min("_known").alias("_lo"), F.max("_known").alias("_hi"),
         F.min_by("_ties", "_rank").alias("_lo_ties"), F.max_by("_ties", "_rank").alias("_hi_ties"))
     whole = Window.partitionBy(*group)  # a row per part of a group
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,18 +82,11 @@ def average_ranks(df: DataFrame, group: list[str], value: str, up: str | None =
         F.struct(F.col("_lo").alias("v"), F.col("_lo_ties").alias("ties"), (F.col("_before") + 1).alias("first")),
         F.struct(F.col("_hi").alias("v"), F.col("_hi_ties").alias("ties"), (F.col("_before") + F.col("_rows") - F.col("_hi_ties") + 1).alias("first"))))
     run = Window.partitionBy(*group, "_side.v")
-    borders = ends.select(*group, "_part", "_before", "_total", "_lo", "_hi", F.explode(sides).alias("_side")).withColumn(
+    sides = ends.select(*group, "_part", "_before", "_total", "_lo", "_hi", F.explode(sides).alias("_side")).withColumn(
         "_mean", F.min("_side.first").over(run) + (F.sum("_side.ties").over(run) - 1) / F.lit(2.0))
-    borders = borders.groupBy(*group, "_part").agg(
+    return sides.groupBy(*group, "_part").agg(
         F.first("_before").alias("_before"), F.first("_total").alias("_total"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
         F.min("_mean").alias("_lo_mean"), F.max("_mean").alias("_hi_mean"))
-    borders = borders.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_p"), "_before", "_total", "_lo", "_hi", "_lo_mean", "_hi_mean")
-    joined = local.join(borders, _all(*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_part") == F.col("_p")), "left")
-    mean = F.when(F.col("_known") == F.col("_lo"), F.col("_lo_mean")).when(F.col("_known") == F.col("_hi"), F.col("_hi_mean")).when(
-        F.col("_known").isNotNull(), F.col("_before") + F.col("_rank") + (F.col("_ties") - 1) / F.lit(2.0))
-    ranks = [mean.alias(up)] if up else []
-    ranks += [(F.col("_total") + 1 - mean).alias(down)] if down else []
-    return joined.select(*[c for c in df.columns if c not in (up, down)], *ranks)
 
 
 def _all(*conditions: Column) -> Column:
