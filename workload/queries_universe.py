@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from tidemark.functions.text import char_ngram_tf, cosine_of_pairs, strip_think
 from tidemark.operators import listing, universe
 from tidemark.operators.calendar import calendar
 from tidemark.operators.similar import ngram_links
+from tidemark.session import intermediate_folder, store_intermediate
 from tidemark.streaming import bars as streaming
+from tidemark.streaming import corrections
 from workload.queries_bars import d
 from workload.registry import query
 from workload.tables import Tables
@@ -208,6 +212,27 @@ def tick_to_bars(t: Tables) -> DataFrame:
     return streaming.ticks_to_bars(t.ticks, "5 minutes")
 
 
+@query("revised_bars", _bars_sql("date_trunc('hour', timestamp)"))
+def revised_bars(t: Tables) -> DataFrame:
+    """The last revisions of a stream's hour bars: ticks in six deliveries in no order of time, the stream stopped half way and started again."""
+    folder = f"{intermediate_folder(t.spark)}/revised-{uuid.uuid4().hex}"
+    ticks = store_intermediate(t.ticks.select("symbol", "timestamp", "price", "size_shares", F.pmod(F.xxhash64("event_id"), F.lit(6)).alias("delivery")), "ticks")
+    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", corrections.STATE_STORE)
+    try:
+        for half in (0, 1):
+            for delivery in range(3 * half, 3 * half + 3):
+                ticks.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(f"{folder}/in")
+            stream = t.spark.readStream.schema(ticks.drop("delivery").schema).parquet(f"{folder}/in")
+            bars = corrections.correcting_bars(stream, "60 days").writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress")
+            bars = bars.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
+            bars.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    newest = corrections.newest_revisions(t.spark.read.parquet(f"{folder}/out").drop("batch"))
+    return newest.where("level = 'hour'").drop("level", "revision")
+
+
 @query("user_sessions", f"""
 WITH o AS (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) >= INTERVAL 2 HOUR AS brk FROM v_ticks),
 s AS (SELECT *, sum(CAST(coalesce(brk, false) AS INT)) OVER (PARTITION BY symbol ORDER BY timestamp) AS seg FROM o)
