@@ -135,10 +135,9 @@ def verify_panel(panel: DataFrame, store: DataFrame) -> DataFrame:
         F.count_if("hole").alias("holes"), F.count_if("jump").alias("jumps"), F.count_if("zero_jump").alias("zero_jumps")
     )
 
-    one = F.lit(1)
-    row = totals.withColumn("_k", one)
-    for part in (instruments, dates, duplicates, windows):
-        row = row.join(part.withColumn("_k", one), "_k")
+    row = totals.select(
+        "*", instruments.scalar().alias("extra_instruments"), dates.scalar().alias("extra_dates"), duplicates.scalar().alias("duplicates"),
+        windows.select(F.struct("holes", "jumps", "zero_jumps")).scalar().alias("_windows")).select("*", "_windows.*")
 
     def line(check: str, status: Column, measure: Column) -> Column:
         return F.struct(F.lit(check).alias("check"), status.alias("status"), measure.cast("double").alias("measure"))

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import average_rank, average_ranks
-from tidemark.operators import factors, ic, model, portfolio
+from tidemark.operators import factors, ic, model, portfolio, state
 from tidemark.operators.features import add_label, ml_features
 from tidemark.operators.timing import open_overrides, timing_contributions
 from tidemark.operators.universe import UniverseSpec
 from tidemark.plans.research import Research
-from tidemark.session import intermediate_folder
+from tidemark.session import intermediate_folder, store_intermediate
+from tidemark.sources.versions import VersionedTable
 from workload.oracle_research import SPLIT, metrics
 from workload.queries_bars import W, _full, d
 from workload.queries_universe import PIT
@@ -79,6 +80,19 @@ def factor_summary(t: Tables) -> DataFrame:
     return factors.factor_summary(factors.factor_table(t.stored_panel))
 
 
+@query("factor_state", f"""
+SELECT factor, count(*) AS n_rows, min(date) AS "start", max(date) AS "end", {d('avg(value)', 'mean')}, {d('stddev_samp(value)', 'std')},
+       {d('min(value)', 'min')}, {d('max(value)', 'max')}, {d('avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END)', 'na_ratio')} FROM v_fac GROUP BY factor""")
+def factor_state(t: Tables) -> DataFrame:
+    """The summary from daily state that came in three deliveries, the days of one of them twice."""
+    rows = store_intermediate(factors.factor_table(t.stored_panel).withColumn("delivery", F.year("date") % 3), "factor-days")
+    table = VersionedTable(t.spark, f"{intermediate_folder(t.spark)}/state-{uuid.uuid4().hex}", state.KEY, buckets=4)
+    state.add_days(table, rows.where("delivery = 0").withColumn("value", F.col("value") * 2))  # replaced by the next one
+    for delivery in range(3):
+        state.add_days(table, rows.where(F.col("delivery") == delivery))
+    return state.summary_of_state(table.read(), ())
+
+
 @query("forward_return", f"SELECT date, instrument, {d('fwd')} FROM fv_px LEFT JOIN fv_fwd USING (span, date, instrument)")
 def forward_return(t: Tables) -> DataFrame:
     return research(t).returns.select("date", "instrument", "fwd")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import chunks
 from tidemark.functions.text import char_ngram_tf, cosine_of_pairs, strip_think
-from tidemark.operators import listing, universe
+from tidemark.operators import coverage, listing, universe
 from tidemark.operators.calendar import calendar
 from tidemark.operators.similar import ngram_links
 from tidemark.session import intermediate_folder, store_intermediate
@@ -313,6 +313,16 @@ def ngram_near_pairs(t: Tables) -> DataFrame:
     return ngram_links(turns, "id", "text", 0.9)[0]
 
 
+@query("coverage_gaps", """
+WITH s AS (SELECT symbol, min(date) AS a, max(date) AS b FROM v_bars GROUP BY symbol)
+SELECT s.symbol, c.date FROM s JOIN v_cal c ON c.date BETWEEN a AND b WHERE NOT EXISTS (FROM v_bars x WHERE x.symbol = s.symbol AND x.date = c.date)""")
+def coverage_gaps(t: Tables) -> DataFrame:
+    """Days without a bar, from the bitmaps of three deliveries."""
+    rows = t.bars.select("symbol", "date", F.pmod(F.xxhash64("symbol", "date"), F.lit(3)).alias("delivery"))
+    parts = [store_intermediate(coverage.coverage(rows.where(F.col("delivery") == k), ["symbol"]), "coverage") for k in range(3)]
+    return coverage.missing_days(coverage.merged_coverage(parts, ["symbol"]), ["symbol"], t.calendar.select("date"))
+
+
 # -- long histories ------------------------------------------------------------
 
 HOT_TICKS = """(SELECT CASE WHEN user_id % 2 = 0 THEN 'HOT' ELSE CAST(user_id AS VARCHAR) END AS symbol, ts AS timestamp, event_id, event_type,
