@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import adjust, changes, features, quality, reconcile
 from tidemark.operators.export import dense_vectors
+from tidemark.operators.paged import SortedPages
 from tidemark.sources import exchange, lists, vendor
 from tidemark.session import intermediate_folder, store_intermediate
 from tidemark.sources.store import PanelStore, latest_rows, scan
@@ -181,6 +182,16 @@ def bars_page(t: Tables) -> DataFrame:
     return rows.select("symbol", "date", "close", "volume_shares", "total")
 
 
+@query("bars_page_by_key", f"""
+SELECT symbol, date, {d('close')} FROM (SELECT * FROM v_bars ORDER BY date DESC, symbol LIMIT 200 OFFSET (SELECT count(*) // 2 FROM v_bars))""")
+def bars_page_by_key(t: Tables) -> DataFrame:
+    """The page in the middle of the table: found by its offset in the zone index, then the next one by the key of its last row."""
+    pages = SortedPages.build(t.daily, f"{intermediate_folder(t.spark)}/pages-{uuid.uuid4().hex}", 32)
+    first = pages.at(100, pages.total() // 2)
+    last = first.orderBy("date", F.col("symbol").desc()).first()
+    return first.union(pages.after((last.date, last.symbol), 100)).select("symbol", "date", "close")
+
+
 # -- vendor payloads -----------------------------------------------------------
 
 def _json(**fields) -> F.Column:
