@@ -26,7 +26,8 @@ SELECT 'volume_change_5d', date, instrument, volume / nullif(lag(volume, 5) OVER
 FROM v_panel"""
 
 
-def chain(p: str, spans: str, deciding: str = "TRUE", fixed: str | None = None, fee: float = FEE) -> None:
+def chain(p: str, spans: str, deciding: str = "TRUE", fixed: str | None = None, fee: float = FEE,
+          universe: str | None = None) -> None:
     v = VIEWS
     v[f"{p}v_spans"] = spans
     v[f"{p}v_px"] = f"SELECT x.*, s.span, s.di FROM v_prices x JOIN {p}v_spans s USING (date)"
@@ -35,6 +36,8 @@ SELECT a.span, a.date, a.di, a.instrument, b.adj / a.adj - 1 AS fwd
 FROM {p}v_px a JOIN {p}v_px b ON b.instrument = a.instrument AND b.span = a.span AND b.di = a.di + {AHEAD}
 WHERE a.adj IS NOT NULL AND b.adj IS NOT NULL"""
     v[f"{p}v_fx"] = f"SELECT f.factor, s.span, s.di, f.date, f.instrument, f.value FROM v_fac f JOIN {p}v_spans s USING (date)"
+    if universe is not None:
+        v[f"{p}v_fx"] += f" JOIN {universe} u ON u.date = f.date AND u.instrument = f.instrument"
     v[f"{p}v_pairs"] = f"""
 SELECT f.factor, f.span, f.date,
        rank() OVER (PARTITION BY f.factor, f.span, f.date ORDER BY f.value) + (count(*) OVER (PARTITION BY f.factor, f.span, f.date, f.value) - 1) / 2.0 AS rv,
@@ -172,3 +175,4 @@ SELECT span, date, di, max(di) OVER (PARTITION BY span) AS n_days FROM (
 chain("f", FULL_SPANS)
 chain("o", SPLIT_SPANS, deciding="span = 'is'")
 chain("s", FULL_SPANS, fixed="short")
+chain("u", FULL_SPANS, fixed="bottom", universe="v_pit")

@@ -287,6 +287,16 @@ def portfolio_pit(t: Tables) -> DataFrame:
     return candidates.where(F.col("avg_rank") <= 10).select("factor", "k", "instrument", "avg_rank")
 
 
+def pit_research(t: Tables) -> Research:
+    return research(t, direction="bottom", universe=UniverseSpec.pit_liquidity(30, 12, 20))
+
+
+@query("portfolio_pit_metrics", _metrics_sql("u"))
+def portfolio_pit_metrics(t: Tables) -> DataFrame:
+    """The whole backtest inside the point-in-time universe."""
+    return pit_research(t).metrics().drop("span")
+
+
 @query("equal_weight_benchmark", f"SELECT date, {d('ret')} FROM fv_ew")
 def equal_weight_benchmark(t: Tables) -> DataFrame:
     return research(t).equal_weight.select("date", "ret")
@@ -384,6 +394,11 @@ def trade_ledger(t: Tables) -> DataFrame:
     return research(t).ledger().drop("span")
 
 
+@query("portfolio_pit_ledger", f"SELECT {LEDGER} FROM uv_ledger WHERE variant = 'close_t'")
+def portfolio_pit_ledger(t: Tables) -> DataFrame:
+    return pit_research(t).ledger().drop("span")
+
+
 def _ledger_stats(keys: str, source: str) -> str:
     return f"""SELECT {keys}, count(*) AS n_trades, count(*) FILTER (WHERE status = 'closed') AS n_closed,
   count(*) FILTER (WHERE status = 'open') AS n_open, avg(net_return) FILTER (WHERE status = 'closed') AS mean_net,

@@ -16,6 +16,7 @@ from tidemark.session import intermediate_folder, store_intermediate
 from tidemark.streaming import bars as streaming
 from tidemark.streaming import corrections
 from workload.queries_bars import d
+from workload.oracle_views import VIEWS
 from workload.registry import query
 from workload.tables import Tables
 
@@ -39,6 +40,7 @@ means AS (SELECT *, avg(amount) OVER (PARTITION BY instrument ORDER BY di ROWS B
 ranked AS (SELECT *, rank() OVER (PARTITION BY di ORDER BY m DESC) + (count(*) OVER (PARTITION BY di, m) - 1) / 2.0 AS rk
   FROM means WHERE m IS NOT NULL),
 pit AS (SELECT date, di, instrument, rk FROM ranked WHERE rk <= 30 AND listed >= 20 AND tradable)"""
+VIEWS["v_pit"] = PIT + " SELECT date, instrument FROM pit"
 
 
 @query("pit_eligibility", PIT + " SELECT date, di, instrument, round(rk, 6) + 0.0 AS liquidity_rank FROM pit")
