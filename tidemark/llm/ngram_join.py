@@ -13,6 +13,7 @@ from tidemark.llm.wordhash import U, chain, mix, words_of
 SMALL_LIST = 64  # documents of an n-gram that are paired one by one
 BLOCK = 256  # documents of one side of a block of the product
 LED_LIST = 16  # documents from which on a list is held against leaders first
+NEAREST_ROUNDS = 3  # rounds in which documents of long lists are united with their nearest ones only
 MOST_BITS = 1 << 15  # of a set's bitmap
 FREQUENT = 200_000  # n-grams put last in the order; only speed hangs on them
 BROADCAST_IDS = 500_000
@@ -41,7 +42,7 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     of the first (1 - s) n + 1 n-grams of any fixed order, so only these columns of a row are
     multiplied (frequent n-grams last, the rest by hash); the documents of a column are a list. Groups need one link per
     member, so lists of 16 documents and more are first held against one document each (the one that a hash puts first, which is the same one in
-    most lists of a group), then against that one's nearest partner. Only lists that still hold several groups are
+    most lists of a group), then against that one's nearest partner; in long lists then each document against its nearest one. Only lists that still hold several groups are
     multiplied: up to 64 documents pair by pair between groups, with overlaps accumulated over all lists, longer ones
     block by block, documents of a list's largest group among themselves excepted. Every pair is cut by a bound from the
     sizes (the parity bitmap of a set differs in no more bits than the sets in elements) and the rest
@@ -83,16 +84,22 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     again = stored(bounded(more.join(near.select("a", "b"), ["a", "b"], "left_anti")), "near")
     groups = _united(groups, verified(again.select("a", "b")))
 
+    for _ in range(NEAREST_ROUNDS):
+        left = stored(_open(_longest(_open(lists.where(F.col("docs") > SMALL_LIST), groups)), groups), "open")
+        if left.isEmpty():
+            break
+        near = _cells(left, bits).groupBy("token", "i", "j").applyInArrow(_bounded_block(percent, nearest=True), "a long, b long, apart int")
+        links = verified(_nearest(stored(near, "near")))
+        if links.isEmpty():
+            break
+        groups = _united(groups, links)
+
     left = stored(_open(lists, groups), "open")
     if not left.isEmpty():
         near = bounded(_able_pairs(left, percent)).select("a", "b", "apart")
         near = stored(near.union(_cells(left, bits).groupBy("token", "i", "j").applyInArrow(
             _bounded_block(percent), "a long, b long, apart int")).distinct(), "near")
-        ends = near.select(F.col("a").alias("v"), F.struct("apart", "b").alias("to")).union(
-            near.select(F.col("b").alias("v"), F.struct("apart", F.col("a").alias("b")).alias("to")))
-        best = ends.groupBy("v").agg(F.min("to").alias("to")).select(
-            F.least("v", "to.b").alias("a"), F.greatest("v", "to.b").alias("b")).distinct()
-        groups = _united(groups, verified(best))
+        groups = _united(groups, verified(_nearest(near)))
         groups = _united(groups, verified(_between(near, groups).select("a", "b")))
 
     labelled = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn(
@@ -240,6 +247,21 @@ def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(several, "token")
 
 
+def _longest(lists: DataFrame) -> DataFrame:
+    """Of the lists of each document the longest one: (token, node, n, place, docs)."""
+    best = lists.groupBy("node").agg(F.max(F.struct("docs", "token")).alias("top")).select("node", F.col("top.token").alias("token"))
+    rows = lists.select("token", "node", "n", "place").join(best, ["node", "token"])
+    return rows.join(rows.groupBy("token").agg(F.count("*").alias("docs")), "token").withColumn("docs", F.greatest("docs", F.lit(SMALL_LIST + 1)))
+
+
+def _nearest(near: DataFrame) -> DataFrame:
+    """(a, b): each document and the nearest of its partners."""
+    ends = near.select(F.col("a").alias("v"), F.struct("apart", "b").alias("to")).union(
+        near.select(F.col("b").alias("v"), F.struct("apart", F.col("a").alias("b")).alias("to")))
+    return ends.groupBy("v").agg(F.min("to").alias("to")).select(
+        F.least("v", "to.b").alias("a"), F.greatest("v", "to.b").alias("b")).distinct()
+
+
 def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs that the bound on their bitmaps leaves, with the number of bits they are apart."""
     left, right = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
@@ -322,8 +344,11 @@ def _cells(lists: DataFrame, bits: DataFrame) -> DataFrame:
                          "own", "node", "n", "group", "bits")
 
 
-def _bounded_block(percent: int):
-    """The pairs of one block that the size bound leaves; a row's bitmap is held against those of the other side."""
+def _bounded_block(percent: int, nearest: bool = False):
+    """The pairs of one block that the size bound leaves; a row's bitmap is held against those of the other side.
+
+    With ``nearest`` only the nearest partner of each row of either side.
+    """
     def run(key, block):
         i, j = key[1].as_py(), key[2].as_py()
         own = np.asarray(block["own"])
@@ -345,8 +370,12 @@ def _bounded_block(percent: int):
                         found_a.append(np.full(int(hit.sum()), node[k]))
                         found_b.append(node[at[hit]])
                         found_apart.append(apart[hit])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": np.concatenate(found_apart).astype(np.int32)})
+        a, b, apart = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_apart)
+        if nearest and len(a):
+            order = np.argsort(apart, kind="stable")
+            first = np.concatenate([order[np.unique(side[order], return_index=True)[1]] for side in (a, b)])
+            a, b, apart = (c[np.unique(first)] for c in (a, b, apart))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": apart.astype(np.int32)})
     return run
 
 
