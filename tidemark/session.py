@@ -31,8 +31,11 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it names none and Spark is one process, one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
 
 

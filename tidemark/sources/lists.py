@@ -27,10 +27,18 @@ def parse_delisted_text(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_delisted_text(spark: SparkSession, path: str, charset: str = "BIG5") -> DataFrame:
-    """Official list files in their legacy charset. Each file is one list of a few hundred kilobytes."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    """Official list files in their legacy charset. Each file is one list of a few hundred kilobytes.
+
+    Spark decodes it only under a setting that counts when the plan is made; the session's own value is put back.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return parse_delisted_text(files.select(F.decode("content", charset).alias("text")))
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        return parse_delisted_text(files.select(F.decode("content", charset).alias("text")))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def read_delisted_csv(spark: SparkSession, path: str, start=None) -> DataFrame:
