@@ -45,3 +45,17 @@ def test_shuffled_ticks_with_a_stop_between_give_the_batch_bars(spark, state_sto
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     counts = revisions.where("level = 'hour'").groupBy("symbol", "date").agg(F.max("revision").alias("last"), F.count("*").alias("n")).collect()
     assert max(c["last"] for c in counts) == 4 and all(c["last"] == c["n"] for c in counts)
+
+
+def test_state_stays_inside_spark_and_late_ticks_are_dropped(spark, state_store, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    start = dt.datetime(2024, 1, 1, 9, 30)
+    deliveries = [[("a", start, 1.0, 1), ("b", dt.datetime(2024, 1, 9), 2.0, 1)], [("a", start, 9.0, 1), ("b", dt.datetime(2024, 1, 9), 3.0, None)]]
+    for ticks in deliveries:
+        spark.createDataFrame(ticks, TICK).coalesce(1).write.mode("append").parquet(source)
+        run(spark, source, out, checkpoint)
+    bars = newest_revisions(spark.read.parquet(out).drop("batch")).where("level = 'hour'").collect()
+    assert {b.symbol: (b.open, b.close, b.volume_shares, b.trade_count, b.revision) for b in bars} == {"a": (1.0, 1.0, 1, 1, 1), "b": (2.0, 3.0, 1, 2, 2)}
+    stream = correcting_bars(spark.readStream.schema(TICK).parquet(source), "2 days")
+    plan = stream._jdf.queryExecution().analyzed().toString()  # a key in Python costs milliseconds, and most keys have one tick
+    assert "Aggregate" in plan and "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

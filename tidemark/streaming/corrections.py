@@ -2,111 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
-# Fixed value: the store that keyed state with timers needs.
+# Fixed value: the store for state that does not fit in memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 MINUTE, HOUR = 60_000_000, 3_600_000_000  # microseconds
-PARTIAL = ("symbol string, hour timestamp, minute long, first long, open double, high double, low double, last long, close double, "
-           "volume_shares long, turnover_twd double, trade_count long")
-STATE = ("first long, open double, high double, low double, last long, close double, volume_shares long, turnover_twd double, "
-         "trade_count long, revision long")
-BARS = ("symbol string, level string, date timestamp_ntz, open double, high double, low double, close double, volume_shares long, "
-        "turnover_twd double, trade_count long, revision long")
-KEYS = ["symbol", "hour"]
-_FOLD = [c.split()[0] for c in STATE.split(", ")]
-
-
-def partial_minutes(ticks: DataFrame) -> DataFrame:
-    """One row per (symbol, minute) and Arrow batch: what a symbol with a third of all ticks sends on."""
-    rows = ticks.select("symbol", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), F.col("price").cast("double").alias("price"),
-                        F.col("size_shares").cast("long").alias("size"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).sort_by([("symbol", "ascending"), ("at", "ascending"), ("price", "ascending")])
-            at = table["at"]
-            table = table.append_column("minute", pc.multiply(pc.floor(pc.divide(pc.cast(at, pa.float64()), float(MINUTE))).cast(pa.int64()), MINUTE))
-            table = table.append_column("worth", pc.multiply(table["price"], pc.cast(table["size"], pa.float64())))
-            out = table.group_by(["symbol", "minute"], use_threads=False).aggregate([
-                ("at", "min"), ("price", "first"), ("price", "max"), ("price", "min"), ("at", "max"), ("price", "last"),
-                ("size", "sum"), ("worth", "sum"), ("price", "count")])
-            hour = pc.multiply(pc.floor(pc.divide(pc.cast(out["minute"], pa.float64()), float(HOUR))).cast(pa.int64()), HOUR)
-            columns = [out["symbol"], hour.cast(pa.timestamp("us", "UTC")), out["minute"], out["at_min"], out["price_first"], out["price_max"],
-                       out["price_min"], out["at_max"], out["price_last"], out["size_sum"], out["worth_sum"], out["price_count"]]
-            yield from pa.table(columns, names=[c.split()[0] for c in PARTIAL.split(", ")]).to_batches()
-
-    return rows.mapInArrow(fold, PARTIAL)
-
-
-def _merged(a: tuple | None, b: tuple) -> tuple:
-    """Two pieces of one bar as one: the earlier open, the later close; of equal times the smaller open and the larger close."""
-    if a is None:
-        return b
-    first, last = min(a[0:2], b[0:2]), max(a[4:6], b[4:6])
-    return (*first, max(a[2], b[2]), min(a[3], b[3]), *last, a[6] + b[6], a[7] + b[7], a[8] + b[8])
-
-
-class BarsOfAnHour(StatefulProcessor):
-    """Keyed by (symbol, hour): the hour's minute bars, from which the hour bar is made, and the hour bar's revision.
-
-    State goes when the watermark has passed the end of the hour by ``keep_seconds``; a tick later than that is dropped.
-    """
-
-    def __init__(self, keep_seconds: int) -> None:
-        self.keep_seconds = keep_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.minutes = handle.getMapState("minutes", "minute long", STATE)
-        self.hours = handle.getValueState("revision", "revision long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, tuple] = {}
-        for part in rows:
-            for r in part.itertuples(index=False):
-                piece = (int(r.first), float(r.open), float(r.high), float(r.low), int(r.last), float(r.close),
-                         int(r.volume_shares), float(r.turnover_twd), int(r.trade_count))
-                new[int(r.minute)] = _merged(new.get(int(r.minute)), piece)
-        if not new:
-            return
-        if not self.hours.exists():
-            self.handle.registerTimer(int(key[1].timestamp() * 1000) + 3_600_000 + 1000 * self.keep_seconds)
-        out = []
-        for minute, piece in sorted(new.items()):
-            old = tuple(self.minutes.getValue((minute,))) if self.minutes.containsKey((minute,)) else None
-            bar, revision = _merged(old[:9] if old else None, piece), (int(old[9]) if old else 0) + 1
-            self.minutes.updateValue((minute,), (*bar, revision))
-            out.append(self._row(key[0], "minute", minute, bar, revision))
-        hour = None
-        for _, bar in sorted((int(k[0]), tuple(v)) for k, v in self.minutes.iterator()):  # 60 at most
-            hour = _merged(hour, bar[:9])
-        revision = (int(self.hours.get()[0]) if self.hours.exists() else 0) + 1
-        self.hours.update((revision,))
-        out.append(self._row(key[0], "hour", int(key[1].timestamp()) * 1_000_000, hour, revision))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in BARS.split(", ")])
-
-    @staticmethod
-    def _row(symbol: str, level: str, start: int, bar: tuple, revision: int) -> tuple:
-        first, open_, high, low, last, close, volume, turnover, count = bar
-        return symbol, level, pd.Timestamp(start, unit="us"), open_, high, low, close, volume, turnover, count, revision
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.minutes.clear()
-        self.hours.clear()
-        return iter(())
 
-    def close(self) -> None:
-        pass
+def _start(at: Column, unit: int) -> Column:
+    return at - F.pmod(at, F.lit(unit))
 
 
 def correcting_bars(ticks: DataFrame, watermark: str = "1 day", keep_seconds: int = 0) -> DataFrame:
@@ -114,14 +20,32 @@ def correcting_bars(ticks: DataFrame, watermark: str = "1 day", keep_seconds: in
 
     (symbol, level, date, OHLC, volume_shares, turnover_twd, trade_count, revision): in each micro-batch every bar that a tick has
     changed comes once, with the next revision; the largest revision of a bar is its state. Ticks may come in any order within
-    the watermark. Ticks of one instant open a bar with their smallest and close it with their largest price. Rows
-    without symbol, time or price are left out; a missing size counts as 0. Ticks are folded to partial minutes before the shuffle by (symbol, hour). The session
-    needs ``STATE_STORE`` as spark.sql.streaming.stateStore.providerClass; progress and state are in the query's checkpoint.
+    the watermark; it stands on the hour, and state goes when it has passed the start of the hour by ``keep_seconds``. A tick later than
+    that is dropped. Ticks of one instant open a bar with their smallest and close it with their largest price. Rows
+    without symbol, time or price are left out; a missing size counts as 0.
+
+    A tick counts for its minute and for its hour; both are one keyed aggregate, folded map-side before the shuffle, so a symbol with
+    a third of all ticks sends one row per bar and map task. The state of a bar is its columns and the times of the micro-batches that
+    changed it (8 bytes each; Spark keeps a batch's time in its log, so a batch that is run again counts once); their number is the revision.
+    State is read and written inside Spark, no row goes to Python. ``STATE_STORE`` as
+    spark.sql.streaming.stateStore.providerClass holds more of it than memory does; progress and state are in the query's checkpoint.
     """
     known = ticks.where("symbol is not null and timestamp is not null and price is not null and not isnan(price)").fillna(0, subset=["size_shares"])
-    late = partial_minutes(known).withWatermark("hour", watermark)
-    return late.groupBy(*KEYS).transformWithStateInPandas(
-        BarsOfAnHour(keep_seconds), StructType.fromDDL(BARS), outputMode="Update", timeMode="EventTime")
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    rows = known.select("symbol", at.alias("at"), F.col("price").cast("double").alias("price"), F.col("size_shares").cast("long").alias("size"))
+    late = rows.withColumn("hour", F.timestamp_micros(_start(F.col("at"), HOUR))).withWatermark("hour", f"{watermark} {keep_seconds} seconds")
+    bars = F.array(F.struct(F.lit("minute").alias("level"), _start(F.col("at"), MINUTE).alias("start")),
+                   F.struct(F.lit("hour").alias("level"), _start(F.col("at"), HOUR).alias("start")))
+    each = late.select("symbol", "hour", "at", "price", "size", F.current_timestamp().alias("batch"), F.inline(bars))
+    folded = each.groupBy("symbol", "hour", "level", "start").agg(
+        F.min(F.struct("at", "price")).alias("first"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max(F.struct("at", "price")).alias("last"), F.sum("size").alias("volume_shares"),
+        F.sum(F.col("price") * F.col("size")).alias("turnover_twd"), F.count(F.lit(1)).alias("trade_count"),
+        F.collect_set("batch").alias("batches"))
+    date = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, int(start div 60000000))")
+    return folded.select(
+        "symbol", "level", date.alias("date"), F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"),
+        "volume_shares", "turnover_twd", "trade_count", F.size("batches").cast("long").alias("revision"))
 
 
 def newest_revisions(bars: DataFrame) -> DataFrame:

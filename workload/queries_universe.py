@@ -219,8 +219,12 @@ def revised_bars(t: Tables) -> DataFrame:
     """The last revisions of a stream's hour bars: ticks in six deliveries in no order of time, the stream stopped half way and started again."""
     folder = f"{intermediate_folder(t.spark)}/revised-{uuid.uuid4().hex}"
     ticks = store_intermediate(t.ticks.select("symbol", "timestamp", "price", "size_shares", F.pmod(F.xxhash64("event_id"), F.lit(6)).alias("delivery")), "ticks")
-    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", corrections.STATE_STORE)
+    # State lies on disk: a store for every core is enough, and each costs some tenths of a second in every batch.
+    settings = {"spark.sql.streaming.stateStore.providerClass": corrections.STATE_STORE,
+                "spark.sql.shuffle.partitions": str(t.spark.sparkContext.defaultParallelism)}
+    before = {key: t.spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        t.spark.conf.set(key, value)
     try:
         for half in (0, 1):
             for delivery in range(3 * half, 3 * half + 3):
@@ -230,7 +234,8 @@ def revised_bars(t: Tables) -> DataFrame:
             bars = bars.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
             bars.trigger(availableNow=True).start().awaitTermination()
     finally:
-        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            t.spark.conf.set(key, value)
     newest = corrections.newest_revisions(t.spark.read.parquet(f"{folder}/out").drop("batch"))
     return newest.where("level = 'hour'").drop("level", "revision")
 
