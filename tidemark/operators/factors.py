@@ -76,11 +76,12 @@ def factor_names() -> list[str]:
     return sorted(_REGISTRY)
 
 
-def factor_table(panel: DataFrame, names: tuple[str, ...] = DEFAULT_FACTORS, keep: tuple[str, ...] = ()) -> DataFrame:
+def factor_table(panel: DataFrame, names: tuple[str, ...] = DEFAULT_FACTORS, keep: tuple[str, ...] = (), wide: bool = False) -> DataFrame:
     """(factor, date, instrument, value) plus the ``keep`` columns of the panel.
 
     All column factors come from one pass with one shuffle by instrument and are
-    then unfolded into rows. NaN is a missing value and becomes null.
+    then unfolded into rows. NaN is a missing value and becomes null. ``wide`` leaves them folded, which spares a pivot:
+    (date, instrument, the ``keep`` columns, a column per factor), a row for each row of the panel.
     """
     missing = [n for n in names if n not in _REGISTRY]
     if missing:
@@ -92,6 +93,11 @@ def factor_table(panel: DataFrame, names: tuple[str, ...] = DEFAULT_FACTORS, kee
     results = {name: _REGISTRY[name](prepared) for name in names}
     columns = {n: r for n, r in results.items() if isinstance(r, Column)}
     tables = [(n, r) for n, r in results.items() if isinstance(r, DataFrame)]
+    if wide:
+        out = prepared.select("date", "instrument", *keep, *[c.cast("double").alias(n) for n, c in columns.items()])
+        for name, table in tables:
+            out = out.join(table.select("date", "instrument", F.col("value").cast("double").alias(name)), ["date", "instrument"], "left")
+        return out.select("date", "instrument", *keep, *[missing_as_null(F.col(n), "double").alias(n) for n in names])
 
     parts = []
     if columns:

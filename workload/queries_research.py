@@ -67,9 +67,7 @@ FROM (SELECT *, pow(least(r, 0), 2) AS neg2, CASE WHEN r < 0 THEN volume ELSE 0
         CASE WHEN open < lag(low) OVER ({K}) THEN 1.0 WHEN lag(low) OVER ({K}) IS NOT NULL THEN 0.0 END AS gap
       FROM (SELECT *, close / lag(close) OVER ({K}) - 1 AS r FROM v_panel))""")
 def factor_library(t: Tables) -> DataFrame:
-    names = tuple(LIBRARY)
-    rows = factors.factor_table(t.stored_panel, names)
-    return rows.groupBy("date", "instrument").pivot("factor", list(names)).agg(F.first("value"))
+    return factors.factor_table(t.stored_panel, tuple(LIBRARY), wide=True)
 
 
 @query("factor_summary", f"""
@@ -489,6 +487,6 @@ def model_linear_ic(t: Tables) -> DataFrame:
 @query("model_rank_ic")
 def model_rank_ic(t: Tables) -> DataFrame:
     """Trees fitted on the first 80 % of the dates, scored on the rest."""
-    table = ml_features(t.bars, t.institutional, t.margin)
+    table = store_intermediate(ml_features(t.bars, t.institutional, t.margin), "features")  # dates, split, fit and scores read it
     train, test = model.split_by_time(table)
     return model.model_rank_ic(model.score(model.fit(train, max_iter=5), test)).drop("factor")
