@@ -47,3 +47,19 @@ def test_rank_ic_of_scores_equals_pandas(spark):
     want = {d: g["score"].rank().corr(g["label"].rank()) for d, g in frame.groupby("date")}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in got)
     assert model.model_rank_ic(df.where(F.lit(False))).collect() == []
+
+
+def test_fit_reads_its_rows_once(spark):
+    r = random.Random(8)
+    names = ["symbol", "date", *model.INPUTS, model.LABEL]
+    rows = [(f"s{k % 5}", day(k // 5), *[r.uniform(-1, 1) for _ in names[2:]]) for k in range(60)]
+    table = spark.createDataFrame(rows, "symbol string, date date, " + ", ".join(f"{c} double" for c in names[2:]))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    model.fit(table.mapInArrow(counted, table.schema), max_iter=2)
+    assert read.value == 60

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.calendar import calendar, with_calendar_index
 from tidemark.operators.features import FEATURE_ORDER
 from tidemark.operators.ic import daily_rank_ic
+from tidemark.session import store_intermediate
 
 LABEL = "label_ret_1f"
 INPUTS = [c for c in FEATURE_ORDER if c not in ("symbol", "date", LABEL)]
@@ -26,8 +27,12 @@ def split_by_time(features: DataFrame, test_ratio: float = 0.2, test_start=None)
 
 
 def fit(train: DataFrame, max_iter: int = 10, max_depth: int = 3, seed: int = 7) -> GBTRegressionModel:
-    """Missing inputs count as zero; rows without a label are left out."""
-    rows = train.where(F.col(LABEL).isNotNull()).fillna(0.0, subset=INPUTS)
+    """Missing inputs count as zero; rows without a label are left out.
+
+    The fit reads its rows several times (size, split points, trees), so they are stored once.
+    """
+    rows = train.where(F.col(LABEL).isNotNull()).fillna(0.0, subset=INPUTS).select(*INPUTS, LABEL)
+    rows = store_intermediate(rows, "model-rows")
     vectors = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(rows).select("features", LABEL)
     return GBTRegressor(
         featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth, seed=seed
