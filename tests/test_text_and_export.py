@@ -56,3 +56,26 @@ def test_symbols_that_differ_in_case_are_one(make_bars):
     got = {(r.symbol, r.field): list(r.vector) for r in dense_vectors(bars).collect()}
     assert set(s for s, _ in got) == {"AB", "C"} and all(len(v) == 2 for v in got.values())
     assert got["AB", "close"] == [3.0, 2.0] and got["C", "close"] == [5.0, 6.0]
+
+
+def test_ngrams_of_repeated_keys_and_long_texts_add_up(spark, monkeypatch):
+    from tidemark.functions import text as module
+
+    monkeypatch.setattr(module, "PIECE", 7)  # texts cross the borders of what is counted at a time
+    mixed = "Ünï " + "ab cd " * 5 + "量能 αβγ" + " zz" * 9
+    rows = [("a", mixed), ("a", "abcd"), (None, "abc abc"), (None, mixed), ("b", "ab"), ("c", None)]
+    for n in (2, 3, 4):
+        want = {}
+        for key, value in rows:
+            squeezed = " ".join((value or "").lower().split())
+            for i in range(len(squeezed) - n + 1):
+                at = key, int(hashlib.md5(squeezed[i:i + n].encode()).hexdigest(), 16) % 256
+                want[at] = want.get(at, 0) + 1
+        found = char_ngram_tf(spark.createDataFrame(rows, "id string, text string").repartition(3), ["id"], "text", n)
+        assert {(r.id, r.bucket): r.tf for r in found.collect()} == want
+        assert found.count() == len(want)
+
+
+def test_ngrams_are_counted_before_the_shuffle(spark):
+    plan = char_ngram_tf(spark.createDataFrame([("a", "abc")], "id string, text string"), ["id"], "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and plan.count("Generate") == 1 and "Window" not in plan
