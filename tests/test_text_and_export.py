@@ -1,9 +1,11 @@
 import hashlib
 import math
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.conftest import day
+from tidemark.functions import text as text_functions
 from tidemark.functions.text import char_ngram_tf, cosine_of_pairs, strip_think
 from tidemark.operators.export import dense_vectors
 
@@ -58,10 +60,22 @@ def test_symbols_that_differ_in_case_are_one(make_bars):
     assert got["AB", "close"] == [3.0, 2.0] and got["C", "close"] == [5.0, 6.0]
 
 
-def test_ngrams_of_repeated_keys_and_long_texts_add_up(spark, monkeypatch):
-    from tidemark.functions import text as module
+def test_texts_may_cross_the_pieces_that_are_counted_at_a_time(monkeypatch):
+    monkeypatch.setattr(text_functions, "PIECE", 7)
+    texts = ["abc" * 9, "x 量能 αβγ yz", "abc", "aaaaaaa", "abcabcab"]
+    batch = pa.record_batch({"id": pa.array(["a", "b", None, "a", None]), "text": pa.array(texts)})
+    for n in (2, 3, 4):
+        out, = text_functions._count_grams(["id"], n)([batch])
+        for key, counts in zip(out["id"].to_pylist(), out["_counts"].to_pylist(), strict=True):
+            want = [0] * 256
+            for t in (t for t, k in zip(texts, batch["id"].to_pylist()) if k == key):
+                for i in range(len(t) - n + 1):
+                    want[int(hashlib.md5(t[i:i + n].encode()).hexdigest(), 16) % 256] += 1
+            assert counts == want
+        assert out["id"].to_pylist() == ["a", "b", None]
+
 
-    monkeypatch.setattr(module, "PIECE", 7)  # texts cross the borders of what is counted at a time
+def test_ngrams_of_repeated_keys_add_up(spark):
     mixed = "Ünï " + "ab cd " * 5 + "量能 αβγ" + " zz" * 9
     rows = [("a", mixed), ("a", "abcd"), (None, "abc abc"), (None, mixed), ("b", "ab"), ("c", None)]
     for n in (2, 3, 4):
