@@ -19,6 +19,7 @@ from tidemark.llm.tables import stored
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 MIX_PERCENT = 80  # of the tokens that reach the mixing stage
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"  # of rows handed to Python; an executor holds several per task
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +49,19 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path(TOKENIZER), capacity=SEQUENCE, end_id=0)
 
 
+def in_batches(stage, size: str):
+    """``stage`` with whole texts handed to Python in batches of ``size``; the session keeps the setting, as plans run after the call."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH, size)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_rules), ("near duplicates", near_duplicates), ("secrets", secrets),
-    ("source mix", source_mix), ("packing", packing),
+    ("quality rules", in_batches(quality_rules, "2m")), ("near duplicates", in_batches(near_duplicates, "8m")),
+    ("secrets", in_batches(secrets, "2m")), ("source mix", in_batches(source_mix, "2m")), ("packing", in_batches(packing, "2m")),
 ]
 
 # Trees, n-gram groups, novelty and tokens are not to be had in SQL.

@@ -168,3 +168,53 @@ def test_no_documents(spark, tmp_path):
     out = str(tmp_path / "none")
     write_tokens(documents(spark, []), out, files.path("byte_bpe_50k.json"))
     assert read_tokens(spark, out).count() == 0
+
+
+def test_long_texts_are_encoded_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    import tidemark.llm.packing as packing
+    from tidemark.llm.packing import ENCODED_BYTES, ENCODED_ROWS, _cut_pieces
+
+    sizes = []
+
+    class Encoder(TextEncoder):
+        def encode(self, texts):
+            sizes.append((len(texts), sum(len(t.as_py() or "") for t in texts)))
+            return super().encode(texts)
+
+    own = Encoder(files.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "encoder", lambda path: own)
+    monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 3})()))
+    texts = ["some words " * 10_000] * 30 + ["a b", None, ""] * 200 + ["x" * (ENCODED_BYTES + 5), "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    pieces = pa.Table.from_batches(_cut_pieces("", 2048, 0)([batch])).to_pylist()
+    assert all(n <= ENCODED_ROWS and (size <= ENCODED_BYTES or n == 1) for n, size in sizes) and sum(n for n, _ in sizes) == len(texts)
+    plain = TextEncoder(files.path("word_bpe_49k.json"))
+    for k in (0, 29, 30, 31, 32, 630, 631):
+        ids = b"".join(p["ids"] for p in pieces if p["doc_id"] == k)
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode([texts[k]])[0].tolist(), 0]
+    places = Counter(p["length"] for p in pieces)
+    assert all(sorted(p["place"] for p in pieces if p["length"] == x) == list(range(n)) for x, n in places.items())
+
+
+def test_pipeline_hands_texts_to_python_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["bytes"])
+
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(corpus_pipeline.BATCH, before)
+            with pytest.raises(Exception):
+                stage(spark, None, "")  # the setting comes first
+            assert docs.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] <= 10_000_000, name
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tidemark.llm.tables import give_back, ship, stored
 from tidemark.llm.tokens import encoder
 
 BROADCAST_ROWS = 200_000
+ENCODED_ROWS, ENCODED_BYTES = 256, 1 << 19  # texts encoded at a time: work arrays are many times as large
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -57,8 +59,8 @@ def _cut_pieces(tokenizer: str, capacity: int, end_id: int):
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
-            for i in range(0, len(texts), 256):
-                ids, borders = own.encode(texts[i:i + 256])
+            for i, j in _groups(texts):
+                ids, borders = own.encode(texts[i:j])
                 rows, out = [], []
                 for k in range(len(borders) - 1):
                     body = np.append(ids[borders[k]:borders[k + 1]], np.uint32(end_id)).astype("<u4")
@@ -72,10 +74,22 @@ def _cut_pieces(tokenizer: str, capacity: int, end_id: int):
                     doc_ids.take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
                     pa.array(out, pa.binary()), pa.array(np.full(len(at), task, np.int32)), pa.array(place),
                 ], ["doc_id", "piece", "start", "length", "ids", "task", "place"])
-        give_back()
+            give_back()
     return run
 
 
+def _groups(texts: pa.Array) -> list[tuple[int, int]]:
+    """Borders of ENCODED_ROWS texts at most that together have ENCODED_BYTES at most; a longer text is alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+    groups, i = [], 0
+    while i < len(ends):
+        before = int(ends[i - 1]) if i else 0
+        j = int(np.searchsorted(ends, before + ENCODED_BYTES, "right"))
+        groups.append((i, min(max(j, i + 1), i + ENCODED_ROWS)))
+        i = groups[-1][1]
+    return groups
+
+
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """Patterns (times, lengths) that use up ``counts`` (length -> pieces); a pattern fits in ``capacity``.
 

@@ -9,6 +9,7 @@ from itertools import chain as flat
 import numpy as np
 import pyarrow as pa
 
+from tidemark.llm.tables import give_back
 from tidemark.llm.wordhash import U, text_buffer, word_hashes, word_starts
 
 MOST_WORDS = 1_000_000  # words a worker remembers between calls; beyond, those not met again since the last time go, a call's own never
@@ -40,11 +41,13 @@ class TextEncoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.library = Tokenizer.from_file(path)
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = _kind(spec)
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        del spec  # the vocabulary is not held twice
+        self.library = Tokenizer.from_file(path)
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
         self._clear(1 << 12)
+        give_back()  # what reading the file has left
 
     def _clear(self, slots: int) -> None:
         self.key = np.zeros((slots, 2), U)
