@@ -136,6 +136,13 @@ def _count_grams(keys: list[str], n: int):
     return run
 
 
+def char_ngram_counts(df: DataFrame, key: list[str], text: str, n: int = 3) -> DataFrame:
+    """(key…, _counts): the 256 counts of each text of ``n`` characters or more; rows of one key in an Arrow batch are added up."""
+    texts = spread(df.select(*key, text), key).select(*key, squeeze(F.col(text)).alias("_text")).where(F.length("_text") >= n)
+    schema = StructType([*texts.schema.fields[:-1], StructField("_counts", ArrayType(IntegerType()))])
+    return texts.mapInArrow(_count_grams(key, n), schema)
+
+
 def char_ngram_tf(df: DataFrame, key: list[str], text: str, n: int = 3) -> DataFrame:
     """Sparse hashed n-gram counts: (key…, bucket, tf, weight).
 
@@ -143,9 +150,7 @@ def char_ngram_tf(df: DataFrame, key: list[str], text: str, n: int = 3) -> DataF
     the n-gram's MD5 modulo 256, which is its last byte. n-grams are counted where the text is read, and one
     shuffle by key of 256 counts per text (and of rows of one key in an Arrow batch) adds up the texts of a key.
     """
-    texts = spread(df.select(*key, text), key).select(*key, squeeze(F.col(text)).alias("_text")).where(F.length("_text") >= n)
-    schema = StructType([*texts.schema.fields[:-1], StructField("_counts", ArrayType(IntegerType()))])
-    counted = texts.mapInArrow(_count_grams(key, n), schema).groupBy(*key).agg(F.collect_list("_counts").alias("_all"))
+    counted = char_ngram_counts(df, key, text, n).groupBy(*key).agg(F.collect_list("_counts").alias("_all"))
     none = F.array_repeat(F.lit(0).cast("long"), BUCKETS)
     total = F.aggregate("_all", none, lambda whole, part: F.zip_with(whole, part, lambda x, y: x + y))
     one = F.element_at("_all", 1).cast("array<bigint>")
