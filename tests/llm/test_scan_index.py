@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -96,3 +97,65 @@ def test_early_tests_abandon_most_candidates():
     exact = np.sqrt(((every - rows[0]) ** 2).sum(1))
     exact[0] = np.inf
     assert set(np.argsort(exact)[:10]) <= set(left)
+
+
+def test_no_table_has_a_row_for_each_query_and_list(spark, monkeypatch):
+    made = {}
+
+    def kept(df, label, store=scan_index.stored):
+        out = store(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(scan_index, "stored", kept)
+    rows = cloud(7, 1600, spread=3.0)  # 40 lists, nearly all probed
+    asked = rows[::2]
+    assert len({q for q, *_ in result(spark, rows, asked)}) == len(asked)
+    assert max(made.values()) <= len(asked) * 10 * 2
+
+
+def test_fitting_holds_few_distances_at_a_time():
+    x = np.random.default_rng(8).standard_normal((4096, 8))
+    tracemalloc.start()
+    scan_index._nearest(x, x)
+    scan_index._probes(np.tile(x, (3, 1)), x[:64], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 2,048 rows of 4,096 distances take 67 MB
+
+
+def test_repeated_rows_leave_room_for_other_candidates(spark):
+    rows = cloud(6, 200, dim=20) * 12
+    asked = rows[:200:5]
+    want, got = by_hand(rows[:200], asked, 10), result(spark, rows, asked, all_lists=True)
+    assert len(got) == len(want) and len(got & want) >= 0.98 * len(want)
+
+
+def test_blocks_of_queries_and_many_tiles(spark, monkeypatch):
+    for name, value in (("BLOCK", 1 << 12), ("TILE", 64), ("PART", 32), ("ASKED", 5)):
+        monkeypatch.setattr(scan_index, name, value)
+    rows = [(i, [x + 1000 for x in v]) for i, v in cloud(9, 400, dim=40)]  # far from zero, near to each other
+    asked = rows[::4]
+    want, got = by_hand(rows, asked, 10), result(spark, rows, asked, all_lists=True)
+    assert len(got) == len(want) and len(got & want) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("centres, followed", [(40, True), (1, False)])
+def test_a_tile_finds_the_nearest(centres, followed, monkeypatch):
+    rows = np.float32([v for _, v in cloud(10, 3000, dim=64, centres=centres, spread=0.1)])
+    asks, calls = rows[:150], []
+    follow = scan_index._Tile._follow
+    monkeypatch.setattr(scan_index._Tile, "_follow", lambda self, *a: calls.append(1) or follow(self, *a))
+    far = np.sqrt(((asks[:, None].astype(float) - rows[None].astype(float)) ** 2).sum(2))
+    far[np.arange(150), np.arange(150)] = np.inf
+    order = np.argsort(far, axis=1)[:, :10]
+    bound = np.take_along_axis(far, order, 1)[:, -1]
+    index = scan_index.Index({64: np.linalg.qr(np.random.default_rng(1).standard_normal((64, 64)))[0]}, {64: np.zeros((2, 64))}, {64: 2})
+    for b in (bound * 1.02, np.full(150, np.inf)):
+        tile = scan_index._Tile(index, 64, 10, False, 40)
+        tile.asks = [(np.zeros(150, int), np.arange(150), np.arange(150), np.full(150, np.inf), b, asks)]
+        for i in range(0, 3000, 700):
+            tile.meet(1, np.arange(i, min(3000, i + 700)), rows[i:i + 700])
+        right = [set(a) == set(c) for a, c in zip(tile.best, order)]
+        assert np.mean(right) >= 0.95
+        assert bool(calls) == followed or not np.isfinite(b).all()

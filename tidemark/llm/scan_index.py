@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tidemark.llm.tables import ship, stored
 
@@ -18,9 +19,13 @@ CHECKS = 200  # sampled vectors on which the number of probed lists is chosen
 COVER = 0.99  # share of their nearest neighbours that these lists must hold
 PART = 4096  # vectors of one part of a list
 ASKED = 1024  # queries that meet a part at a time
+TILES = 64  # tiles that the parts are dealt to, at least
+TILE = 1 << 20  # vectors of a tile, where that makes more tiles
+BLOCK = 1 << 26  # bytes of the queries, in double precision, that meet a tile in one task
+PIECE = 1 << 19  # numbers of one product
 COLUMNS = 16  # dimensions between two tests
 DOUBT = 2.1  # a candidate goes when its distance is beyond the bound by that many deviations
-FIRST = 1  # lists probed before the others, for a bound
+SPARSE = 8  # pairs are followed one by one where one in so many is left
 
 
 @dataclass
@@ -67,11 +72,20 @@ def fit_index(vectors: DataFrame, k: int = 10, column: str = "embedding", vec_id
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0)
+    out, both = (x * x).sum(1)[:, None] + (y * y).sum(1), x @ y.T
+    both *= 2
+    out -= both
+    return np.maximum(out, 0, out=out)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.concatenate([_squares(x[i:i + 2048], centroids).argmin(1) for i in range(0, len(x), 2048)] or [np.zeros(0, np.int64)])
+    step = min(2048, _rows_of(len(centroids)))
+    return np.concatenate([_squares(x[i:i + step], centroids).argmin(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+
+
+def _rows_of(columns: int) -> int:
+    """Rows of a table with so many columns that is held at a time."""
+    return max(1, PIECE // max(1, columns))
 
 
 def _lloyd(x: np.ndarray, lists: int, generator, rounds: int = 8) -> np.ndarray:
@@ -86,12 +100,15 @@ def _lloyd(x: np.ndarray, lists: int, generator, rounds: int = 8) -> np.ndarray:
 
 
 def _probes(x: np.ndarray, centroids: np.ndarray, k: int) -> int:
-    asked = x[:CHECKS]
-    far = _squares(asked, x)
-    far[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-    near = np.argsort(far, axis=1, kind="stable")[:, :min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(_squares(asked, centroids), axis=1, kind="stable"), axis=1, kind="stable")
-    needed = np.sort(np.take_along_axis(place, _nearest(x, centroids)[near], axis=1).ravel())
+    home, needed, step = _nearest(x, centroids), [], _rows_of(len(x))
+    for i in range(0, min(CHECKS, len(x)), step):
+        asked = x[i:min(i + step, CHECKS)]
+        far = _squares(asked, x)
+        far[np.arange(len(asked)), i + np.arange(len(asked))] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, :min(k, len(x) - 1)]
+        place = np.argsort(np.argsort(_squares(asked, centroids), axis=1, kind="stable"), axis=1, kind="stable")
+        needed.append(np.take_along_axis(place, home[near], axis=1).ravel())
+    needed = np.sort(np.concatenate(needed))
     return int(needed[min(len(needed) - 1, math.ceil(COVER * len(needed)) - 1)]) + 1
 
 
@@ -105,36 +122,62 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, index: Index, k: int
     vec_id with two vectors is a candidate at its nearer one; a query repeated with another vector asks with both,
     and its rows rank what either finds. Fewer than ``k`` candidates are all returned. Empty tables give an empty one.
 
-    Method. Every vector belongs to the list of its nearest centroid; a list is stored in parts of ``PART`` vectors, by
-    hash. A query probes the lists of its nearest centroids, first one for a bound, then the others (at least as many as hold ``k``
-    + 1 vectors for sure). A part is turned by the random rotation and read ``COLUMNS`` dimensions at a
-    time: after t of D dimensions a candidate's partial square distance, times D / t, estimates the whole one, and the candidate
-    is abandoned when the estimate exceeds the bound by ``DOUBT`` / sqrt(t) of it (the hypothesis that it is among the k nearest
-    is rejected). What is left is measured on the original vectors.
+    Method. Every vector belongs to the list of its nearest centroid; a list is cut in parts of ``PART`` vectors, by
+    hash, and the parts are dealt to tiles. A query probes the lists of its nearest centroids, first one for a bound, then the others (at
+    least as many as hold ``k`` + 1 vectors for sure). It goes once to each tile that holds such a list, with the distance of its
+    farthest centroid, so no row is made for a query and a list; a task holds one block of queries, and the vectors pass by in the order of their lists. A
+    part is turned by the random rotation and read ``COLUMNS`` dimensions at a time: after t of D dimensions a candidate's partial square
+    distance, times D / t, estimates the whole one, and the candidate is abandoned when the estimate exceeds the bound by
+    ``DOUBT`` / sqrt(t) of it (the hypothesis that it is among the k nearest is rejected). Where the first test leaves too many pairs of
+    a part and its queries to follow each, their whole distances are one product. What is left is measured on the original vectors.
     """
     ship(vectors.sparkSession)
-    rows, asked = (df.where(usable(column) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    rows, asked = (df.where(usable(column) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), _plain(df, column).alias("v"))
                    for df in (vectors, queries))
     members = stored(rows.mapInArrow(_homes(index), "id long, v binary, d int, list int"), "members")
     sizes = stored(members.groupBy("d", "list").agg(F.count("*").alias("n")), "sizes")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    n, cut = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(parts), F.lit(0))).first()
+    tiles = max(1, min(cut, max(TILES, -(-n // TILE))))
+    lists = sizes.withColumn("parts", parts).withColumn(
+        "tiles", F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: _tile(i, tiles))))
     held: dict[int, np.ndarray] = {}
-    for r in sizes.where(F.col("d").isin([int(d) for d in index.centroids])).collect():  # a row per centroid
+    dealt: dict[int, np.ndarray] = {}
+    for r in lists.where(F.col("d").isin([int(d) for d in index.centroids])).select("d", "list", "n", "tiles").toLocalIterator():  # a row per centroid
         held.setdefault(r.d, np.zeros(len(index.centroids[r.d]), np.int64))[r.list] = r.n
-    probes = stored(asked.mapInArrow(_probed(index, held, k), "id long, v binary, d int, list int, turn int"), "probes")
-    lists = sizes.select("d", "list", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    first = stored(_scanned(members, probes.where(F.col("turn") < FIRST).withColumn("bound", F.lit(float("inf"))), lists, index, k), "first")
-    bound = _best(first, k).groupBy("qid", "qv").agg(F.when(F.count("*") == k, F.max("score")).alias("bound"))
-    others = probes.where(F.col("turn") >= FIRST).join(bound.select(F.col("qid").alias("id"), F.col("qv").alias("v"), "bound"), ["id", "v"], "left")
-    second = _scanned(members, others.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), lists, index, k)
-    found = first.union(second).groupBy("qid", "id").agg(F.min("score").alias("score"))
+        dealt.setdefault(r.d, np.zeros((len(index.centroids[r.d]), tiles), bool))[r.list, r.tiles] = True
+    asks = asked.dropDuplicates(["id", "v"]).mapInArrow(
+        _probed(index, held, dealt, k), "id long, v binary, d int, first int, reach double, others array<int>")
+    asks = stored(asks.withColumn("ask", F.monotonically_increasing_id()), "asks")
+    blocks = asks.groupBy("d").agg(F.ceil(F.count("*") * F.col("d") * 8 / BLOCK).cast("int").alias("blocks"))
+    lists = stored(lists.join(blocks, "d"), "lists")  # a row per centroid, and per other length
+    where = F.broadcast(lists.select("d", F.col("list").alias("first"), "tiles", "blocks"))
+    asks = asks.join(where, ["d", "first"]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+    members = members.join(F.broadcast(lists.select("d", "list", "parts", "blocks")), ["d", "list"]).select(
+        _tile(F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"), tiles).alias("tile"), "blocks", "d", "list", "id", "v")
+    first = stored(_scanned(members, asks.withColumn("tile", F.explode("tiles")).withColumn("bound", F.lit(float("inf"))), index, k, True), "first")
+    bound = _best(first, k).groupBy("ask").agg(F.when(F.count("*") == k, F.max("score")).alias("bound"))
+    others = asks.join(bound, "ask", "left").withColumn("tile", F.explode("others")).withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    second = _scanned(members, others, index, k, False)
+    found = first.union(second).repartition("qid").groupBy("qid", "id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("qid").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
+def _plain(df: DataFrame, column: str):
+    """The vectors as single precision where they are stored so, else as double precision."""
+    kind = df.select(column).schema[0].dataType
+    return F.col(column).cast("array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>")
+
+
+def _tile(part, tiles: int):
+    return F.pmod(F.xxhash64("d", "list", part), F.lit(tiles)).cast("int")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("qid", "qv").orderBy("score", "id")
-    return found.dropDuplicates(["qid", "qv", "id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = Window.partitionBy("ask").orderBy("score", "id")
+    return found.groupBy("ask", "id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _lengths(column: pa.Array):
@@ -142,7 +185,7 @@ def _lengths(column: pa.Array):
     ends = np.asarray(column.value_lengths())
     for d in np.unique(ends):
         at = np.flatnonzero(ends == d)
-        yield int(d), at, np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(len(at), int(d))
+        yield int(d), at, np.asarray(column.take(pa.array(at)).flatten()).reshape(len(at), int(d))
 
 
 def _homes(index: Index):
@@ -153,91 +196,245 @@ def _homes(index: Index):
             for d, at, v in _lengths(batch.column(1)):
                 size[at] = d
                 if d in index.centroids:
-                    home[at] = _nearest(v @ index.rotations[d], index.centroids[d])
+                    home[at] = _nearest(v.astype(np.float64) @ index.rotations[d], index.centroids[d])
                 raw[at] = [x.tobytes() for x in v]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(raw.tolist(), pa.binary()), pa.array(size), pa.array(home)], ["id", "v", "d", "list"])
     return run
 
 
-def _probed(index: Index, held: dict[int, np.ndarray], k: int):
-    """A row for each list that a query probes; empty lists are passed over."""
+def _probed(index: Index, held: dict[int, np.ndarray], dealt: dict[int, np.ndarray], k: int):
+    """For each query its first list, the square distance of the farthest centroid it probes, and the tiles of its other lists; empty lists are passed over."""
     def run(batches):
         for batch in batches:
-            who, raw, size, lists, turn = [], [], [], [], []
-            ids = np.asarray(batch.column(0))
-            for d, at, v in _lengths(batch.column(1)):
-                if d not in held:
-                    order, upto = np.zeros((len(at), 1), np.int64), np.ones(len(at), np.int64)
-                else:
-                    far = _squares(v @ index.rotations[d], index.centroids[d])
-                    far[:, held[d] == 0] = np.inf
-                    order = np.argsort(far, axis=1, kind="stable")
-                    enough = (np.cumsum(held[d][order], axis=1) <= 2 * k).sum(1) + 1
-                    upto = np.minimum(np.maximum(index.probes[d], enough), (held[d] > 0).sum())
-                for row in range(len(at)):
-                    n, bytes_ = int(upto[row]), v[row].tobytes()
-                    who += [ids[at[row]]] * n
-                    raw += [bytes_] * n
-                    size += [d] * n
-                    lists.append(order[row, :n])
-                    turn.append(np.arange(n))
-            joined = lambda parts: pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(who, pa.int64()), pa.array(raw, pa.binary()), pa.array(size, pa.int32()), joined(lists), joined(turn)],
-                ["id", "v", "d", "list", "turn"])
+            ids = batch.column(0)
+            for d, places, all_v in _lengths(batch.column(1)):
+                step = _rows_of(len(held[d])) if d in held else len(places)
+                for i in range(0, len(places), step):
+                    at, v = places[i:i + step], all_v[i:i + step]
+                    first, reach, others = np.zeros(len(at), np.int32), np.full(len(at), np.inf), np.zeros((len(at), 0), bool)
+                    if d in held:
+                        far = _squares(v.astype(np.float64) @ index.rotations[d], index.centroids[d])
+                        far[:, held[d] == 0] = np.inf
+                        order = np.argsort(far, axis=1, kind="stable")
+                        enough = (np.cumsum(held[d][order], axis=1) <= 2 * k).sum(1) + 1
+                        upto = np.minimum(np.maximum(index.probes[d], enough), (held[d] > 0).sum())
+                        first = order[:, 0].astype(np.int32)
+                        reach = far[np.arange(len(at)), order[np.arange(len(at)), upto - 1]]
+                        probed = np.zeros(far.shape, np.float32)
+                        np.put_along_axis(probed, order, (np.arange(far.shape[1]) < upto[:, None]).astype(np.float32), axis=1)
+                        probed[np.arange(len(at)), first] = 0
+                        others = probed @ dealt[d].astype(np.float32) > 0
+                    ends = np.concatenate([[0], np.cumsum(others.sum(1))]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(at)), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.full(len(at), d, np.int32)), pa.array(first),
+                         pa.array(reach), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(others)[1].astype(np.int32)))],
+                        ["id", "v", "d", "first", "reach", "others"])
     return run
 
 
-def _scanned(members: DataFrame, probes: DataFrame, lists: DataFrame, index: Index, k: int) -> DataFrame:
-    """(qid, qv, id, score): the best ``k`` of each part for each query that probes its list.
+def _scanned(members: DataFrame, asks: DataFrame, index: Index, k: int, first: bool) -> DataFrame:
+    """(ask, qid, id, score): the best ``k`` of each tile for each query that goes there, in the first list of the query or in its others.
 
-    Part i of a list meets portion j of its queries, so neither a large list nor a much asked one is one task.
+    A tile meets each block of the queries in one task; neither a large list nor a much asked one is one tile or one block.
     """
-    asked = probes.groupBy("d", "list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("portions")).join(lists, ["d", "list"])
-    place = F.xxhash64("id", "v")
-    rows = members.join(asked, ["d", "list"]).withColumn("i", F.pmod(place, F.col("parts")).cast("int")).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
-    who = probes.join(asked, ["d", "list"]).withColumn("j", F.pmod(place, F.col("portions")).cast("int")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = rows.select("d", "list", "i", "j", "id", "v", F.lit(None).cast("double").alias("bound")).union(
-        who.select("d", "list", "i", "j", "id", "v", "bound"))
-    return both.groupBy("d", "list", "i", "j").applyInArrow(_scan_part(index, k), "qid long, qv binary, id long, score double")
-
-
-def _scan_part(index: Index, k: int):
-    def run(key, table):
-        d = key[0].as_py()
-        table = table.combine_chunks()
-        ask = np.asarray(table["bound"].is_valid())
-        ids = np.asarray(table["id"])
-        raw = table["v"]
-        out = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if ask.any() and not ask.all():
-            matrix = lambda at: np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), np.float64).reshape(-1, d)
-            rows, asks = np.flatnonzero(~ask), np.flatnonzero(ask)
-            own = ids[rows]
-            order = np.argsort(own, kind="stable")
-            own, exact = own[order], matrix(rows[order])
-            rotation = index.rotations.get(d)
-            turned = exact @ rotation if rotation is not None else exact
-            blocks = [np.ascontiguousarray(turned[:, c:c + COLUMNS]) for c in range(0, d, COLUMNS)]
-            wanted = matrix(asks)
-            turned_wanted = wanted @ rotation if rotation is not None else wanted
-            bounds = np.asarray(table["bound"].take(pa.array(asks)))
-            for q in range(len(asks)):
-                left = _adaptive(blocks, turned_wanted[q], own != ids[asks[q]], float(bounds[q]), k, d)
-                score = np.sqrt(((exact[left] - wanted[q]) ** 2).sum(axis=1))
-                best = np.lexsort((own[left], score))[:k]
-                out[0].append(np.full(len(best), ids[asks[q]]))
-                out[1].extend([wanted[q].tobytes()] * len(best))
-                out[2].append(own[left][best])
-                out[3].append(score[best])
-        return pa.table({"qid": pa.array(np.concatenate(out[0])), "qv": pa.array(out[1], pa.binary()),
-                         "id": pa.array(np.concatenate(out[2])), "score": pa.array(np.concatenate(out[3]))})
+    rows = members.select(
+        "tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "d", F.lit(1).alias("kind"), "list", "id", "v",
+        F.lit(None).cast("long").alias("ask"), F.lit(None).cast("double").alias("reach"), F.lit(None).cast("double").alias("bound"))
+    who = asks.select("tile", "block", "d", F.lit(0).alias("kind"), F.col("first").alias("list"), "id", "v", "ask", "reach", "bound")
+    both = who.union(rows).repartition("tile", "block").sortWithinPartitions("tile", "block", "d", "kind", "list")
+    return both.mapInArrow(_scan(index, k, first, PART, ASKED), "ask long, qid long, id long, score double")
+
+
+def _scan(index: Index, k: int, first: bool, most: int, portion: int):
+    def run(batches):
+        tile = key = None
+        for batch in batches:
+            names = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            at = np.stack([np.asarray(names[c]) for c in ("tile", "block", "d", "kind", "list")])
+            at[4, at[3] == 0] = -1  # queries stand together, whatever their first list
+            starts = np.flatnonzero(np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(0)])) if batch.num_rows else []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                here = tuple(at[:3, start])
+                if here != key:
+                    if tile:
+                        yield from tile.found()
+                    key, tile = here, _Tile(index, int(at[2, start]), k, first, portion)
+                if at[3, start] == 0:
+                    tile.ask(batch.slice(start, end - start))
+                elif tile.asks:
+                    for i in range(start, end, most):
+                        some = batch.slice(i, min(most, end - i))
+                        tile.meet(int(at[4, start]), np.asarray(some.column(5)), _matrix(some.column(6), tile.d))
+        if tile:
+            yield from tile.found()
     return run
 
 
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    """Vectors of ``d`` dimensions, in the precision that they have."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * d * len(column) else np.float64).reshape(-1, d)
+
+
+def _without_copies(v: np.ndarray, ids: np.ndarray, k: int):
+    """Of each vector the rows of the ``k`` + 1 smallest ids: no query finds more of them, its own among them."""
+    _, kind = np.unique(np.ascontiguousarray(v).view(f"V{v.itemsize * v.shape[1]}").ravel(), return_inverse=True)
+    kind = kind.ravel()
+    order = np.lexsort((ids, kind))
+    fresh = np.concatenate([[True], np.diff(kind[order]) != 0])
+    order = order[fresh | np.concatenate([[True], np.diff(ids[order]) != 0])]
+    fresh = np.concatenate([[True], np.diff(kind[order]) != 0])
+    since = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    order = np.sort(order[since <= k])
+    return v[order], ids[order]
+
+
+class _Tile:
+    """A block of queries and the best ``k`` that each has met so far; the vectors of a tile pass by."""
+
+    def __init__(self, index: Index, d: int, k: int, first: bool, portion: int):
+        self.d, self.k, self.first, self.portion = d, k, first, portion
+        self.rotation, self.centroids = index.rotations.get(d), index.centroids.get(d)
+        self.asks, self.ready = [], False
+
+    def ask(self, batch: pa.RecordBatch) -> None:
+        numbers = [np.array(batch.column(i)) for i in (4, 5, 7, 8, 9)]
+        self.asks.append((*numbers, _matrix(batch.column(6), self.d)))
+
+    def _open(self) -> None:
+        if self.ready:
+            return
+        self.home, self.ids, self.number, self.reach, self.bound, self.exact = (
+            np.concatenate([x[i] for x in self.asks]) for i in range(6))
+        self.asks = [True]
+        self.turned = self._turn(self.exact)
+        self.norm = (self.turned * self.turned).sum(1)
+        self.score = np.full((len(self.ids), self.k), np.inf)
+        self.best = np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
+        self.ready = True
+
+    def _turn(self, v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.float64)
+        return v if self.rotation is None else v @ self.rotation
+
+    def meet(self, place: int, ids: np.ndarray, v: np.ndarray) -> None:
+        """Compare vectors of the list ``place`` with the queries that probe it in this pass."""
+        self._open()
+        if self.first:
+            who = np.flatnonzero(self.home == place)
+        else:
+            centre = self.centroids[place]
+            c = centre @ centre
+            far = self.norm + c - 2 * (self.turned @ centre)
+            who = np.flatnonzero((far <= self.reach * (1 + 1e-9) + 1e-12 * (self.norm + c)) & (self.home != place))
+        if not len(who):
+            return
+        v, ids = _without_copies(v, ids, self.k)
+        k = self.k + len(ids) - len(np.unique(ids))  # so many rows hold k ids
+        v, turned = v.astype(np.float64), self._turn(v)
+        if self.first:
+            blocks = [np.ascontiguousarray(turned[:, c:c + COLUMNS]) for c in range(0, self.d, COLUMNS)]
+            for q in who:
+                left = _adaptive(blocks, self.turned[q], ids != self.ids[q], math.inf, k, self.d)
+                self._measure(np.full(len(left), q), left, ids, v)
+            return
+        turned = turned - centre
+        for i in range(0, len(who), self.portion):
+            self._portion(who[i:i + self.portion], turned, turned_asks=self.turned[who[i:i + self.portion]] - centre, ids=ids, v=v, k=k)
+
+    def _portion(self, who: np.ndarray, turned: np.ndarray, turned_asks: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> None:
+        width, most = min(COLUMNS, self.d), (turned * turned).sum(1).max()
+        size = (turned_asks * turned_asks).sum(1) + most
+        kind = np.float32 if 1e-25 < size.min() and size.max() < 1e30 else np.float64
+        margin = (self.d + 8) * 2.4e-7 * size  # more than single precision can be wrong by
+        bound = self.bound[who]
+        early = (_limit(bound, width, self.d) * (width / self.d) + margin).astype(kind)[:, None]
+        step, seen = max(1, PIECE // len(who)), width
+        rows, asks = _factors(turned, turned_asks, seen, kind)
+        for at in range(0, len(ids), step):
+            near = np.minimum(bound, self.score[who].max(1))
+            partial = asks @ rows[at:at + step].T
+            if seen < self.d:
+                left = ~(partial > early)
+                if np.count_nonzero(left) * SPARSE > left.size:  # too many to follow: from here on whole distances
+                    seen = self.d
+                    rows, asks = _factors(turned, turned_asks, seen, kind)
+                    partial = asks @ rows[at:at + step].T
+            if seen < self.d:
+                q, r = np.divmod(np.flatnonzero(left), left.shape[1])
+                q, r = self._follow(q, r + at, turned, turned_asks, bound)
+            else:
+                last = near * near * (1 + 1e-9) + margin + 1e-300
+                free = np.flatnonzero(~np.isfinite(near))
+                if len(free) and partial.shape[1] > k + 1:  # the nearest of these rows, one may be the query's own
+                    last[free] = np.partition(partial[free], k, axis=1)[:, k] + 2 * margin[free]
+                q, r = np.divmod(np.flatnonzero(~(partial > last.astype(kind)[:, None])), partial.shape[1])
+                r = r + at
+            self._measure(who[q], r, ids, v)
+
+    def _follow(self, q: np.ndarray, r: np.ndarray, turned: np.ndarray, turned_asks: np.ndarray, bound: np.ndarray):
+        """The pairs that no test rejects, ``COLUMNS`` dimensions at a time."""
+        partial = np.zeros(len(q))
+        for c in range(0, self.d, COLUMNS):
+            partial += ((turned[r, c:c + COLUMNS] - turned_asks[q, c:c + COLUMNS]) ** 2).sum(1)
+            seen = min(self.d, c + COLUMNS)
+            keep = ~(partial * (self.d / seen) > _limit(bound[q], seen, self.d))
+            q, r, partial = q[keep], r[keep], partial[keep]
+        return q, r
+
+    def _measure(self, q: np.ndarray, r: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """Take the pairs of queries and rows (in the order of the queries) into what the queries have met."""
+        step = max(1, PIECE // self.d)
+        for i in range(0, len(q), step):
+            a, b = q[i:i + step], r[i:i + step]
+            score = np.sqrt(((v[b] - self.exact[a].astype(np.float64)) ** 2).sum(axis=1))
+            able = (ids[b] != self.ids[a]) & (score <= np.minimum(self.score[a].max(1), self.bound[a]))
+            a, b, score = a[able], ids[b[able]], score[able]
+            while len(a):  # one row of each query at a time
+                now = np.concatenate([[True], a[1:] != a[:-1]])
+                self._insert(a[now], b[now], score[now])
+                a, b, score = a[~now], b[~now], score[~now]
+                able = score <= self.score[a].max(1)
+                a, b, score = a[able], b[able], score[able]
+
+    def _insert(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        had, were = self.score[q], self.best[q]
+        same = were == ids[:, None]
+        worst = np.where(had == had.max(1)[:, None], were, np.iinfo(np.int64).min).argmax(1)
+        place, line = np.where(same.any(1), same.argmax(1), worst), np.arange(len(q))
+        old, who = had[line, place], were[line, place]
+        better = (score < old) | (score == old) & (ids < who)
+        self.score[q[better], place[better]] = score[better]
+        self.best[q[better], place[better]] = ids[better]
+
+    def found(self):
+        if not self.ready:
+            return
+        step = max(1, 65536 // self.k)
+        for i in range(0, len(self.ids), step):
+            best, score = self.best[i:i + step], self.score[i:i + step]
+            q, j = np.nonzero(best != np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(self.number[i:i + step][q]), pa.array(self.ids[i:i + step][q]), pa.array(best[q, j]), pa.array(score[q, j])],
+                ["ask", "qid", "id", "score"])
+
+
+def _limit(bound: np.ndarray, seen: int, d: int) -> np.ndarray:
+    """Estimated square distances beyond this are rejected."""
+    slack = 1 + 1e-9 if seen == d else (1 + DOUBT / math.sqrt(seen)) ** 2
+    return slack * bound * bound * (1 + 1e-9) + 1e-300
+
+
+def _factors(rows: np.ndarray, asks: np.ndarray, seen: int, kind) -> list[np.ndarray]:
+    """Of rows and of queries, factors whose product is the square distance over the first ``seen`` dimensions."""
+    out = []
+    for x, scale in ((rows[:, :seen], -2), (asks[:, :seen], 1)):
+        size, one = (x * x).sum(1)[:, None], np.ones((len(x), 1))
+        out.append(np.hstack([scale * x, size, one] if scale < 0 else [x, one, size]).astype(kind))
+    return out
+
+
 def _adaptive(blocks: list[np.ndarray], query: np.ndarray, able: np.ndarray, bound: float, k: int, d: int) -> np.ndarray:
     """Places of the candidates that no test rejects; all that may be among the ``k`` nearest within ``bound``."""
     left = np.flatnonzero(able)
