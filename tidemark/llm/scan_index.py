@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tidemark.llm.tables import ship, stored
+from tidemark.llm.tables import give_back, ship, stored
 
 SAMPLE = 20_000  # vectors of one length that an index is fitted on, drawn by hash
 MOST_LISTS = 4096  # centroids of one length
@@ -21,7 +21,7 @@ PART = 4096  # vectors of one part of a list
 ASKED = 1024  # queries that meet a part at a time
 TILES = 64  # tiles that the parts are dealt to, at least
 TILE = 1 << 20  # vectors of a tile, where that makes more tiles
-BLOCK = 1 << 26  # bytes of the queries, in double precision, that meet a tile in one task
+BLOCK = 1 << 26  # bytes of the queries that meet a tile in one task
 PIECE = 1 << 19  # numbers of one product
 COLUMNS = 16  # dimensions between two tests
 DOUBT = 2.1  # a candidate goes when its distance is beyond the bound by that many deviations
@@ -149,12 +149,16 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, index: Index, k: int
     asks = asked.dropDuplicates(["id", "v"]).mapInArrow(
         _probed(index, held, dealt, k), "id long, v binary, d int, first int, reach double, others array<int>")
     asks = stored(asks.withColumn("ask", F.monotonically_increasing_id()), "asks")
-    blocks = asks.groupBy("d").agg(F.ceil(F.count("*") * F.col("d") * 8 / BLOCK).cast("int").alias("blocks"))
-    lists = stored(lists.join(blocks, "d"), "lists")  # a row per centroid, and per other length
-    where = F.broadcast(lists.select("d", F.col("list").alias("first"), "tiles", "blocks"))
-    asks = asks.join(where, ["d", "first"]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
-    members = members.join(F.broadcast(lists.select("d", "list", "parts", "blocks")), ["d", "list"]).select(
-        _tile(F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"), tiles).alias("tile"), "blocks", "d", "list", "id", "v")
+    weight = F.sum(F.length("v").cast("long"))
+    blocks = asks.groupBy("d", F.col("first").alias("list")).agg(weight.alias("weight")).withColumn("all", F.sum("weight").over(Window.partitionBy("d")))
+    lists = lists.join(blocks.select("d", F.col("all")).distinct(), "d").join(blocks.select("d", "list", "weight"), ["d", "list"], "left")
+    lists = stored(lists.select(  # a row per centroid, and per other length; blocks of the first pass, none where no query begins, and of the second
+        "d", "list", "parts", "tiles", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("weight", "blocks_0"), ("all", "blocks_1")))), "lists")
+    where = F.broadcast(lists.select("d", F.col("list").alias("first"), "tiles", "blocks_0", "blocks_1"))
+    asks = asks.join(where, ["d", "first"]).withColumn("place", F.xxhash64("id", "v"))
+    asks = asks.select("*", *(F.pmod("place", F.col(f"blocks_{i}")).cast("int").alias(f"block_{i}") for i in (0, 1)))
+    members = members.join(F.broadcast(lists.select("d", "list", "parts", "blocks_0", "blocks_1")), ["d", "list"]).select(
+        _tile(F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"), tiles).alias("tile"), "blocks_0", "blocks_1", "d", "list", "id", "v")
     first = stored(_scanned(members, asks.withColumn("tile", F.explode("tiles")).withColumn("bound", F.lit(float("inf"))), index, k, True), "first")
     bound = _best(first, k).groupBy("ask").agg(F.when(F.count("*") == k, F.max("score")).alias("bound"))
     others = asks.join(bound, "ask", "left").withColumn("tile", F.explode("others")).withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
@@ -200,6 +204,7 @@ def _homes(index: Index):
                 raw[at] = [x.tobytes() for x in v]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(raw.tolist(), pa.binary()), pa.array(size), pa.array(home)], ["id", "v", "d", "list"])
+        give_back()
     return run
 
 
@@ -230,6 +235,7 @@ def _probed(index: Index, held: dict[int, np.ndarray], dealt: dict[int, np.ndarr
                         [ids.take(pa.array(at)), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.full(len(at), d, np.int32)), pa.array(first),
                          pa.array(reach), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(others)[1].astype(np.int32)))],
                         ["id", "v", "d", "first", "reach", "others"])
+        give_back()
     return run
 
 
@@ -238,10 +244,11 @@ def _scanned(members: DataFrame, asks: DataFrame, index: Index, k: int, first: b
 
     A tile meets each block of the queries in one task; neither a large list nor a much asked one is one tile or one block.
     """
-    rows = members.select(
-        "tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "d", F.lit(1).alias("kind"), "list", "id", "v",
+    turn = "0" if first else "1"
+    rows = members.where(F.col(f"blocks_{turn}") > 0).select(
+        "tile", F.explode(F.sequence(F.lit(0), F.col(f"blocks_{turn}") - 1)).alias("block"), "d", F.lit(1).alias("kind"), "list", "id", "v",
         F.lit(None).cast("long").alias("ask"), F.lit(None).cast("double").alias("reach"), F.lit(None).cast("double").alias("bound"))
-    who = asks.select("tile", "block", "d", F.lit(0).alias("kind"), F.col("first").alias("list"), "id", "v", "ask", "reach", "bound")
+    who = asks.select("tile", F.col(f"block_{turn}").alias("block"), "d", F.lit(0).alias("kind"), F.col("first").alias("list"), "id", "v", "ask", "reach", "bound")
     both = who.union(rows).repartition("tile", "block").sortWithinPartitions("tile", "block", "d", "kind", "list")
     return both.mapInArrow(_scan(index, k, first, PART, ASKED), "ask long, qid long, id long, score double")
 
@@ -268,6 +275,8 @@ def _scan(index: Index, k: int, first: bool, most: int, portion: int):
                         tile.meet(int(at[4, start]), np.asarray(some.column(5)), _matrix(some.column(6), tile.d))
         if tile:
             yield from tile.found()
+        tile = None
+        give_back()
     return run
 
 
@@ -308,12 +317,16 @@ class _Tile:
         self.home, self.ids, self.number, self.reach, self.bound, self.exact = (
             np.concatenate([x[i] for x in self.asks]) for i in range(6))
         self.asks = [True]
-        self.turned = self._turn(self.exact)
-        self.norm = (self.turned * self.turned).sum(1)
+        self.norm = np.concatenate([(v * v).sum(1) for v in self._doubles()])
         self.score = np.full((len(self.ids), self.k), np.inf)
         self.best = np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
         self.ready = True
 
+    def _doubles(self):
+        """The queries in double precision, some at a time."""
+        step = _rows_of(self.d)
+        return (self.exact[i:i + step].astype(np.float64) for i in range(0, len(self.exact), step))
+
     def _turn(self, v: np.ndarray) -> np.ndarray:
         v = v.astype(np.float64)
         return v if self.rotation is None else v @ self.rotation
@@ -326,7 +339,8 @@ class _Tile:
         else:
             centre = self.centroids[place]
             c = centre @ centre
-            far = self.norm + c - 2 * (self.turned @ centre)
+            back = 2 * (self.rotation @ centre)
+            far = self.norm + c - np.concatenate([v @ back for v in self._doubles()])
             who = np.flatnonzero((far <= self.reach * (1 + 1e-9) + 1e-12 * (self.norm + c)) & (self.home != place))
         if not len(who):
             return
@@ -335,13 +349,21 @@ class _Tile:
         v, turned = v.astype(np.float64), self._turn(v)
         if self.first:
             blocks = [np.ascontiguousarray(turned[:, c:c + COLUMNS]) for c in range(0, self.d, COLUMNS)]
-            for q in who:
-                left = _adaptive(blocks, self.turned[q], ids != self.ids[q], math.inf, k, self.d)
-                self._measure(np.full(len(left), q), left, ids, v)
+            for i in range(0, len(who), self.portion):
+                some = who[i:i + self.portion]
+                kept, pairs = [], 0
+                for q, asked in zip(some, self._turn(self.exact[some])):
+                    left = _adaptive(blocks, asked, ids != self.ids[q], math.inf, k, self.d)
+                    kept.append((np.full(len(left), q), left))
+                    pairs += len(left)
+                    if pairs > PIECE or q == some[-1]:
+                        self._measure(*(np.concatenate(x) for x in zip(*kept)), ids, v)
+                        kept, pairs = [], 0
             return
         turned = turned - centre
         for i in range(0, len(who), self.portion):
-            self._portion(who[i:i + self.portion], turned, turned_asks=self.turned[who[i:i + self.portion]] - centre, ids=ids, v=v, k=k)
+            some = who[i:i + self.portion]
+            self._portion(some, turned, self._turn(self.exact[some]) - centre, ids, v, k)
 
     def _portion(self, who: np.ndarray, turned: np.ndarray, turned_asks: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> None:
         width, most = min(COLUMNS, self.d), (turned * turned).sum(1).max()
@@ -391,6 +413,8 @@ class _Tile:
             score = np.sqrt(((v[b] - self.exact[a].astype(np.float64)) ** 2).sum(axis=1))
             able = (ids[b] != self.ids[a]) & (score <= np.minimum(self.score[a].max(1), self.bound[a]))
             a, b, score = a[able], ids[b[able]], score[able]
+            order = np.lexsort((b, score, a))
+            a, b, score = a[order], b[order], score[order]
             while len(a):  # one row of each query at a time
                 now = np.concatenate([[True], a[1:] != a[:-1]])
                 self._insert(a[now], b[now], score[now])
